@@ -23,16 +23,19 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm.shared import new_path, tune
+from shoal.llm.shared import new_path, staged, tune
 
 #: Fields of a record's header line by ARC version.
 V1 = "URL IP-address Archive-date Content-type Archive-length"
 V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 ID_HEADER = b"X-Row-Id"
 DATE = "20240102030405"
+#: Revisits that may be broadcast, at about 100 bytes each.
+MOST_BROADCAST = 200_000
 RECORDS = "id long, url string, ip string, arc_date string, mime string, http string, payload binary, payload_bytes long, payload_sha1 string, origin string"
 RESULT = "id long, url string, record_id string, warc_date string, record_type string, refers_to long, payload_digest string, payload_bytes long, block_bytes long, payload binary"
 
@@ -50,12 +53,15 @@ def arc_field(value: str | None) -> str:
     return "".join("%%%02X" % ord(c) if c in " \t\r\n\x0b\x0c" else c for c in value or "") or "-"
 
 
-def write_arc(df: DataFrame, path: str, version: int = 1, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Writes df as ARC files of one version, one file per partition. Null payloads are empty ones."""
+def write_arc(df: DataFrame, path: str, version: int | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+    """Writes df as ARC files, one per partition, of one version or, with None, of both by turns.
+    Null payloads are empty ones."""
     tune(df.sparkSession)
-    fields = V2 if version == 2 else V1
+    wanted = version
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        version = wanted or 1 + TaskContext.get().partitionId() % 2
+        fields = V2 if version == 2 else V1
         told = f"{version} 0 converter\n{fields}\n".encode()
         first = f"filedesc://part.arc 0.0.0.0 {DATE} text/plain {'200 - - 0 part.arc ' if version == 2 else ''}{len(told)}\n".encode() + told
         for b in batches:
@@ -183,18 +189,21 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of RECORDS, one per document of the ARC files under path."""
+def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Rows of RECORDS, one per document of the ARC files under path; on request without payload and header."""
     tune(spark)
+    schema = RECORDS if payload else ", ".join(x for x in RECORDS.split(", ") if x.split()[0] not in ("http", "payload"))
+    kept = [i for i, x in enumerate(RECORDS.split(", ")) if x in schema.split(", ")]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path"), b.column("content"), strict=True):
                 origin = name.as_py().rsplit("/", 1)[-1]
-                yield from in_batches(arc_records(memoryview(content.as_buffer()).cast("B"), origin), arrow_schema(RECORDS), lambda r: r[7])
+                rows = arc_records(memoryview(content.as_buffer()).cast("B"), origin)
+                yield from in_batches((tuple(r[i] for i in kept) for r in rows) if len(kept) < 10 else rows, arrow_schema(schema), lambda r: r[7] if payload else 100)
 
-    return files.mapInArrow(parse, RECORDS)
+    return files.mapInArrow(parse, schema)
 
 
 def warc_head(kind: str, record_id: str, date: str, url: str | None, block: bytes, payload_sha1: str, more: dict[str, str]) -> bytes:
@@ -220,17 +229,23 @@ def warc_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def with_revisits(records: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """Adds refers_to: null for responses, else the id of the response with the same payload.
+def revisits(keys: DataFrame, least_bytes: int = 1000) -> DataFrame:
+    """(origin, refers_to) of the records that repeat another's payload, from keys' id, payload_sha1,
+    payload_bytes and origin.
 
     Records that share the largest id are all responses; one without an id never wins over one that
     has an id, and where none has an id all are responses.
     """
-    large = F.col("payload_bytes") >= least_bytes
-    groups = records.where(large).groupBy(F.col("payload_sha1").alias("_sha1"), F.col("payload_bytes").alias("_bytes")).agg(F.max("id").alias("_last"), F.count("*").alias("_n")).where("_n > 1 and _last is not null")
-    joined = records.join(groups, large & (F.col("payload_sha1") == F.col("_sha1")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
-    refers = F.when(~F.coalesce(F.col("id") == F.col("_last"), F.lit(False)), F.col("_last"))
-    return joined.select(*records.columns, refers.alias("refers_to"))
+    large = keys.where(F.col("payload_bytes") >= least_bytes)
+    groups = large.groupBy("payload_sha1", "payload_bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    joined = large.join(groups.drop("n"), ["payload_sha1", "payload_bytes"])
+    return joined.where("id is null or id <> refers_to").select("origin", "refers_to")
+
+
+def with_revisits(records: DataFrame, found: DataFrame) -> DataFrame:
+    """records with refers_to. Few revisits are broadcast, so that no payload is shuffled; many are joined."""
+    few = found.count() <= MOST_BROADCAST
+    return records.join(F.broadcast(found) if few else found, "origin", "left").select(*records.columns, "refers_to")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -270,37 +285,42 @@ def warc_records(data: memoryview, origin: str) -> Iterator[tuple]:
             continue
         _, payload, known = http_parts(block)
         digest = base64.b32decode(f[b"warc-payload-digest"].removeprefix("sha1:")).hex()
+        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+            raise ValueError(f"{origin}: the payload of {f[b'warc-record-id']} does not fit its digest")
         size = len(payload) if kind == "response" else whole(f.get(b"x-payload-length"))
         yield (whole(f.get(b"x-row-id")), f.get(b"warc-target-uri"), f[b"warc-record-id"].strip("<>").removeprefix("urn:uuid:"), f.get(b"warc-date"), kind, whole(f.get(b"x-refers-to-row")), digest, size, len(block), payload if kind == "response" else None)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of RESULT, one per response or revisit record of the WARC files under path."""
+def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Rows of RESULT, one per response or revisit record of the WARC files under path; payloads are
+    checked against their digests, and left out on request."""
     tune(spark)
+    schema = RESULT if payload else RESULT.removesuffix(", payload binary")
+    width = len(schema.split(", "))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path"), b.column("content"), strict=True):
-                yield from in_batches(warc_records(memoryview(content.as_buffer()).cast("B"), name.as_py()), arrow_schema(RESULT), lambda r: r[8])
+                rows = warc_records(memoryview(content.as_buffer()).cast("B"), name.as_py())
+                yield from in_batches((r[:width] for r in rows), arrow_schema(schema), lambda r: r[8] if payload else 100)
 
-    return files.mapInArrow(parse, RESULT)
+    return files.mapInArrow(parse, schema)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 1000) -> None:
     """ARC files under arc_path to WARC files under warc_path."""
-    write_warc(with_revisits(read_arc(spark, arc_path), least_bytes), warc_path)
+    found = staged(revisits(read_arc(spark, arc_path, payload=False), least_bytes), "revisits")
+    write_warc(with_revisits(read_arc(spark, arc_path), found), warc_path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: pages as ARC files (version 1 for even ids, 2 for the rest), converted to WARC and read back."""
+    """op5: pages as ARC files of both versions, converted to WARC and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    even = F.coalesce(F.col("page_id") % 2 == 0, F.lit(True))
-    write_arc(pages.where(even), arc, 1)
-    write_arc(pages.where(~even), arc, 2)
+    write_arc(pages, arc)
     convert(spark, arc, warc)
-    back = read_warc(spark, warc)
+    back = read_warc(spark, warc, payload=False)
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
