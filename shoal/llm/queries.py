@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from shoal.llm import mixing, shuffle_shards, toxicity, url_filter, warc
+from shoal.llm import decontaminate, mixing, shuffle_shards, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_shuffle_shards": shuffle_shards.query,
+    "op3_decontaminate": decontaminate.query,
     "op5_arc_to_warc": warc.query,
     "op6_pfair_mix": mixing.query,
     "op10_toxicity": toxicity.query,
 }
-SQL = {"op5_arc_to_warc": warc.SQL}
+SQL = {"op3_decontaminate": decontaminate.SQL, "op5_arc_to_warc": warc.SQL}
