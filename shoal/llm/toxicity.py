@@ -3,8 +3,9 @@
 Two bigram models, of toxic and of ordinary texts, with absolute discounting: a bigram's discounted
 share, backed off to the word's continuation share in the class (how many different words it
 follows), backed off to continuation counts shared by both classes. Words whose document counts do
-not differ between the classes beyond chance (|z| below `least_z`, or too rare to tell) have only
-the shared counts, the same in both models, so they speak for neither class. A text's figure is the
+not differ between the classes beyond chance (|z| below `least_z`, or too rare to tell) and by a
+factor of LEAST_RATIO have only the shared counts, the same in both models, so they speak for
+neither class. A text's figure is the
 difference of the log-likelihoods over the square root of its number of words; a logistic curve,
 fitted on labelled texts that the counts have not seen, turns it into a score.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from shoal.llm.bytetext import ALNUM, BASE, mix, words
 from shoal.llm.shared import tune
 
-MAX_DOCS, LEAST_Z, LEAST_DOCS, DISCOUNT = 10_000, 5.0, 4, 0.75
+MAX_DOCS, LEAST_Z, LEAST_DOCS, LEAST_RATIO, DISCOUNT = 10_000, 5.0, 4, 3.0, 0.75
 START = np.uint64(0x51AB7)
 #: One bigram kind in so many, by hash, stands for the rest when their number is estimated.
 THIN = np.uint64(63)
@@ -171,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     both = max(1.0, n0 + n1)
     p = (F.col("a") + F.col("b")) / both
     z = (F.col("b") - p * n1) / F.sqrt(p * (1 - p) * n0 * n1 / both + 0.5)
-    word = np.sort(columns(found.where(F.abs(z) >= least_z).select("w"))["w"].astype(np.int64).view(np.uint64))
+    ratio = F.log((F.col("b") + 0.5) * (n0 + 1) / ((F.col("a") + 0.5) * (n1 + 1)))
+    word = np.sort(columns(found.where((F.abs(z) >= least_z) & (F.abs(ratio) >= np.log(LEAST_RATIO))).select("w"))["w"].astype(np.int64).view(np.uint64))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,9 +185,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 _, ends = find(word, h)
                 thin = (g & THIN) == 0
                 for kind, take in ((0, ends), (1, thin & ~ends)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(take.sum()), kind, np.int32)), pa.array(c[take].astype(np.int32)), pa.array(v[take].view(np.int64)), pa.array(h[take].view(np.int64))], names=["kind", "c", "v", "w"])
-
-    bigrams = count_from.mapInArrow(follow, "kind int, c int, v long, w long").groupBy("kind", "c", "v", "w").agg(F.count("*").alias("n"))
+                    take = np.flatnonzero(take)
+                    order = take[np.lexsort((g[take], c[take]))]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (g[order[1:]] != g[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
+                    one = order[new]
+                    n = np.diff(np.append(np.flatnonzero(new), len(order)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), kind, np.int32)), pa.array(c[one].astype(np.int32)), pa.array(v[one].view(np.int64)), pa.array(h[one].view(np.int64)), pa.array(n)], names=["kind", "c", "v", "w", "n"])
+
+    bigrams = count_from.mapInArrow(follow, "kind int, c int, v long, w long, n long").groupBy("kind", "c", "v", "w").agg(F.sum("n").alias("n"))
     got = columns(bigrams.where("kind = 0").select("c", "v", "w", "n"))
     pairs = {"c": got["c"].astype(np.int64), "v": got["v"].astype(np.int64).view(np.uint64), "w": got["w"].astype(np.int64).view(np.uint64), "n": got["n"].astype(float)}
     thin = {r["c"]: r["count"] for r in bigrams.where("kind = 1").groupBy("c").count().collect()}
