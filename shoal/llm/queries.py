@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import decontaminate, jaccard_join, mixing, shuffle_shards, toxicity, url_filter, warc
+from shoal.llm import decontaminate, jaccard_join, mixing, repeats, shuffle_shards, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.query,
     "op5_arc_to_warc": warc.query,
     "op6_pfair_mix": mixing.query,
+    "op7_suffix_repeats": repeats.query,
     "op8_jaccard_join": jaccard_join.query,
     "op10_toxicity": toxicity.query,
 }
