@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
 A text's set holds its distinct shingles, as 64-bit hashes. Equal sets are one class and are handled
-once. All shingles have one order, rare before frequent (by counts over all texts in a table of
-fixed size, then by hash). A class with n shingles and the needed overlap a = ceil(t * n) has, for
+once. All shingles have one order, rare before frequent: those that occur once in all texts, which
+no prefix needs to list, then by count, both from tables of fixed size, then by hash. A class with n shingles and the needed overlap a = ceil(t * n) has, for
 level l, the prefix of its first n - a + l shingles: two sets that reach the threshold share at
 least l shingles of their prefixes of level l. Each class picks its own level by estimated cost,
 a longer prefix against fewer candidates; a pair must share as many prefix shingles as the lower of
@@ -19,8 +19,10 @@ stay alone; a text with fewer words than a shingle has one shingle of all its wo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from shoal.llm.bytetext import NONSPACE, mix, ngrams, words
 from shoal.llm.shared import components, staged, tune
 
-#: Bits of the count table, levels that a class may pick, cost of a verification in list entries.
-COUNT_BITS, LEVELS, VERIFY_COST = 20, 4, 30.0
+#: Bits of the tables of repeated shingles (16 MB) and of their counts (1 MB), levels that a class may
+#: pick, cost of a verification in list entries.
+AGAIN_BITS, COUNT_BITS, LEVELS, VERIFY_COST = 27, 20, 4, 30.0
 
 
 def text_sets(arr: pa.Array, width: int, table: np.ndarray = NONSPACE) -> Iterator[np.ndarray]:
@@ -55,80 +58,94 @@ def text_sets(arr: pa.Array, width: int, table: np.ndarray = NONSPACE) -> Iterat
                 yield np.zeros(0, np.uint64)
 
 
-def count_table(texts: DataFrame, width: int) -> np.ndarray:
-    """Shingles of all texts by the top bits of their hashes, as rounded logarithms (one byte each).
+class Rarity(NamedTuple):
+    again: np.ndarray  # bitmap over the hashes' top bits: shingles that occur once are not in it, up to strangers
+    weight: np.ndarray  # of each stretch of hashes, four times the logarithm of its repeated shingles' count
 
-    Tasks send their counts in 64 pieces; pieces are summed 64 at a time, level by level, so no task
-    gathers those of all others.
-    """
-    piece = 1 << (COUNT_BITS - 6)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+def rarity(texts: DataFrame, width: int) -> Rarity:
+    """Which shingles of all texts occur again, and how often. Hashes are dealt out by their top bits,
+    four bytes each, and counted there; the driver gets tables of fixed size."""
+    bits = min(18, max(8, math.ceil(math.log2(max(1, texts.rdd.getNumPartitions()))) + 4))
+    map_bits, count_bits = AGAIN_BITS - bits, max(0, COUNT_BITS - bits)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(have: list[np.ndarray]) -> pa.RecordBatch:
+            h = np.concatenate(have)
+            h.sort()
+            cut = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            some = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["radix", "low"])
+
+        have, size = [], 0
         for b in batches:
-            for part in words(b.column(0), NONSPACE):
-                total += np.bincount((ngrams(part.hash, width) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            rows = [total[i * piece : (i + 1) * piece].astype(np.int64).tobytes() for i in range(64)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(rows, pa.binary())], names=["piece", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        s = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("counts"))
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([s.tobytes()], pa.binary()), "task": t.column("task").slice(0, 1).cast(pa.int32())})
-
-    rows = texts.mapInArrow(count, "piece int, counts binary").withColumn("task", F.spark_partition_id())
-    tasks = texts.rdd.getNumPartitions()
-    step = 1
-    while True:
-        step *= 64
-        rows = rows.groupBy("piece", F.expr(f"task div {step}").alias("upper")).applyInArrow(add, "piece int, counts binary, task int")
-        if tasks <= step:
-            break
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    for r in rows.collect():
-        out[r["piece"] * piece : (r["piece"] + 1) * piece] += np.frombuffer(r["counts"], np.int64)
-    return np.round(np.log2(out + 1) * 4).astype(np.uint8)
-
-
-def prefix(s: np.ndarray, logs: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
-    """The class's prefix in order, its length at level 1, and the level picked."""
+            for s in text_sets(b.column(0), width):
+                have.append(s)
+                size += len(s)
+            if size > 1_500_000:
+                yield send(have)
+                have, size = [], 0
+        if size:
+            yield send(have)
+
+    def settle(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("low")])
+        low.sort()
+        begin = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        n = np.diff(np.append(begin, len(low)))
+        value, n = low[begin[n > 1]], n[n > 1]
+        again = np.zeros(1 << map_bits, bool)
+        again[value >> np.uint32(32 - map_bits)] = True
+        total = np.bincount((value.astype(np.uint64) >> np.uint64(32 - count_bits)).astype(np.int64), n, 1 << count_bits)
+        return pa.table({"radix": pa.array([key[0].as_py()], pa.int32()), "again": pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary()), "weight": pa.array([np.round(np.log2(total + 1) * 4).astype(np.uint8).tobytes()], pa.binary())})
+
+    found = texts.mapInArrow(deal, "radix int, low binary").groupBy("radix").applyInArrow(settle, "radix int, again binary, weight binary")
+    out = Rarity(np.zeros((1 << bits, (1 << map_bits) // 8), np.uint8), np.zeros((1 << bits, 1 << count_bits), np.uint8))
+    for r in found.toLocalIterator():
+        out.again[r["radix"]], out.weight[r["radix"]] = np.frombuffer(r["again"], np.uint8), np.frombuffer(r["weight"], np.uint8)
+    return Rarity(out.again.ravel(), out.weight.ravel())
+
+
+def prefix(s: np.ndarray, known: Rarity, percent: int) -> tuple[np.ndarray, int, int, int]:
+    """The prefix's shingles that may occur again, in order; how many stand before them, which don't;
+    the prefix's length at level 1, and the level picked."""
     n = len(s)
     need = -(-percent * n // 100)
-    log = logs[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    spot = (s >> np.uint64(64 - AGAIN_BITS)).astype(np.int64)
+    again = s[known.again[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 > 0]
+    alone = n - len(again)
     most = min(LEVELS, need)
-    size = n - need + most
-    if size < n:  # only the rarest are put in order
-        order = np.argpartition(log, size - 1)
-        bar = log[order[size - 1]]
-        pick = np.flatnonzero(log <= bar)
-    else:
-        pick = np.arange(n)
-    order = pick[np.lexsort((s[pick], log[pick]))][:size]
-    seen = np.cumsum(np.exp2(log[order] / 4.0))
-    base = n - need
-    level = 1 + int(np.argmin([seen[base + k - 1] * (1 + VERIFY_COST / k**2) for k in range(1, most + 1)])) if most else 1
-    return s[order[: base + level]], base + 1, level
-
-
-def class_rows(docs: DataFrame, logs: np.ndarray, width: int, percent: int, carry: str) -> DataFrame:
-    """Of each text: carry, n_shingles, class (64 bits of the set's digest; null if empty), prefix, level."""
-    shared = docs.sparkSession.sparkContext.broadcast(logs)
+    size = n - need + most - alone
+    if size <= 0:
+        return s[:0], alone, n - need + 1, most
+    weight = known.weight[(again >> np.uint64(64 - (len(known.weight) - 1).bit_length())).astype(np.int64)]
+    order = np.lexsort((again, weight))[:size]
+    seen = np.concatenate([np.zeros(alone), np.cumsum(np.exp2(weight[order] / 4.0))])
+    level = 1 + int(np.argmin([seen[n - need + k - 1] * (1 + VERIFY_COST / k**2) for k in range(1, most + 1)]))
+    return again[order[: max(0, n - need + level - alone)]], alone, n - need + 1, level
+
+
+def class_rows(docs: DataFrame, known: Rarity, width: int, percent: int, carry: str) -> DataFrame:
+    """Of each text: carry, n, cls (64 bits of the set's digest; null if empty), prefix, alone, base, level."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Rarity(*shared.value)
         for b in batches:
-            n, cls, pre, base, level = [], [], [], [], []
+            rows = []
             for s in text_sets(b.column("text"), width):
-                n.append(len(s))
-                if not len(s):
-                    cls.append(None), pre.append(None), base.append(0), level.append(0)
-                    continue
-                cls.append(int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                p, first, k = prefix(s, shared.value, percent)
-                pre.append(p.view(np.int64)), base.append(first), level.append(k)
-            yield pa.RecordBatch.from_arrays([b.column(carry), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(pre, pa.list_(pa.int64())), pa.array(base, pa.int32()), pa.array(level, pa.int32())], names=[carry, "n", "cls", "prefix", "base", "level"])
+                if len(s):
+                    cls = int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    shingles, *rest = prefix(s, known, percent)
+                    rows.append((len(s), cls, shingles.view(np.int64), *rest))
+                else:
+                    rows.append((0, None, None, 0, 0, 0))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(carry), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[carry, "n", "cls", "prefix", "alone", "base", "level"])
 
     kind = dict(docs.dtypes)[carry]
-    return docs.select(carry, "text").mapInArrow(run, f"`{carry}` {kind}, n long, cls long, prefix array<long>, base int, level int")
+    return docs.select(carry, "text").mapInArrow(run, f"`{carry}` {kind}, n long, cls long, prefix array<long>, alone int, base int, level int")
 
 
 def needed_bits(nodes: DataFrame, bits: int = 23) -> np.ndarray:
@@ -196,14 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    logs = count_table(docs.select("text"), width)
-    rows = staged(class_rows(docs, logs, width, percent, "id"), "classes")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("base").alias("base"), F.first("level").alias("level"))
-    entries = classes.select(F.col("cls").alias("node"), "n", "level", "base", F.posexplode("prefix").alias("pos", "token"))
+    known = rarity(docs.select("text"), width)
+    rows = staged(class_rows(docs, known, width, percent, "id"), "classes")
+    classes = rows.where("size(prefix) > 0").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "alone", "base", "level")])
+    entries = classes.select(F.col("cls").alias("node"), "n", "alone", "level", "base", F.posexplode("prefix").alias("pos", "token"))
     # at: the lowest level whose prefix holds the shingle.
-    entries = entries.select("token", "node", "n", "level", F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).alias("at"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1")
-    postings = staged(entries.join(lists, "token"), "postings")
+    entries = entries.select("token", "node", "n", "alone", "level", F.greatest(F.lit(1), F.col("alone") + F.col("pos") - F.col("base") + 2).cast("int").alias("at"))
+    # The pivot is the member with the fewest shingles of its own: of near copies the one they were made from.
+    lists = entries.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node")).alias("pivot")).where("c > 1")
+    postings = staged(entries.join(lists.select("token", F.col("pivot.node").alias("pivot")), "token").drop("alone"), "postings")
 
     low = "least(n, m) * 100L >= greatest(n, m) * %d" % percent
     stars = postings.where("node = pivot").select("token", F.col("n").alias("m"), F.col("level").alias("level2"), F.col("at").alias("at2"))
