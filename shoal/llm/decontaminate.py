@@ -129,6 +129,8 @@ def ranges(n: np.ndarray) -> np.ndarray:
 
 def chains(place: np.ndarray, at: np.ndarray, item: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, item, words) of the maximal matches that hits along the same item make up."""
+    if not len(place):
+        return place, item, length
     order = np.lexsort((place, at - place, item))
     p, a, i, m = place[order], at[order], item[order], length[order]
     new = np.ones(len(p), bool)
