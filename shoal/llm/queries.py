@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import decontaminate, embedding_links, jaccard_join, mixing, repeats, shuffle_shards, toxicity, url_filter, warc
+from shoal.llm import decontaminate, embedding_links, jaccard_join, line_templates, mixing, repeats, shuffle_shards, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pfair_mix": mixing.query,
     "op7_suffix_repeats": repeats.query,
     "op8_jaccard_join": jaccard_join.query,
+    "op9_line_templates": line_templates.query,
     "op10_toxicity": toxicity.query,
 }
-SQL = {"op4_embedding_links": embedding_links.SQL, "op8_jaccard_join": jaccard_join.SQL, "op3_decontaminate": decontaminate.SQL, "op5_arc_to_warc": warc.SQL}
+SQL = {"op9_line_templates": line_templates.SQL, "op4_embedding_links": embedding_links.SQL, "op8_jaccard_join": jaccard_join.SQL, "op3_decontaminate": decontaminate.SQL, "op5_arc_to_warc": warc.SQL}
