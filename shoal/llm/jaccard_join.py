@@ -35,6 +35,8 @@ from shoal.llm.shared import components, staged, tune
 #: Bits of the tables of repeated shingles (16 MB) and of their counts (1 MB), levels that a class may
 #: pick, cost of a verification in list entries.
 AGAIN_BITS, COUNT_BITS, LEVELS, VERIFY_COST = 27, 20, 4, 30.0
+#: Ids that may be sent to all tasks (8 bytes each).
+MOST_GONE = 500_000
 
 
 def text_sets(arr: pa.Array, width: int, table: np.ndarray = NONSPACE) -> Iterator[np.ndarray]:
@@ -248,6 +250,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(alone)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """docs without all but the document with the smallest id of each group of near-duplicates.
+
+    Where ids repeat or are null, rows are numbered first (and so written once more), and the first of
+    a group stays. Few ids that go are broadcast, at most MOST_GONE; many are joined.
+    """
+    ids = docs.groupBy(id_col).count().agg(F.max("count").alias("most"), F.max(F.col(id_col).isNull()).alias("null")).first()
+    numbered = docs
+    if ids["null"] or (ids["most"] or 0) > 1:
+        numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        id_col = "_row"
+    found = near_duplicates(numbered, id_col, text_col, width, percent)
+    gone = staged(found.where(F.col(id_col) != F.col("component_id")).select(id_col), "gone")
+    few = gone.count() <= MOST_GONE
+    return numbered.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: all documents, three-word shingles, Jaccard similarity of 0.9 or more."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
