@@ -9,9 +9,10 @@ a longer prefix against fewer candidates; a pair must share as many prefix shing
 its two levels says, counting only shingles that both prefixes of that level hold.
 
 Candidates are not taken from all pairs of a posting list at once. First each list links its members
-to one pivot; what verification confirms is merged into components. Then only pairs of one list
-whose members are still in different components are looked at. So a group of n near copies costs
-about n verifications, and no link between different components is lost.
+to one pivot; what verification confirms is merged into components, so most near copies cost one
+verification each. Lists whose members are then still in different components join these to
+clusters. Within a cluster all sets are compared, block by block as matrix products, and only the
+edges of a tree leave a task: no link between different components is lost, and no pairs are listed.
 
 Verification compares whole sets. Texts without words, empty ones and nulls have an empty set and
 stay alone; a text with fewer words than a shingle has one shingle of all its words.
@@ -35,6 +36,8 @@ from shoal.llm.shared import components, staged, tune
 #: Bits of the tables of repeated shingles (16 MB) and of their counts (1 MB), levels that a class may
 #: pick, cost of a verification in list entries.
 AGAIN_BITS, COUNT_BITS, LEVELS, VERIFY_COST = 27, 20, 4, 30.0
+#: Sets and shingles of one block.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Ids that may be sent to all tasks (8 bytes each).
 MOST_GONE = 500_000
 
@@ -183,10 +186,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets reach the threshold, with the size of their intersection."""
-    nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    sets = staged(sets_of(docs, nodes, width), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets reach the threshold."""
     left = pairs.join(sets.select(F.col("node").alias("y"), F.col("s").alias("t")), "y")
     both = left.join(sets.withColumnRenamed("node", "x"), "x").select("x", "y", "s", "t")
 
@@ -205,6 +206,70 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "x long, y long")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of shingle columns, a few thousand at a time."""
+    token = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    column = np.cumsum(np.append(False, token[1:] != token[:-1]))
+    shared = np.bincount(column)[column] > 1
+    column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
+    out = np.zeros((len(left), len(right)), np.float32)
+    cut = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 1 + 4096, 4096))
+    for k, (low, high) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        m = np.zeros((len(left) + len(right), 4096), np.float32)
+        m[row[low:high], column[low:high] - 4096 * k] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def compare_blocks(percent: int):
+    """Function for two blocks of a cluster: (x, y) edges that join what links between them, a tree at most."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        a, z = key[1].as_py(), key[2].as_py()
+        node, label, block = (t.column(c).to_numpy() for c in ("node", "label", "block"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
+        size = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(block == a), np.flatnonzero(block == z)
+        same = overlaps([sets[i] for i in left], [sets[j] for j in right])
+        linked = (100 * same >= percent * (size[left][:, None] + size[right][None, :] - same)) & (label[left][:, None] != label[right][None, :])
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (j := root.get(i, i)) != i:
+                root[i] = root.get(j, j)
+                i = j
+            return i
+
+        edges = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            p, q = left[i], right[j]
+            u, v = find(int(label[p])), find(int(label[q]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                edges.append((int(node[p]), int(node[q])))
+        return pa.table({"x": pa.array([e[0] for e in edges], pa.int64()), "y": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
+def across(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of different labels. Lists that hold several labels join these to clusters;
+    a cluster's nodes are compared block by block, each pair of blocks in a task of its own."""
+    known = postings.select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lists = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token", "a")
+    left = staged(known.join(lists, "token").select("node", "n", "label", "a").distinct(), "open")
+    clusters = components(left.where("label <> a").select(F.col("label").alias("x"), F.col("a").alias("y")).distinct(), "clusters")
+    nodes = left.select("node", "n", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = nodes.join(blocks, "cluster").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = placed.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("z"), "node", "label", "block", "s")
+    return pairs.groupBy("cluster", "a", "z").applyInArrow(compare_blocks(percent), "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """One row per text: id, n_shingles, component_id (smallest id reachable over links, itself included).
 
@@ -229,18 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = postings.where("node = pivot").select("token", F.col("n").alias("m"), F.col("level").alias("level2"), F.col("at").alias("at2"))
     stars = postings.where("node <> pivot").join(stars, "token").where(low).where("greatest(at, at2) <= least(level, level2)")
     stars = stars.groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l"))
-    tried = staged(stars.where("k >= l").select("x", "y"), "stars")
-    links = staged(verified(tried, docs, width, percent), "links")
-    labels = components(links)
-
-    known = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_lists = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    left = staged(known.join(open_lists, "token").select("token", "node", "n", "level", "at", "label"), "open")
-    right = left.select("token", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("level").alias("level2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
-    across = left.join(right, "token").where("node < node2 and label <> label2").where(low).where("greatest(at, at2) <= least(level, level2)")
-    across = across.groupBy(F.col("node").alias("x"), F.col("node2").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l")).where("k >= l").select("x", "y")
-    tried_too = staged(across.join(tried, ["x", "y"], "left_anti"), "across")
-    more = verified(tried_too, docs, width, percent)
+    sets = staged(sets_of(docs, postings.select("node").distinct(), width), "sets")
+    links = staged(verified(stars.where("k >= l").select("x", "y"), sets, percent), "links")
+    more = staged(across(postings, components(links), sets, percent), "more-links")
     labels = components(links.unionByName(more)).withColumnRenamed("node", "cls")
 
     placed = rows.select("id", "n", "cls").join(labels, "cls", "left").select("id", "n", F.coalesce("label", "cls").alias("label"))
