@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from shoal.llm.shared import staged, tune
 
 WINDOW, GRAM = 50, 16
 #: Bits of the bitmap; copies that may be sent to all tasks (12 bytes each); bytes a group may bring.
-MAP_BITS, COPIES, GROUP_BYTES = 27, 400_000, 16 << 20
+MAP_BITS, COPIES, GROUP_BYTES = 27, 400_000, 8 << 20
 LAST = (1 << 63) - 1
 
 
@@ -147,7 +148,7 @@ SENT = "radix int, n long, blob binary, id long, key long, spans binary"
 
 
 def contexts(docs: DataFrame, skip, bitmap, radix_bits: int, window: int, gram: int) -> DataFrame:
-    """Pass 2: rows with a radix hold contexts to compare, rows without one spans covered already."""
+    """Pass 2: rows with n hold contexts to compare, rows without spans covered already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,9 +183,9 @@ def contexts(docs: DataFrame, skip, bitmap, radix_bits: int, window: int, gram:
             gone, go = order[covered], order[~covered]
             radix, ns, blobs, out_id, out_key, out_spans = [], [], [], [], [], []
             for i, s in per_row(row[gone], first[gone], first[gone] + size[gone]):
-                radix.append(None), ns.append(None), blobs.append(None), out_id.append(int(ids[i])), out_key.append(int(keys[i])), out_spans.append(s)
+                radix.append(int(keys[i]) & ((1 << radix_bits) - 1)), ns.append(None), blobs.append(None), out_id.append(int(ids[i])), out_key.append(int(keys[i])), out_spans.append(s)
             digit = (h[go] >> np.uint64(64 - radix_bits)).astype(np.int64)
-            go = go[np.argsort(digit, kind="stable")]
+            go = go[np.lexsort((first[go], row[go], digit))]  # by document: its id and key then compress away
             digit.sort()
             cut = np.searchsorted(digit, np.arange((1 << radix_bits) + 1))
             for d in np.flatnonzero(np.diff(cut)).tolist():
@@ -222,10 +223,10 @@ def covered_windows(ids: np.ndarray, wins: np.ndarray, left: np.ndarray, data: n
     where = np.cumsum(size) - size
     gram_at = where + left
     n_digits = -(-window // 8)
-    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
 
     def digit(at: np.ndarray, bytes_left: int) -> np.ndarray:
-        d = padded[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+        d = eights[at].view(">u8").ravel().astype(np.uint64)
         return d if bytes_left >= 8 else d >> np.uint64(8 * (8 - bytes_left))
 
     def refine(group: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,9 +291,13 @@ def ranges(n: np.ndarray) -> np.ndarray:
 
 
 def compared(sent: DataFrame, window: int, gram: int) -> DataFrame:
-    """Pass 3: (id, key, spans) from the contexts of pass 2."""
+    """Pass 3: (id, key, spans) from the contexts of pass 2; spans known already pass through."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        known = t.filter(pc.is_null(t.column("n"))).select(["id", "key", "spans"])
+        t = t.filter(pc.is_valid(t.column("n")))
+        if not len(t):
+            return known
         cols: list[list[np.ndarray]] = [[] for _ in range(6)]
         for n, raw_size, blob in zip(t.column("n").to_pylist(), t.column("key").to_pylist(), t.column("blob"), strict=True):
             raw = pa.decompress(blob.as_buffer(), raw_size, codec="zstd")
@@ -308,7 +313,8 @@ def compared(sent: DataFrame, window: int, gram: int) -> DataFrame:
         owner[row] = ids
         begin = first[c] + w
         got = list(per_row(row[c], begin, begin + window))
-        return pa.table({"id": pa.array([int(owner[i]) for i, _ in got], pa.int64()), "key": pa.array([int(names[i]) for i, _ in got], pa.int64()), "spans": pa.array([s for _, s in got], pa.binary())})
+        found = pa.table({"id": pa.array([int(owner[i]) for i, _ in got], pa.int64()), "key": pa.array([int(names[i]) for i, _ in got], pa.int64()), "spans": pa.array([s for _, s in got], pa.binary())})
+        return pa.concat_tables([known.cast(found.schema), found])
 
     return sent.groupBy("radix").applyInArrow(run, "id long, key long, spans binary")
 
@@ -329,9 +335,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     skip = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in copied.select("key").collect()], np.int64)) if few else None)
     bits = min(18, max(6, math.ceil(math.log2(max(1, total) / GROUP_BYTES))))
     bitmap = spark.sparkContext.broadcast(repeated_anchors(rows, skip, bits + 2, window, gram))
-    sent = staged(contexts(rows, skip, bitmap, bits, window, gram), "contexts")
+    sent = contexts(rows, skip, bitmap, bits, window, gram)
     whole = copied.select("id", "key", F.lit(None).cast("binary").alias("spans"))
-    found = sent.where("radix is null").select("id", "key", "spans").unionByName(compared(sent.where("radix is not null"), window, gram)).unionByName(whole)
+    found = compared(sent, window, gram).unionByName(whole)
     cover = staged(found.groupBy("id", "key").agg(F.collect_list("spans").alias("lists"), F.max(F.col("spans").isNull()).alias("whole")), "cover")
     touched = spark.sparkContext.broadcast(key_bits(cover))
 
