@@ -19,45 +19,42 @@ from pyspark.sql import functions as F
 from shoal.llm.shared import staged
 
 MIN_DOCS, LEAD, SIMILAR = 10, 3, 0.6
-#: White space inside a line; leaves that may be sent to all tasks (8 bytes each).
-SPACE, MOST_LEAVES = r"[ \t\x0B\f\r]", 500_000
-NOT_SPACE = r"[^ \t\x0B\f\r]"
+#: Leaves that may be sent to all tasks (8 bytes each).
+MOST_LEAVES = 500_000
 
 
 def masked(line: Column) -> Column:
-    """The line without outer white space, tokens with digits as <*>."""
-    inner = F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", "")
-    return F.regexp_replace(inner, f"{NOT_SPACE}*[0-9]{NOT_SPACE}*", "<*>")
+    """The line with single spaces, none outside, and tokens with digits as <*>."""
+    inner = F.btrim(F.translate(line, "\t\x0b\f\r", "    "), F.lit(" "))
+    inner = F.when(inner.contains("  "), F.regexp_replace(inner, " +", " ")).otherwise(inner)
+    return F.when(inner.rlike("[0-9]"), F.regexp_replace(inner, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(inner)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(key, no, line) of every line, masked."""
-    return docs.select("key", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select("key", "no", masked(F.col("raw")).alias("line"))
-
-
-def tree(lines: DataFrame) -> DataFrame:
-    """Adds tokens, leaf and tpl (hash of the line's own template); blank lines have none."""
-    tokens = F.split("line", f"{SPACE}+")
-    lines = lines.withColumn("tokens", F.when(F.col("line") != "", tokens))
-    leaf = F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, LEAD), " "))
-    return lines.withColumn("leaf", F.when(F.col("tokens").isNotNull(), leaf)).withColumn("tpl", F.when(F.col("tokens").isNotNull(), F.xxhash64(F.array_join("tokens", " "))))
+def tree(docs: DataFrame) -> DataFrame:
+    """(key, no, line, leaf, tpl) of every line: the masked line, the hash of its leaf and that of its own
+    template; blank lines have neither hash."""
+    raw = docs.select("key", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    lines = raw.select("key", "no", masked(F.col("raw")).alias("line"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    full = F.col("line") != ""
+    return lines.select("key", "no", "line", F.when(full, F.xxhash64(n, F.substring_index("line", " ", LEAD))).alias("leaf"), F.when(full, F.xxhash64("line")).alias("tpl"))
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per row of docs: id, n_lines (not blank), n_dropped, kept_text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull(), "text"))
-    found = staged(tree(lines_of(rows)).select("key", "no", "leaf", "tpl"), "lines")
+    found = staged(tree(rows).select("key", "no", "leaf", "tpl"), "lines")
     full = found.where("tpl is not null")
     per_doc = full.select("key", "leaf", "tpl").distinct()
     tpl_docs = per_doc.groupBy("leaf", "tpl").agg(F.count("*").alias("docs"))
     leaves = staged(tpl_docs.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs")).where(f"kinds > 1 and docs >= {min_docs}").select("leaf"), "leaves")
     small = leaves.count() <= MOST_LEAVES
     # Token counts in leaves that several templates share; each template is looked at once.
-    inside = tree(lines_of(rows)).where("tpl is not null").join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
-    kinds = inside.groupBy("leaf", "tpl").agg(F.first("tokens").alias("tokens"), F.count_distinct("key").alias("docs"))
+    inside = tree(rows).join(F.broadcast(leaves) if small else leaves, "leaf", "left_semi")
+    kinds = inside.groupBy("leaf", "tpl").agg(F.first("line").alias("line")).join(tpl_docs, ["leaf", "tpl"])
     kinds = staged(kinds, "templates")
-    places = kinds.select("leaf", "tpl", "docs", F.posexplode("tokens").alias("at", "token"))
+    places = kinds.select("leaf", "tpl", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
     often = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(f"n >= {min_docs}").select("leaf", "at", "token", F.lit(True).alias("fixed"))
     general = places.join(often, ["leaf", "at", "token"], "left").withColumn("token", F.when(F.col("fixed"), F.col("token")).otherwise("<*>"))
     general = general.groupBy("leaf", "tpl").agg(F.count_if(F.col("fixed") & (F.col("token") != "<*>")).alias("n_fixed"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("text"))
