@@ -42,6 +42,8 @@ from shoal.llm.shared import staged, tune
 WINDOW, GRAM = 50, 16
 #: Bits of the bitmap; copies that may be sent to all tasks (12 bytes each); bytes a group may bring.
 MAP_BITS, COPIES, GROUP_BYTES = 27, 400_000, 8 << 20
+#: Windows that are compared at once.
+SLICE = 200_000
 LAST = (1 << 63) - 1
 
 
@@ -266,23 +268,34 @@ def covered_windows(ids: np.ndarray, wins: np.ndarray, left: np.ndarray, data: n
     full = member[ids[member] > smallest]
     stay, anchor = member[ids[member] == smallest], anchor[ids[member] == smallest]
     out_c, out_w = [np.repeat(full, wins[full])], [ranges(wins[full])]
-    # Windows of differing contexts, refined digit by digit; the distance to the anchor comes first.
-    c = np.repeat(stay, wins[stay])
-    w = ranges(wins[stay])
-    group = np.repeat(anchor, wins[stay]) * 64 + (left[c] - w)
-    order = np.argsort(group, kind="stable")
-    c, w, group = c[order], w[order], group[order]
-    for i in range(n_digits):
-        _, group = np.unique(group, return_inverse=True)
-        several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-        c, w, group = c[several], w[several], group[several]
-        order, group = refine(group, digit(where[c] + w + 8 * i, window - 8 * i))
-        c, w = c[order], w[order]
-    if len(c):
-        least = np.full(int(group.max()) + 1, LAST)
-        np.minimum.at(least, group, ids[c])
-        more = ids[c] > least[group]
-        out_c.append(c[more]), out_w.append(w[more])
+    # Windows of differing contexts, refined digit by digit; anchors are taken some at a time.
+    bounds = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor)) if len(anchor) else np.zeros(1, np.int64)
+    load = np.append(0, np.cumsum(wins[stay]))[bounds]
+    low = 0
+    while low < len(bounds) - 1:
+        high = max(low + 1, int(np.searchsorted(load, load[low] + SLICE, "right")) - 1)
+        part, of = stay[bounds[low] : bounds[high]], anchor[bounds[low] : bounds[high]]
+        low = high
+        # Windows of one anchor can only be equal if they have the same distance to it.
+        c = np.repeat(part, wins[part])
+        w = ranges(wins[part])
+        group = np.repeat(of, wins[part]) * 64 + (left[c] - w)
+        order = np.argsort(group, kind="stable")
+        c, w, group = c[order], w[order], group[order]
+        for i in range(n_digits):
+            new = np.append(True, group[1:] != group[:-1])
+            n = np.diff(np.append(np.flatnonzero(new), len(group)))
+            several = np.repeat(n > 1, n)
+            c, w, group = c[several], w[several], group[several]
+            if not len(c):
+                break
+            order, group = refine(group, digit(where[c] + w + 8 * i, window - 8 * i))
+            c, w = c[order], w[order]
+        if len(c):
+            least = np.full(int(group.max()) + 1, LAST)
+            np.minimum.at(least, group, ids[c])
+            more = ids[c] > least[group]
+            out_c.append(c[more]), out_w.append(w[more])
     return np.concatenate(out_c), np.concatenate(out_w)
 
 
