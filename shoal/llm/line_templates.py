@@ -23,18 +23,20 @@ MIN_DOCS, LEAD, SIMILAR = 10, 3, 0.6
 MOST_LEAVES = 500_000
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces, none outside, and tokens with digits as <*>."""
-    inner = F.btrim(F.translate(line, "\t\x0b\f\r", "    "), F.lit(" "))
-    inner = F.when(inner.contains("  "), F.regexp_replace(inner, " +", " ")).otherwise(inner)
-    return F.when(inner.rlike("[0-9]"), F.regexp_replace(inner, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(inner)
+def masked(text: Column) -> Column:
+    """The text's lines with single spaces, none outside, and tokens with digits as <*>.
+
+    One pass over the array for each step, so that no step is worked out twice.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(F.translate(x, "\t\x0b\f\r", "    "), F.lit(" ")))
+    lines = F.transform(lines, lambda x: F.when(x.contains("  "), F.regexp_replace(x, " +", " ")).otherwise(x))
+    return F.transform(lines, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(x))
 
 
 def tree(docs: DataFrame) -> DataFrame:
     """(key, no, line, leaf, tpl) of every line: the masked line, the hash of its leaf and that of its own
     template; blank lines have neither hash."""
-    raw = docs.select("key", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    lines = raw.select("key", "no", masked(F.col("raw")).alias("line"))
+    lines = docs.select("key", F.posexplode(masked(F.col("text"))).alias("no", "line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     full = F.col("line") != ""
     return lines.select("key", "no", "line", F.when(full, F.xxhash64(n, F.substring_index("line", " ", LEAD))).alias("leaf"), F.when(full, F.xxhash64("line")).alias("tpl"))
