@@ -219,8 +219,9 @@ def per_row(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tup
         yield int(rows[i]), pairs[a:z].tobytes()
 
 
-def covered_windows(ids: np.ndarray, wins: np.ndarray, left: np.ndarray, data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pass 3, on the contexts of one radix: (context, window from 0) of those that a smaller id has too."""
+def covered_parts(ids: np.ndarray, wins: np.ndarray, left: np.ndarray, data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pass 3, on the contexts of one radix: (context, from, up to) of the parts that a smaller id has too:
+    whole contexts, and windows of others."""
     size = wins + window - 1
     where = np.cumsum(size) - size
     gram_at = where + left
@@ -267,7 +268,7 @@ def covered_windows(ids: np.ndarray, wins: np.ndarray, left: np.ndarray, data: n
     smallest = ids[member][np.flatnonzero(head)][np.cumsum(head) - 1] if len(member) else ids[:0]
     full = member[ids[member] > smallest]
     stay, anchor = member[ids[member] == smallest], anchor[ids[member] == smallest]
-    out_c, out_w = [np.repeat(full, wins[full])], [ranges(wins[full])]
+    out_c, out_w = [full[:0]], [full[:0]]
     # Windows of differing contexts, refined digit by digit; anchors are taken some at a time.
     bounds = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor)) if len(anchor) else np.zeros(1, np.int64)
     load = np.append(0, np.cumsum(wins[stay]))[bounds]
@@ -296,7 +297,8 @@ def covered_windows(ids: np.ndarray, wins: np.ndarray, left: np.ndarray, data: n
             np.minimum.at(least, group, ids[c])
             more = ids[c] > least[group]
             out_c.append(c[more]), out_w.append(w[more])
-    return np.concatenate(out_c), np.concatenate(out_w)
+    c, w = np.concatenate(out_c), np.concatenate(out_w)
+    return np.concatenate([full, c]), np.concatenate([np.zeros(len(full), np.int64), w]), np.concatenate([size[full], w + window])
 
 
 def ranges(n: np.ndarray) -> np.ndarray:
@@ -320,12 +322,11 @@ def compared(sent: DataFrame, window: int, gram: int) -> DataFrame:
                 at += n * np.dtype(kind).itemsize
             cols[5].append(np.frombuffer(raw, np.uint8, -1, at))
         ids, keys, first, wins, left, data = (np.concatenate(x) for x in cols)
-        c, w = covered_windows(ids, wins.astype(np.int64), left.astype(np.int64), data, window, gram)
+        c, begin, end = covered_parts(ids, wins.astype(np.int64), left.astype(np.int64), data, window, gram)
         names, row = np.unique(keys, return_inverse=True)
         owner = np.zeros(len(names), np.int64)
         owner[row] = ids
-        begin = first[c] + w
-        got = list(per_row(row[c], begin, begin + window))
+        got = list(per_row(row[c], first[c] + begin, first[c] + end))
         found = pa.table({"id": pa.array([int(owner[i]) for i, _ in got], pa.int64()), "key": pa.array([int(names[i]) for i, _ in got], pa.int64()), "spans": pa.array([s for _, s in got], pa.binary())})
         return pa.concat_tables([known.cast(found.schema), found])
 
