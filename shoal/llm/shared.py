@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +59,44 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of all nodes of the edges of one task."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not parts:
+        return
+    ends = np.stack([np.concatenate(x) for x in zip(*parts, strict=True)])
+    node, index = np.unique(ends, return_inverse=True)
+    root = list(range(len(node)))
+    for i, j in index.reshape(2, -1).T.tolist():
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        while root[j] != j:
+            root[j] = root[root[j]]
+            j = root[j]
+        if i != j:  # the smaller node stays
+            root[max(i, j)] = min(i, j)
+    for i, r in enumerate(root):  # a root stands before what hangs on it
+        root[i] = root[r]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], names=["node", "label"])
+
+
+#: Edges that one task merges by itself, at 16 bytes each.
+MOST_IN_ONE_TASK = 1_000_000
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 40) -> DataFrame:
-    """Connected components by alternating large and small stars.
+    """Connected components: few edges are merged by one task, many by alternating large and small stars.
 
     edges has two long columns, x and y; self loops and repeated edges are fine. Returns (node,
     label) for every node of an edge between different nodes, label being the smallest node of the
-    component. Each round is a group minimum and a join, and is written to the shared folder; the
-    driver only reads the number of edges and a checksum.
+    component. Each round of stars is a group minimum and a join, and is written to the shared folder;
+    the driver only reads the number of edges and a checksum.
     """
     pairs = edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     pairs = staged(pairs, name)
+    if pairs.count() <= MOST_IN_ONE_TASK:
+        return staged(pairs.coalesce(1).mapInArrow(_merge, "node long, label long"), name)
     before = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
