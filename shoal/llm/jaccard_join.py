@@ -332,8 +332,9 @@ SQL = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as t from documents),
 sets as (select doc_id, case when len(t) = 0 then cast([] as varchar[]) when len(t) < 3 then [array_to_string(t, ' ')] else list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' '))) end as s from w),
 g as (select doc_id, len(s) as n, unnest(s) as x from sets),
-o as (select a.doc_id as p, b.doc_id as q, a.n as n, b.n as m, count(*) as k from g a join g b on a.x = b.x and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by all),
-e as (select p, q from o where 100 * k >= 90 * (n + m - k)),
+o as (select a.doc_id as p, b.doc_id as q, a.n as n, b.n as m, count(*) as k from g a join g b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by all),
+l as (select p, q from o where 100 * k >= 90 * (n + m - k)),
+e as (select p, q from l union all select q, p from l),
 r as (select doc_id as d, doc_id as c from documents union select e.q, r.c from r join e on r.d = e.p)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.c) as component_id from sets s join r on s.doc_id = r.d group by s.doc_id, len(s.s)
 """
