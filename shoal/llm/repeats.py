@@ -89,7 +89,7 @@ def anchors(text: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple
     for low in range(0, len(first), 1 << 15):
         f = first[low : low + (1 << 15)]
         place[low : low + len(f)] = f + np.argmax(h[f[:, None] + np.arange(reach)] == m[f][:, None], 1)
-    return m[first], first, last, place, running
+    return mix(m[first]), first, last, place, running  # mixed again: least hashes are small ones
 
 
 def batches_of(b: pa.RecordBatch, skip: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
