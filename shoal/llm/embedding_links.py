@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoal.llm.bytetext import BASE, mix
 from shoal.llm.shared import components, staged, tune
 
-TABLES, HASHES, PROBES, BLOCK, SEED = 10, 2, 3, 1024, 7
+TABLES, HASHES, PROBES, BLOCK, SEED = 10, 3, 3, 1024, 7
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -93,30 +94,33 @@ def unit(values: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return ok, out
 
 
-def entries(classes: DataFrame) -> DataFrame:
-    """(key, node, home, codes, x): one row per class and bucket; codes are all buckets of the class."""
+def hashed(classes: DataFrame) -> DataFrame:
+    """(node, lab, d, weight, codes, x): codes are the keys of the class's buckets, table by table, home first.
+
+    A key mixes label, length, table and bucket. Probes that name a bucket twice are given keys of their own.
+    """
+    every = 1 + PROBES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, vectors = unit(b.column("v"))
-            label, node = b.column("label").to_pylist(), b.column("node").to_numpy()
+            lab, node, weight = (b.column(c).to_numpy() for c in ("lab", "node", "weight"))
             length = np.array([len(x) for x in vectors])
             for d in np.unique(length):
                 of = np.flatnonzero(length == d)
                 for low in range(0, len(of), 512):
                     part = of[low : low + 512]
                     x = np.stack([vectors[i] for i in part])
-                    codes = buckets(x)
-                    # Probes that name a bucket twice are entered once.
-                    rows, tables, where = np.nonzero(first_of_each(codes))
-                    key = codes[rows, tables, where]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f"{label[part[r]]}/{d}/{t}/{c}" for r, t, c in zip(rows.tolist(), tables.tolist(), key.tolist(), strict=True)]), pa.array(node[part][rows]), pa.array(tables.astype(np.int32)), pa.array(where == 0),
-                         pa.array([codes[r].tobytes() for r in range(len(part))], pa.binary()).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(rows))],
-                        names=["key", "node", "t", "home", "codes", "x"],
-                    )
+                    raw = buckets(x)
+                    again = ~first_of_each(raw)
+                    key = mix(raw.astype(np.uint64) + np.arange(TABLES, dtype=np.uint64)[None, :, None] * np.uint64(BASE))
+                    key = mix(key ^ mix(lab[part].astype(np.uint64) + np.uint64(d))[:, None, None])
+                    own = mix(node[part].astype(np.uint64))[:, None, None] + np.arange(TABLES * every, dtype=np.uint64).reshape(TABLES, every)
+                    key = np.where(again, mix(own), key).view(np.int64).reshape(len(part), -1)
+                    codes = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * key.shape[1]), pa.array(key.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(lab[part]), pa.array(np.full(len(part), d, np.int32)), pa.array(weight[part]), codes, pa.array([v.tobytes() for v in x], pa.binary())], names=["node", "lab", "d", "weight", "codes", "x"])
 
-    return classes.mapInArrow(run, "key string, node long, t int, home boolean, codes binary, x binary")
+    return classes.mapInArrow(run, "node long, lab long, d int, weight long, codes array<long>, x binary")
 
 
 def first_of_each(codes: np.ndarray) -> np.ndarray:
@@ -132,9 +136,9 @@ def compare(cosine: float):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         a, z = key[1].as_py(), key[2].as_py()
         table = t.column("t")[0].as_py()
-        node, block, home, weight = (t.column(c).to_numpy() for c in ("node", "block", "home", "weight"))
+        node, block, home, weight, lab = (t.column(c).to_numpy() for c in ("node", "block", "home", "weight", "lab"))
         x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in t.column("x")])
-        codes = np.stack([np.frombuffer(v.as_buffer(), np.int64) for v in t.column("codes")]).reshape(len(x), TABLES, 1 + PROBES)
+        codes = t.column("codes").combine_chunks().flatten().to_numpy().reshape(len(x), TABLES, 1 + PROBES)
         left, right = np.flatnonzero(block == a), np.flatnonzero(block == z)
         count = np.zeros(len(x), np.int64)
         root = np.arange(len(x))
@@ -145,12 +149,12 @@ def compare(cosine: float):
                 i = root[i]
             return i
 
-        bucket = int(t.column("code")[0].as_py())
+        bucket = key[0].as_py()
         for low in range(0, len(left), 256):
             part = left[low : low + 256]
             i, j = np.nonzero(x[part] @ x[right].T >= cosine)
             i, j = part[i], right[j]
-            keep = (i < j if a == z else i >= 0) & (home[i] | home[j])
+            keep = (i < j if a == z else i >= 0) & (home[i] | home[j]) & (lab[i] == lab[j])
             i, j = i[keep], j[keep]
             for start in range(0, len(i), 20_000):
                 p, q = i[start : start + 20_000], j[start : start + 20_000]
@@ -189,18 +193,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = F.coalesce(F.col("label").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0), F.lit(False))
     rows = staged(rows.withColumn("usable", usable).withColumn("cls", F.when(F.col("usable"), F.xxhash64("label", "v", F.size("v")))), "vectors")
-    classes = rows.where("usable").groupBy(F.col("cls").alias("node")).agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("weight"))
-    classes = staged(classes, "vector-classes")
-    # An entry alone in its bucket has no partner; a bucket without a home has no pairs.
-    narrow = entries(classes)
-    narrow = staged(narrow, "entries")
-    sizes = narrow.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("some")).where("c > 1 and some").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    placed = narrow.join(sizes, "key").join(classes.select("node", "weight"), "node").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks").cast("long")).cast("int"))
+    classes = rows.where("usable").groupBy(F.col("cls").alias("node")).agg(F.xxhash64(F.first("label")).alias("lab"), F.first("v").alias("v"), F.count("*").alias("weight"))
+    classes = staged(hashed(classes), "vector-classes")
+    entry = classes.select("node", "d", F.posexplode("codes").alias("pos", "key"))
+    entry = entry.select("node", "d", "key", F.expr(f"pos div {1 + PROBES}").cast("int").alias("t"), (F.col("pos") % (1 + PROBES) == 0).alias("home"))
+    # An entry alone in its bucket has no partner; a bucket without a home has no pairs. Only the rest meets its vectors.
+    sizes = entry.groupBy("key", "d").agg(F.count("*").alias("c"), F.max("home").alias("some")).where("c > 1 and some").select("key", "d", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    placed = entry.join(sizes, ["key", "d"]).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks").cast("long")).cast("int"))
+    placed = placed.join(classes.drop("d"), "node")
     # Block b is compared with itself and every other one: (b, b), (b, c) for c > b and (a, b) for a < b.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = placed.select("*", F.substring_index("key", "/", -1).cast("long").alias("code"), other)
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("a", F.least("block", "other")).withColumn("z", F.greatest("block", "other"))
-    found = staged(pairs.groupBy("key", "a", "z").applyInArrow(compare(cosine), "node long, n long, root long"), "vector-links")
+    found = staged(pairs.groupBy("key", "a", "z", "d").applyInArrow(compare(cosine), "node long, n long, root long"), "vector-links")
     labels = components(found.select(F.col("node").alias("x"), F.col("root").alias("y")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     info = classes.select("node", "weight").join(counts, "node", "left").join(labels, "node", "left").select(F.col("node").alias("cls"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "node").alias("group"))
