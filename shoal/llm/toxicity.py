@@ -1,16 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary texts, with absolute discounting: a bigram's discounted
-share, backed off to the word's continuation share in the class (how many different words it
-follows), backed off to continuation counts shared by both classes. Words whose document counts do
-not differ between the classes beyond chance (|z| below `least_z`, or too rare to tell) and by a
-factor of LEAST_RATIO have only the shared counts, the same in both models, so they speak for
-neither class. A text's figure is the
-difference of the log-likelihoods over the square root of its number of words; a logistic curve,
-fitted on labelled texts that the counts have not seen, turns it into a score.
-
-Counts come from at most `max_docs` labelled texts of each class (the smallest by a hash of the id;
-of equal texts one), whole texts, counted on the executors.
+Two bigram models, of toxic and of ordinary texts, with absolute discounting, share their back-off. A
+word's model in a class is its discounted continuation share there (how many different words it
+follows), backed off to the continuation share of both classes together; a bigram's is its discounted
+share of its context in the class, backed off to the word's. Counts of bigrams are counts of texts. How
+far a word or bigram is backed off to what both classes share depends on how far its counts of texts
+tell them apart: the weight of the class's own share is the probability (TELLING before any count) that
+its texts are divided between the classes at an unknown rate rather than as all texts are. So a rare
+word speaks little, one whose texts are many and all toxic speaks fully, and none is left out.
+
+A text's figure is the difference of the log-likelihoods of all its words over the square root of their
+number; a logistic curve, fitted on labelled texts that the counts have not seen, turns it into a score.
+
+Counts come from all labelled texts (of equal texts of a class one) but those kept for the curve: of
+each class a fifth by a hash of the id, `max_docs` at most. They are summed per task, then shuffled; the
+bigrams' table stays distributed, and texts meet it in a join. The words' table is sent to the tasks if
+it has at most `most_words` rows, otherwise it is joined as well.
 
 Texts without words (null, empty, only punctuation) get the score of figure 0. Labels other than 0
 and 1 and rows with a null id are not learnt from; an id labelled twice counts as toxic if one label
@@ -28,21 +33,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.bytetext import ALNUM, BASE, mix, words
-from shoal.llm.shared import tune
+from shoal.llm.shared import staged, tune
 
-MAX_DOCS, LEAST_Z, LEAST_DOCS, LEAST_RATIO, DISCOUNT = 10_000, 5.0, 4, 3.0, 0.75
+MAX_DOCS, DISCOUNT, TELLING = 10_000, 0.75, 1e-4
 START = np.uint64(0x51AB7)
-#: One bigram kind in so many, by hash, stands for the rest when their number is estimated.
-THIN = np.uint64(63)
+#: Rows that may be sent to all tasks: words (24 bytes each), labelled ids, texts' figures.
+MOST_WORDS = MOST_ROWS = 1_000_000
+#: Bits of the table that tells which bigrams can't have been counted.
+BITS = 1 << 26
+
+
+class Table(NamedTuple):
+    rows: DataFrame | None  # (key, value): what a word or bigram adds to a text's log-likelihood ratio
+    size: int
 
 
 class Model(NamedTuple):
-    word: np.ndarray  # sorted hashes of the words that tell the classes apart
-    unigram: np.ndarray  # [class, word]
-    pair: np.ndarray  # sorted hashes of bigrams that end in such a word
-    share: np.ndarray  # [class, pair] discounted share
-    context: np.ndarray  # sorted hashes of the words that such bigrams begin with
-    backoff: np.ndarray  # [class, context]
+    word: Table
+    pair: Table  # value beyond the last word's
+    key: np.ndarray | None  # sorted hashes of all words and
+    value: np.ndarray | None  # their values, if they are few enough to be sent
+    maybe: np.ndarray | None  # BITS bits, set where a bigram of the table falls
     curve: tuple[float, float]  # slope and intercept
 
 
@@ -66,33 +77,58 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(BASE) + w)
 
 
-def figures(arr: pa.Array, m: Model) -> np.ndarray:
-    """Summed difference of the log-likelihoods over the square root of the number of words."""
-    out = np.zeros(len(arr))
-    if not len(m.word):
-        return out
-    likely = np.zeros(1 << 16, bool)
-    likely[(m.word >> np.uint64(48)).astype(np.int64)] = True
-    for part in words(arr, ALNUM):
-        spot = np.flatnonzero(likely[(part.hash >> np.uint64(48)).astype(np.int64)])
-        at, ok = find(m.word, part.hash[spot])
-        spot, at = spot[ok], at[ok]
-        n = np.diff(part.first)
-        if not len(spot):
-            continue
-        v = before(part.hash, part.first)[spot]
-        v_at, v_ok = find(m.context, v)
-        g_at, g_ok = find(m.pair, pair_hash(v, part.hash[spot]))
-        p = []
-        for c in (0, 1):
-            back = np.where(v_ok, m.backoff[c][v_at], 1.0) if len(m.context) else 1.0
-            kept = np.where(g_ok, m.share[c][g_at], 0.0) if len(m.pair) else 0.0
-            p.append(back * m.unigram[c][at] + kept)
-        doc = np.searchsorted(part.first, spot, "right") - 1
-        out[part.low : part.high] = np.bincount(doc, np.log(p[1] / p[0]), part.high - part.low) / np.sqrt(np.maximum(n, 1))
+def distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pair of key and document stands first, by key, and how often the pair occurs."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    return order[new], np.diff(np.append(np.flatnonzero(new), len(k)))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x of 1 and more, by Stirling's series from x + 8 on."""
+    y = x + 8.0
+    out = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    for i in range(8):
+        out = out - np.log(x + i)
     return out
 
 
+def telling(n0: np.ndarray, n1: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Probability that of n0 + n1 texts n1 are toxic at an unknown rate, not at the rate share."""
+    even = n1 * np.log(share) + n0 * np.log1p(-share)
+    apart = log_gamma(n1 + 1.0) + log_gamma(n0 + 1.0) - log_gamma(n0 + n1 + 2.0)
+    return 1 / (1 + np.exp(-np.clip(apart - even + np.log(TELLING / (1 - TELLING)), -40, 40)))
+
+
+def word_ratios(d: dict[str, np.ndarray], share: float, kinds: tuple[float, float, float], types: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each class's share of a word over the shared one, and the shared one. d: texts n0, n1 and kinds of
+    bigrams f0, f1 that end in the word, f of both together; kinds, types: of each class all kinds of
+    bigrams, and all words."""
+    shared = np.maximum(d["f"], 0.5) / max(1.0, kinds[2])
+    s = telling(d["n0"], d["n1"], share)
+    r = []
+    for c in (0, 1):
+        own = (np.maximum(d[f"f{c}"] - DISCOUNT, 0) / shared + DISCOUNT * types[c]) / max(1.0, kinds[c])
+        r.append((1 - s) + s * own)
+    return r[0], r[1], shared
+
+
+def pair_values(d: dict[str, np.ndarray], share: float) -> np.ndarray:
+    """What a bigram adds to its last word's value. d: texts n0, n1; of the context in each class all
+    texts t0, t1 and kinds k0, k1, kinds of both together k; the word's ratios r0, r1 and shared share u."""
+    odds = share * d["r1"] / ((1 - share) * d["r0"])
+    s = telling(d["n0"], d["n1"], np.clip(odds / (1 + odds), 1e-9, 1 - 1e-9))
+    back = (np.maximum(d["n0"] + d["n1"] - DISCOUNT, 0) + DISCOUNT * d["k"] * d["u"]) / (d["t0"] + d["t1"])
+    p = []
+    for c in (0, 1):
+        low, t = d[f"r{c}"] * d["u"], d[f"t{c}"]
+        own = np.where(t > 0, (np.maximum(d[f"n{c}"] - DISCOUNT, 0) + DISCOUNT * d[f"k{c}"] * low) / np.maximum(t, 1), low)
+        p.append((1 - s) * back * d[f"r{c}"] + s * own)
+    return np.log(p[1] / p[0]) - np.log(d["r1"] / d["r0"])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton's method with a little ridge."""
     if not len(y) or y.min() == y.max():
@@ -110,115 +146,143 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(b[0] / scale), float(b[1])
 
 
-def estimate(word: np.ndarray, pairs: dict[str, np.ndarray], kinds: tuple[float, float], totals: dict) -> Model:
-    """pairs: of each class c the bigrams' v, w and count n; kinds: bigram kinds of each class;
-    totals: (class, v) to how often v begins a bigram."""
-    key = pair_hash(pairs["v"], pairs["w"])
-    pair, pair_at = np.unique(key, return_inverse=True)
-    context, context_at = np.unique(pairs["v"], return_inverse=True)
-    follows = np.zeros((2, len(word)))
-    np.add.at(follows, (pairs["c"], np.searchsorted(word, pairs["w"])), 1)
-    shared = np.maximum(follows.sum(0), 0.5) / max(1.0, sum(kinds))
-    unigram = np.zeros((2, len(word)))
-    share, backoff = np.zeros((2, len(pair))), np.ones((2, len(context)))
-    for c in (0, 1):
-        unigram[c] = np.maximum(follows[c] - DISCOUNT, 0) / max(1.0, kinds[c]) + 0.02 * shared
-        of = pairs["c"] == c
-        total = np.array([totals.get((c, int(v)), 1) for v in pairs["v"][of].tolist()] or [1.0])[: of.sum()]
-        kept = np.maximum(pairs["n"][of] - DISCOUNT, 0) / np.maximum(total, pairs["n"][of])
-        np.add.at(share[c], pair_at[of], kept)
-        np.add.at(backoff[c], context_at[of], -kept)
-    return Model(word, unigram, pair, share, context, np.maximum(backoff, 0.05), (1.0, 0.0))
-
-
 def columns(df: DataFrame) -> dict[str, np.ndarray]:
     """A bounded result as arrays; long columns that hold hashes come as they are."""
     return {c: x.to_numpy() for c, x in zip(df.columns, df.toArrow().combine_chunks().itercolumns(), strict=True)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, least_z: float = LEAST_Z) -> Model:
-    """The model from labelled texts. A fifth of the sample, by hash, is kept for the curve alone."""
-    spark = docs.sparkSession
-    tune(spark)
-    known = labels.where(f"{id_col} is not null and {label_col} in (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("cls"))
-    totals = {r["cls"]: r["count"] for r in known.groupBy("cls").count().collect()}
-    order = [F.xxhash64(F.lit("sample"), "id"), F.col("id")]
-    picked = [r for c in sorted(totals) for r in known.where(F.col("cls") == c).orderBy(*order).limit(max_docs).collect()]
-    wanted = spark.createDataFrame([(r["id"], int(r["cls"])) for r in picked], "id long, cls int")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    prints = rows.join(F.broadcast(wanted), "id").select("id", "cls", F.xxhash64("text").alias("h")).collect()  # at most 2 * max_docs ids
-    one = {(r["cls"], r["h"]): r["id"] for r in sorted(prints, key=lambda r: -r["id"])}
-    sample = spark.createDataFrame([(i, c) for (c, _), i in one.items()], "id long, cls int").withColumn("curve", F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(5)) == 0)
-    texts = rows.join(F.broadcast(sample), "id")
-    count_from = texts.where("not curve").select("cls", "text")
-    size = {r["cls"]: r["count"] for r in sample.where("not curve").groupBy("cls").count().collect()}
-    n0, n1 = float(size.get(0, 0)), float(size.get(1, 0))
-
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cls = b.column("cls").to_numpy()
-            for part in words(b.column("text"), ALNUM):
-                n = np.diff(part.first)
-                doc = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((doc, part.hash))
-                h, d = part.hash[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                h, c = h[new], cls[part.low : part.high][d[new]]
-                u, at = np.unique(h, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *(pa.array(np.bincount(at, c == k, len(u)).astype(np.int64)) for k in (0, 1))], names=["w", "a", "b"])
-
-    found = count_from.mapInArrow(documents, "w long, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
-    both = max(1.0, n0 + n1)
-    p = (F.col("a") + F.col("b")) / both
-    z = (F.col("b") - p * n1) / F.sqrt(p * (1 - p) * n0 * n1 / both + 0.5)
-    ratio = F.log((F.col("b") + 0.5) * (n0 + 1) / ((F.col("a") + 0.5) * (n1 + 1)))
-    word = np.sort(columns(found.where((F.abs(z) >= least_z) & (F.abs(ratio) >= np.log(LEAST_RATIO))).select("w"))["w"].astype(np.int64).view(np.uint64))
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {n: x.to_numpy(zero_copy_only=False).astype(float) for n, x in zip(b.schema.names, b.columns, strict=True)}
+
+
+def few(df: DataFrame, n: int, most: int = MOST_ROWS) -> DataFrame:
+    """df, of n rows, sent to all tasks by a join if they are few."""
+    return F.broadcast(df) if n <= most else df
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(v, w, n0, n1): texts of each class that hold the bigram; with a null v, that hold the word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cls = b.column("cls").to_numpy()
             for part in words(b.column("text"), ALNUM):
                 h, v = part.hash, before(part.hash, part.first)
-                c = np.repeat(cls[part.low : part.high], np.diff(part.first))
-                g = pair_hash(v, h)
-                _, ends = find(word, h)
-                thin = (g & THIN) == 0
-                for kind, take in ((0, ends), (1, thin & ~ends)):
-                    take = np.flatnonzero(take)
-                    order = take[np.lexsort((g[take], c[take]))]
-                    new = np.ones(len(order), bool)
-                    new[1:] = (g[order[1:]] != g[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
-                    one = order[new]
-                    n = np.diff(np.append(np.flatnonzero(new), len(order)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), kind, np.int32)), pa.array(c[one].astype(np.int32)), pa.array(v[one].view(np.int64)), pa.array(h[one].view(np.int64)), pa.array(n)], names=["kind", "c", "v", "w", "n"])
-
-    bigrams = count_from.mapInArrow(follow, "kind int, c int, v long, w long, n long").groupBy("kind", "c", "v", "w").agg(F.sum("n").alias("n"))
-    got = columns(bigrams.where("kind = 0").select("c", "v", "w", "n"))
-    pairs = {"c": got["c"].astype(np.int64), "v": got["v"].astype(np.int64).view(np.uint64), "w": got["w"].astype(np.int64).view(np.uint64), "n": got["n"].astype(float)}
-    thin = {r["c"]: r["count"] for r in bigrams.where("kind = 1").groupBy("c").count().collect()}
-    begins = np.unique(pairs["v"])
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                doc = np.repeat(np.arange(part.low, part.high), np.diff(part.first))
+                for key, null in ((pair_hash(v, h), False), (h, True)):
+                    one, _ = distinct(key, doc)
+                    if not len(one):
+                        continue
+                    first = np.flatnonzero(np.append(True, key[one[1:]] != key[one[:-1]]))
+                    n = np.diff(np.append(first, len(one)))
+                    n1 = np.add.reduceat((cls[doc[one]] == 1).astype(np.int64), first)
+                    at = one[first]
+                    vs = pa.nulls(len(at), pa.int64()) if null else pa.array(v[at].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([vs, pa.array(h[at].view(np.int64)), pa.array(n - n1), pa.array(n1)], names=["v", "w", "n0", "n1"])
+
+    return texts.mapInArrow(count, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def estimate(found: DataFrame, share: float, most_words: int = MOST_WORDS) -> Model:
+    """found: counted(), staged; share: of the counted texts the toxic ones."""
+    spark = found.sparkSession
+    pairs = found.where("v is not null")
+    seen = [F.count_if(F.col(f"n{c}") > 0) for c in (0, 1)]
+    follows = pairs.groupBy("w").agg(seen[0].alias("f0"), seen[1].alias("f1"), F.count("*").alias("f"))
+    per_word = staged(found.where("v is null").drop("v").join(follows, "w"), "toxic-words")
+    got = per_word.agg(*(F.sum(x) for x in ("f0", "f1", "f")), *(F.count_if(F.col(f"f{c}") > 0) for c in (0, 1)), F.count("*")).first()
+    kinds, types, n_words = tuple(float(x or 0) for x in got[:3]), tuple(float(x) for x in got[3:5]), got[5]
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls = b.column("cls").to_numpy()
-            for part in words(b.column("text"), ALNUM):
-                at, ok = find(begins, before(part.hash, part.first))
-                c = np.repeat(cls[part.low : part.high], np.diff(part.first))
-                for k in (0, 1):
-                    n = np.bincount(at[ok & (c == k)], minlength=len(begins))
-                    some = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(begins[some].view(np.int64)), pa.array(n[some])], names=["c", "v", "n"])
-
-    starts = count_from.mapInArrow(start, "c int, v long, n long").groupBy("c", "v").agg(F.sum("n").alias("n")).collect()
-    of = {(r["c"], r["v"] % (1 << 64)): r["n"] for r in starts}
-    model = estimate(word, pairs, tuple(float(thin.get(c, 0)) * 64 for c in (0, 1)), of)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(figures(b.column("text"), model))], names=["cls", "x"])
+            r0, r1, u = word_ratios(arrays(b.drop_columns(["w"])), share, kinds, types)
+            yield pa.RecordBatch.from_arrays([b.column("w"), *map(pa.array, (r0, r1, u))], names=["w", "r0", "r1", "u"])
+
+    rated = staged(per_word.mapInArrow(rate, "w long, r0 double, r1 double, u double"), "toxic-ratios")
+    context = staged(pairs.groupBy("v").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), seen[0].alias("k0"), seen[1].alias("k1"), F.count("*").alias("k")), "toxic-contexts")
+    joined = pairs.join(few(rated, n_words), "w").join(few(context, context.count()), "v")
 
-    held = columns(texts.where("curve").select("cls", "text").mapInArrow(look, "cls int, x double"))
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, w = (b.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
+            x = pair_values(arrays(b.drop_columns(["v", "w"])), share)
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(v, w).view(np.int64)), pa.array(x)], names=["key", "value"])
+
+    table = staged(joined.mapInArrow(value, "key long, value double"), "toxic-pairs")
+    place = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    bits = columns(table.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")))
+    maybe = np.zeros(BITS >> 6, np.int64)
+    maybe[bits["at"].astype(np.int64)] = bits["bits"]
+    values = rated.select(F.col("w").alias("key"), F.log(F.col("r1") / F.col("r0")).alias("value"))
+    key = x = None
+    if n_words <= most_words:
+        got = columns(values)
+        key = got["key"].astype(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        key, x = key[order], got["value"].astype(float)[order]
+    return Model(Table(values, n_words), Table(table, int(kinds[2])), key, x, maybe.view(np.uint64), (1.0, 0.0))
+
+
+def figures(texts: DataFrame, m: Model) -> DataFrame:
+    """(h, x) of each distinct hash of a text: summed log-likelihood ratios over the square root of the
+    number of words. texts: h, text."""
+    if not m.word.size:
+        return texts.select("h").distinct().withColumn("x", F.lit(0.0))
+    key, value, maybe = m.key, m.value, m.maybe
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text_hash = b.column("h").to_numpy()
+            for part in words(b.column("text"), ALNUM):
+                n = np.diff(part.first)
+                doc = np.repeat(np.arange(len(n)), n)
+                total = np.zeros(len(n))
+                ask = []
+                if key is not None:
+                    at, ok = find(key, part.hash)
+                    total = np.bincount(doc[ok], value[at[ok]], len(n))
+                else:
+                    ask.append((part.hash, doc))
+                g = pair_hash(before(part.hash, part.first), part.hash)
+                place = g & np.uint64(BITS - 1)
+                some = (maybe[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                ask.append((g[some], doc[some]))
+                here = text_hash[part.low : part.high]
+                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(here), pa.array(np.ones(len(n), np.int32)), pa.array(total), pa.array(n)], names=["h", "key", "n", "x", "words"])
+                for k, d in ask:
+                    one, often = distinct(k, d)
+                    yield pa.RecordBatch.from_arrays([pa.array(here[d[one]]), pa.array(k[one].view(np.int64)), pa.array(often.astype(np.int32)), pa.nulls(len(one), pa.float64()), pa.nulls(len(one), pa.int64())], names=["h", "key", "n", "x", "words"])
+
+    table = m.pair.rows if key is not None else m.pair.rows.unionByName(m.word.rows)
+    asked = texts.mapInArrow(emit, "h long, key long, n int, x double, words long").join(table, "key", "left")
+    # A text's own row has its hash as key and takes nothing from the table; equal texts are summed, then shared out.
+    part = F.when(F.col("words").isNotNull(), F.col("x")).otherwise(F.col("n") * F.coalesce("value", F.lit(0.0)))
+    summed = asked.groupBy("h").agg(F.sum(part).alias("x"), F.sum("words").alias("words"), F.count("words").alias("copies"))
+    return summed.select("h", (F.col("x") / F.col("copies") / F.sqrt(F.greatest(F.col("words") / F.col("copies"), F.lit(1.0)))).alias("x"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, most_words: int = MOST_WORDS) -> Model:
+    """The model from all labelled texts. Of each class a fifth, by hash, and max_docs at most, is kept for the curve alone."""
+    spark = docs.sparkSession
+    tune(spark)
+    known = labels.where(f"{id_col} is not null and {label_col} in (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("cls"))
+    totals = {r["cls"]: r["count"] for r in known.groupBy("cls").count().collect()}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    prints = rows.join(few(known, sum(totals.values())), "id").select("id", "cls", F.xxhash64("text").alias("h"))
+    one = staged(prints.groupBy("cls", "h").agg(F.min("id").alias("id")).select("id", "cls").distinct(), "toxic-labelled")
+    drawn = one.where(F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(5)) == 0)
+    order = [F.xxhash64(F.lit("sample"), "id"), F.col("id")]
+    held = [(r["id"],) for c in sorted(totals) for r in drawn.where(F.col("cls") == c).orderBy(*order).limit(max_docs).collect()]
+    curve = spark.createDataFrame(held, "id long")
+    counts = one.join(F.broadcast(curve), "id", "left_anti")
+    size = {r["cls"]: r["count"] for r in counts.groupBy("cls").count().collect()}
+    found = staged(counted(rows.join(few(counts, sum(size.values())), "id").select("cls", "text")), "toxic-counts")
+    n0, n1 = size.get(0, 0), size.get(1, 0)
+    model = estimate(found, (n1 + 0.5) / (n0 + n1 + 1), most_words)
+    wanted = one.join(F.broadcast(curve), "id")
+    texts = rows.join(F.broadcast(wanted), "id").select(F.xxhash64("text").alias("h"), "cls", "text")
+    seen = texts.select("h", "cls").distinct().join(figures(texts.select("h", "text"), model), "h")
+    held = columns(seen.select("cls", "x"))
     y, x = held["cls"].astype(float), held["x"].astype(float)
     weight = np.where(y > 0, totals.get(1, 0) / max(1, y.sum()), totals.get(0, 0) / max(1, (1 - y).sum()))
     return model._replace(curve=logistic(x, y, weight / max(1e-9, weight.mean()) if len(weight) else weight))
@@ -228,15 +292,12 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
     """df's columns and the score (double, 0 to 1); a column of that name is replaced."""
     tune(df.sparkSession)
     df = df.select(*[F.col(c) for c in df.columns if c != name])
-    at = df.columns.index(text_col)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slope, intercept = model.curve
-        for b in batches:
-            s = 1 / (1 + np.exp(-np.clip(slope * figures(b.column(at), model) + intercept, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, name])
-
-    return df.mapInArrow(judge, df.withColumn(name, F.lit(0.0)).schema)
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = staged(figures(df.select(h.alias("h"), F.col(text_col).alias("text")), model), "toxic-figures")
+    slope, intercept = model.curve
+    s = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("_x") + intercept))))
+    found = few(found.select(F.col("h").alias("_h"), F.col("x").alias("_x")), found.count())
+    return df.withColumn("_h", h).join(found, "_h").select(*df.columns, s.alias(name))
 
 
 def held_out(id_col: str = "doc_id"):
