@@ -41,3 +41,11 @@ def test_joined_words_score_as_sent_ones(spark):
     sent, joined = (scores(spark, toxicity.fit(df, labels, most_words=n), texts) for n in (toxicity.MOST_WORDS, 0))
     assert sent == pytest.approx(joined, abs=1e-9)
     assert sent[31] == sent[32]
+
+
+def test_counts_do_not_stop_at_max_docs(spark):
+    df, labels, docs, known = corpus(spark, 600, lambda i, rng: [rng.choice(["vile", "rotten", "awful"]) for _ in range(3)] if rng.random() < 0.3 else [])
+    model = toxicity.fit(df, labels.where("doc_id % 5 > 0"), max_docs=20)
+    held = [i for i in range(600) if i % 5 == 0]
+    said = scores(spark, model, [docs[i][1] for i in held])
+    assert sum((s >= 0.5) == bool(known[i][1]) for s, i in zip(said, held, strict=True)) > 0.95 * len(held)
