@@ -1,6 +1,7 @@
 """What the toxicity model counts and scores: all words, all labelled texts, all kinds of bigrams."""
 
 import random
+import re
 
 import pytest
 
@@ -49,3 +50,12 @@ def test_counts_do_not_stop_at_max_docs(spark):
     held = [i for i in range(600) if i % 5 == 0]
     said = scores(spark, model, [docs[i][1] for i in held])
     assert sum((s >= 0.5) == bool(known[i][1]) for s, i in zip(said, held, strict=True)) > 0.95 * len(held)
+
+
+def test_kinds_of_bigrams_are_counted(spark):
+    df, labels, docs, known = corpus(spark, 60, lambda i, rng: ["trash"] if i % 20 == 0 else [])
+    found = toxicity.counted(df.join(labels, "doc_id").selectExpr("toxic as cls", "text"))
+    kinds = {(c, v, w) for (_, t), (_, c) in zip(docs, known, strict=True) for v, w in zip([None, *t.split()], re.findall(r"\w+", t), strict=False)}
+    got = found.where("v is not null").selectExpr("count_if(n0 > 0)", "count_if(n1 > 0)").first()
+    assert tuple(got) == tuple(sum(k[0] == c for k in kinds) for c in (0, 1))
+    assert toxicity.fit(df, labels, max_docs=0).pair.size == len({k[1:] for k in kinds})
