@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,61 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the table of hashes that occur again (16 MB), hashes that one task deals out at once.
+AGAIN_BITS, DEALT = 27, 1_000_000
+
+
+def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = AGAIN_BITS) -> np.ndarray:
+    """A bitmap of fixed size over the top bits of the 64-bit hashes that occur twice or more. It misses
+    none and may hold strangers, the more the fuller it is.
+
+    Hashes are dealt out by their top bits, four bytes each, and of those that a task has seen several
+    times at once two are sent; the driver gets the parts of the bitmap. There are as many groups as
+    the reading takes tasks, sixteen times over, so that a group's size doesn't grow with the input.
+    """
+    radix_bits = min(bits - 3, max(6, math.ceil(math.log2(max(1, df.rdd.getNumPartitions()))) + 4))
+    piece_bits = bits - radix_bits
+
+    def send(have: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(have)
+        h.sort()
+        h = h[np.append(np.ones(min(2, len(h)), bool), (h[2:] != h[1:-1]) | (h[2:] != h[:-2]))]
+        cut = np.searchsorted(h >> np.uint64(64 - radix_bits), np.arange((1 << radix_bits) + 1, dtype=np.uint64))
+        low = ((h << np.uint64(radix_bits)) >> np.uint64(32)).astype(np.uint32)
+        some = np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["radix", "low"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, size = [], 0
+        for b in batches:
+            for h in hashes(b):
+                have.append(h)
+                size += len(h)
+                if size > DEALT:
+                    yield send(have)
+                    have, size = [], 0
+        if size:
+            yield send(have)
+
+    def settle(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("low")])
+        low.sort()
+        found = np.zeros(1 << piece_bits, bool)
+        found[low[1:][low[1:] == low[:-1]] >> np.uint32(32 - piece_bits)] = True
+        return pa.table({"radix": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((1 << radix_bits, (1 << piece_bits) // 8), np.uint8)
+    for r in df.mapInArrow(deal, "radix int, low binary").groupBy("radix").applyInArrow(settle, "radix int, bits binary").toLocalIterator():
+        out[r["radix"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes fall on a bit of repeated_bits()."""
+    spot = (h >> np.uint64(64 - (8 * len(bitmap) - 1).bit_length())).astype(np.int64)
+    return bitmap[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 > 0
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labels of all nodes of the edges of one task."""
     parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]

@@ -1,29 +1,40 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary texts, with absolute discounting, share their back-off. A
-word's model in a class is its discounted continuation share there (how many different words it
-follows), backed off to the continuation share of both classes together; a bigram's is its discounted
-share of its context in the class, backed off to the word's. Counts of bigrams are counts of texts. How
-far a word or bigram is backed off to what both classes share depends on how far its counts of texts
-tell them apart: the weight of the class's own share is the probability (TELLING before any count) that
-its texts are divided between the classes at an unknown rate rather than as all texts are. So a rare
-word speaks little, one whose texts are many and all toxic speaks fully, and none is left out.
-
-A text's figure is the difference of the log-likelihoods of all its words over the square root of their
-number; a logistic curve, fitted on labelled texts that the counts have not seen, turns it into a score.
+Two bigram models, of toxic and of ordinary texts, share their back-off. Counts are counts of texts. A
+text is START, its words, END; all but START are predicted, so that every word is a context once.
 
-Counts come from all labelled texts (of equal texts of a class one) but those kept for the curve: of
-each class a fifth by a hash of the id, `max_docs` at most. They are summed per task, then shuffled; the
-bigrams' table stays distributed, and texts meet it in a join. The words' table is sent to the tasks if
-it has at most `most_words` rows, otherwise it is joined as well.
+Words. The vocabulary is every word found in two or more texts; all others are the unknown word, which
+keeps their kinds of bigrams. p(w), the share of all kinds of bigrams that end in w, is common to both
+classes. A class's own share discounts its kinds by DISCOUNT and gives what that frees to p. How far w
+keeps its class's own share is s(w), the probability (TELLING before any count) that its texts are
+divided between the classes at a rate of their own rather than as all texts are. So a rare word speaks
+little, one whose texts are many and all toxic speaks fully, and none is left out.
+
+Bigrams. q(w|v) discounts the texts of both classes that hold vw and gives the rest to p(w); a class's
+own model does the same with its texts and its word shares. s(vw) says again how far the class's own
+model counts; a bigram of one text gives its whole count to the back-off. Both levels are normalised:
+for every context the probabilities of all words, the unknown one and END add up to one.
 
-Texts without words (null, empty, only punctuation) get the score of figure 0. Labels other than 0
-and 1 and rows with a null id are not learnt from; an id labelled twice counts as toxic if one label
-says so. Where the labels hold one class only, or none, all texts get that class's or a low score.
+A text's figure is the difference of its two log-likelihoods over the number of its predictions; a
+logistic curve, fitted on labelled texts that the counts have not seen, turns it into a score.
+
+Counts come from all labelled texts (of equal texts of a class one) but those kept for the curve: of
+each class a fifth by a hash of the id, `max_docs` at most. A first pass finds which words and bigrams
+are in two texts, four bytes each; of the others only the sums that words and contexts need are
+shuffled. Scoring looks up the words and bigrams of the most texts, at most `most_local`, in a table that
+every task has; the rest are dealt out by their hash to slices of the table that stays distributed,
+packed with the texts they are in, and groups of more than GROUP_BYTES are split.
+
+Words, bigrams and texts are told apart by 64-bit hashes. Texts without words (null, empty, only
+punctuation) get the score of figure 0. Labels other than 0 and 1 and rows with a null id are not
+learnt from; an id labelled twice counts as toxic if one label says so; rows with equal ids are texts
+of their own. Where the labels hold one class only, or none, all texts get that class's or a low score.
+Columns of any name pass through; one with the score's name is replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,28 +43,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm.bytetext import ALNUM, BASE, mix, words
-from shoal.llm.shared import staged, tune
+from shoal.llm.bytetext import ALNUM, BASE, Words, mix, words
+from shoal.llm.shared import marked, repeated_bits, staged, tune
 
 MAX_DOCS, DISCOUNT, TELLING = 10_000, 0.75, 1e-4
-START = np.uint64(0x51AB7)
-#: Rows that may be sent to all tasks: words (24 bytes each), labelled ids, texts' figures.
-MOST_WORDS = MOST_ROWS = 1_000_000
-#: Bits of the table that tells which bigrams can't have been counted.
-BITS = 1 << 26
-
-
-class Table(NamedTuple):
-    rows: DataFrame | None  # (key, value): what a word or bigram adds to a text's log-likelihood ratio
-    size: int
+#: Hashes that stand for the ends of a text and for the unknown word.
+START, END, UNKNOWN = (np.uint64(x) for x in (0x9A3F5C17E2B84D61, 0x5D17B0C94E6FA283, 0xC6E8213B7F90D4A5))
+#: Entries that every task has (16 bytes each), rows that may be sent to all tasks (16 bytes each).
+MOST_LOCAL, MOST_ROWS = 200_000, 1_000_000
+#: Tokens that are packed at once, entries of one slice of the table, bytes that one group of packed tokens may have.
+TOKENS, SLICE, GROUP_BYTES = 1_000_000, 200_000, 32 << 20
+#: Bits of the table that tells which words and bigrams are not in the distributed one.
+BITS = 25
 
 
 class Model(NamedTuple):
-    word: Table
-    pair: Table  # value beyond the last word's
-    key: np.ndarray | None  # sorted hashes of all words and
-    value: np.ndarray | None  # their values, if they are few enough to be sent
-    maybe: np.ndarray | None  # BITS bits, set where a bigram of the table falls
+    key: np.ndarray  # sorted hashes of the words and bigrams of the most texts and
+    value: np.ndarray  # what each adds to a text's log-likelihood ratio
+    rest: DataFrame | None  # (key, value) of all others, None if there are none
+    maybe: np.ndarray | None  # bitmap over their low bits
+    slices: int  # the binary logarithm of how many slices they are dealt out to
+    unknown: float  # what any prediction adds, known or not
+    size: tuple[int, int]  # words and bigrams
     curve: tuple[float, float]  # slope and intercept
 
 
@@ -65,16 +76,22 @@ def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == h
 
 
-def before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Each word's predecessor, START for the first of a text."""
-    v = np.concatenate([[START], h[:-1]]) if len(h) else h
-    begin = first[:-1]
-    v[begin[begin < len(h)]] = START
-    return v
+def sequences(part: Words) -> tuple[np.ndarray, np.ndarray]:
+    """START, words, END of each text that has words, one after another; and the text of each."""
+    n = np.diff(part.first)
+    size = np.where(n > 0, n + 2, 0)
+    end = np.cumsum(size)
+    begin = end - size
+    out = np.empty(int(size.sum()), np.uint64)
+    out[np.repeat(begin + 1 - part.first[:-1], n) + np.arange(len(part.hash))] = part.hash
+    out[begin[n > 0]], out[end[n > 0] - 1] = START, END
+    return out, np.repeat(np.arange(len(n)), size)
 
 
-def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * np.uint64(BASE) + w)
+def bigrams(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token and its successor within the text, and where these stand."""
+    at = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
+    return mix(token[at] * np.uint64(BASE) + token[at + 1]), at
 
 
 def distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,31 +119,38 @@ def telling(n0: np.ndarray, n1: np.ndarray, share: np.ndarray | float) -> np.nda
     return 1 / (1 + np.exp(-np.clip(apart - even + np.log(TELLING / (1 - TELLING)), -40, 40)))
 
 
-def word_ratios(d: dict[str, np.ndarray], share: float, kinds: tuple[float, float, float], types: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each class's share of a word over the shared one, and the shared one. d: texts n0, n1 and kinds of
-    bigrams f0, f1 that end in the word, f of both together; kinds, types: of each class all kinds of
-    bigrams, and all words."""
-    shared = np.maximum(d["f"], 0.5) / max(1.0, kinds[2])
-    s = telling(d["n0"], d["n1"], share)
+class Totals(NamedTuple):
+    kinds: tuple[float, float, float]  # of bigrams: in each class, in both together
+    types: tuple[float, float]  # words of the vocabulary, the unknown one too, that end a bigram of the class
+    share: float  # of the texts the toxic ones
+
+
+def word_ratios(d: dict[str, np.ndarray], t: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p and each class's share over p, not yet normalised. d: texts n0, n1 and kinds f0, f1, f of bigrams
+    that end in the word; one that ends none has p = 0 and ratios of 1."""
+    p = d["f"] / max(1.0, t.kinds[2])
+    s = telling(d["n0"], d["n1"], t.share)
     r = []
     for c in (0, 1):
-        own = (np.maximum(d[f"f{c}"] - DISCOUNT, 0) / shared + DISCOUNT * types[c]) / max(1.0, kinds[c])
-        r.append((1 - s) + s * own)
-    return r[0], r[1], shared
+        own = np.maximum(d[f"f{c}"] - DISCOUNT, 0) / np.where(p > 0, p, 1.0)
+        r.append(np.where((p > 0) & (t.kinds[c] > 0), (1 - s) + s * (own + DISCOUNT * t.types[c]) / max(1.0, t.kinds[c]), 1.0))
+    return p, r[0], r[1]
 
 
-def pair_values(d: dict[str, np.ndarray], share: float) -> np.ndarray:
-    """What a bigram adds to its last word's value. d: texts n0, n1; of the context in each class all
-    texts t0, t1 and kinds k0, k1, kinds of both together k; the word's ratios r0, r1 and shared share u."""
+def pair_values(d: dict[str, np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a bigram adds beyond its last word, and its probability in each class, not yet normalised.
+    d: texts n0, n1; the last word's p and normalised ratios r0, r1; of the context all texts t0, t1 and
+    what its bigrams keep of them after the discount, o0, o1, and o of both together."""
     odds = share * d["r1"] / ((1 - share) * d["r0"])
     s = telling(d["n0"], d["n1"], np.clip(odds / (1 + odds), 1e-9, 1 - 1e-9))
-    back = (np.maximum(d["n0"] + d["n1"] - DISCOUNT, 0) + DISCOUNT * d["k"] * d["u"]) / (d["t0"] + d["t1"])
-    p = []
+    t = d["t0"] + d["t1"]
+    back = (d["n0"] + d["n1"] - DISCOUNT + (t - d["o"]) * d["p"]) / t
+    q = []
     for c in (0, 1):
-        low, t = d[f"r{c}"] * d["u"], d[f"t{c}"]
-        own = np.where(t > 0, (np.maximum(d[f"n{c}"] - DISCOUNT, 0) + DISCOUNT * d[f"k{c}"] * low) / np.maximum(t, 1), low)
-        p.append((1 - s) * back * d[f"r{c}"] + s * own)
-    return np.log(p[1] / p[0]) - np.log(d["r1"] / d["r0"])
+        low, tc = d["p"] * d[f"r{c}"], d[f"t{c}"]
+        own = np.where(tc > 0, (np.maximum(d[f"n{c}"] - DISCOUNT, 0) + (tc - d[f"o{c}"]) * low) / np.maximum(tc, 1), low)
+        q.append((1 - s) * back * d[f"r{c}"] + s * own)
+    return np.log(q[1] / q[0]) - np.log(d["r1"] / d["r0"]), q[0], q[1]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -160,112 +184,212 @@ def few(df: DataFrame, n: int, most: int = MOST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= most else df
 
 
+COUNTS = ("n0", "n1", "f0", "f1", "t0", "t1")
+
+
 def counted(texts: DataFrame) -> DataFrame:
-    """(v, w, n0, n1): texts of each class that hold the bigram; with a null v, that hold the word."""
+    """(v, w, n0, n1, f0, f1, t0, t1) from (cls, text). Rows with v: texts of each class that hold the bigram,
+    of bigrams that may be in two. Rows without: texts that hold the word, and over all other bigrams the
+    kinds that end in it and the texts that have it as context; UNKNOWN sums up the words of one text."""
+
+    def hashes(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in words(b.column("text"), ALNUM):
+            token, doc = sequences(part)
+            pair, at = bigrams(token, doc)
+            for key, of in ((token, doc), (pair, doc[at])):
+                yield key[distinct(key, of)[0]]
+
+    twice = texts.sparkSession.sparkContext.broadcast(repeated_bits(texts.select("text"), hashes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls = b.column("cls").to_numpy()
+            toxic = b.column("cls").to_numpy() == 1
             for part in words(b.column("text"), ALNUM):
-                h, v = part.hash, before(part.hash, part.first)
-                doc = np.repeat(np.arange(part.low, part.high), np.diff(part.first))
-                for key, null in ((pair_hash(v, h), False), (h, True)):
-                    one, _ = distinct(key, doc)
-                    if not len(one):
-                        continue
-                    first = np.flatnonzero(np.append(True, key[one[1:]] != key[one[:-1]]))
-                    n = np.diff(np.append(first, len(one)))
-                    n1 = np.add.reduceat((cls[doc[one]] == 1).astype(np.int64), first)
-                    at = one[first]
-                    vs = pa.nulls(len(at), pa.int64()) if null else pa.array(v[at].view(np.int64))
-                    yield pa.RecordBatch.from_arrays([vs, pa.array(h[at].view(np.int64)), pa.array(n - n1), pa.array(n1)], names=["v", "w", "n0", "n1"])
-
-    return texts.mapInArrow(count, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def estimate(found: DataFrame, share: float, most_words: int = MOST_WORDS) -> Model:
+                token, doc = sequences(part)
+                if not len(token):
+                    continue
+                pair, at = bigrams(token, doc)
+                cls = toxic[doc + part.low].astype(np.int64)
+                one, _ = distinct(pair, doc[at])
+                known = marked(twice.value, pair[one])
+                again, single = at[one[known]], at[one[~known]]
+                first = np.flatnonzero(np.append(True, np.diff(pair[one[known]].view(np.int64)) != 0)) if len(again) else np.zeros(0, np.int64)
+                n1 = np.add.reduceat(cls[again], first) if len(first) else first
+                n = np.diff(np.append(first, len(again)))
+                zero = pa.array(np.zeros(len(first), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(token[again[first]].view(np.int64)), pa.array(token[again[first] + 1].view(np.int64)), pa.array((n - n1).astype(np.int32)), pa.array(n1.astype(np.int32)), *[zero] * 4], names=["v", "w", *COUNTS])
+                name = np.where(marked(twice.value, token) | (token == START) | (token == END), token, UNKNOWN)
+                once, _ = distinct(token, doc)
+                word, index = np.unique(np.concatenate([name[once], name[single + 1], name[single]]), return_inverse=True)
+                cut = np.cumsum([len(once), len(single)])
+                sums = [np.bincount(i, of == c, len(word)).astype(np.int32) for i, of in zip(np.split(index, cut), (cls[once], cls[single], cls[single]), strict=True) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(word), pa.int64()), pa.array(word.view(np.int64)), *map(pa.array, sums)], names=["v", "w", *COUNTS])
+
+    found = texts.mapInArrow(count, "v long, w long, " + ", ".join(f"{c} int" for c in COUNTS))
+    return found.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Model:
     """found: counted(), staged; share: of the counted texts the toxic ones."""
-    spark = found.sparkSession
     pairs = found.where("v is not null")
-    seen = [F.count_if(F.col(f"n{c}") > 0) for c in (0, 1)]
-    follows = pairs.groupBy("w").agg(seen[0].alias("f0"), seen[1].alias("f1"), F.count("*").alias("f"))
-    per_word = staged(found.where("v is null").drop("v").join(follows, "w"), "toxic-words")
-    got = per_word.agg(*(F.sum(x) for x in ("f0", "f1", "f")), *(F.count_if(F.col(f"f{c}") > 0) for c in (0, 1)), F.count("*")).first()
-    kinds, types, n_words = tuple(float(x or 0) for x in got[:3]), tuple(float(x) for x in got[3:5]), got[5]
+    keeps = {f"o{c}": f"greatest(n{c} - {DISCOUNT}, 0)" for c in (0, 1)} | {"o": f"n0 + n1 - {DISCOUNT}"}
+    parts = [
+        found.where("v is null").selectExpr("w", *COUNTS, "f0 + f1 as f", "0D as o0", "0D as o1", "0D as o"),
+        pairs.selectExpr("w", "0L", "0L", "cast(n0 > 0 as long)", "cast(n1 > 0 as long)", "0L", "0L", "1L", "0D", "0D", "0D"),
+        pairs.selectExpr("v", "0L", "0L", "0L", "0L", "n0", "n1", "0L", *[f"if(n0 + n1 > 1, cast({x} as double), 0D)" for x in keeps.values()]),
+    ]
+    every = parts[0].union(parts[1]).union(parts[2])
+    per_word = staged(every.groupBy("w").agg(*[F.sum(c).alias(c) for c in every.columns[1:]]), "toxic-words")
+    known = per_word.where(f"w <> {int(UNKNOWN.view(np.int64))} and n0 + n1 > 1")
+    kinds = [float(x or 0) for x in per_word.agg(F.sum("f0"), F.sum("f1"), F.sum("f")).first()]
+    own = known.agg(F.sum("f0"), F.sum("f1"), F.sum("f"), F.count_if(F.col("f0") > 0), F.count_if(F.col("f1") > 0), F.count("*")).first()
+    apart = max(0.5, kinds[2] - float(own[2] or 0))  # kinds that end in the unknown word
+    totals = Totals((kinds[0], kinds[1], float(own[2] or 0) + apart), tuple(float(own[3 + c] + (kinds[c] > float(own[c] or 0))) for c in (0, 1)), share)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r0, r1, u = word_ratios(arrays(b.drop_columns(["w"])), share, kinds, types)
-            yield pa.RecordBatch.from_arrays([b.column("w"), *map(pa.array, (r0, r1, u))], names=["w", "r0", "r1", "u"])
+            p, r0, r1 = word_ratios(arrays(b.select(["n0", "n1", "f0", "f1", "f"])), totals)
+            yield pa.RecordBatch.from_arrays([*b.select(["w", "n", "t0", "t1", "o0", "o1", "o"]).columns, *map(pa.array, (p, r0, r1))], names=["w", "n", "t0", "t1", "o0", "o1", "o", "p", "r0", "r1"])
 
-    rated = staged(per_word.mapInArrow(rate, "w long, r0 double, r1 double, u double"), "toxic-ratios")
-    context = staged(pairs.groupBy("v").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), seen[0].alias("k0"), seen[1].alias("k1"), F.count("*").alias("k")), "toxic-contexts")
-    joined = pairs.join(few(rated, n_words), "w").join(few(context, context.count()), "v")
+    rated = known.select("*", (F.col("n0") + F.col("n1")).alias("n")).mapInArrow(rate, "w long, n long, t0 long, t1 long, o0 double, o1 double, o double, p double, r0 double, r1 double")
+    rated = staged(rated, "toxic-ratios")
+    sums = rated.agg(F.sum(F.expr("p * r0")), F.sum(F.expr("p * r1"))).first()
+    norm = [float(x or 0) + apart / totals.kinds[2] for x in sums]
+    rated = rated.withColumn("r0", F.col("r0") / norm[0]).withColumn("r1", F.col("r1") / norm[1])
+    joined = pairs.where("n0 + n1 > 1").select("v", "w", "n0", "n1").join(rated.select("w", "p", "r0", "r1"), "w").join(rated.select(F.col("w").alias("v"), "t0", "t1", "o0", "o1", "o"), "v")
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            d = arrays(b.drop_columns(["v", "w"]))
             v, w = (b.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
-            x = pair_values(arrays(b.drop_columns(["v", "w"])), share)
-            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(v, w).view(np.int64)), pa.array(x)], names=["key", "value"])
-
-    table = staged(joined.mapInArrow(value, "key long, value double"), "toxic-pairs")
-    place = F.col("key").bitwiseAND(F.lit(BITS - 1))
-    bits = columns(table.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")))
-    maybe = np.zeros(BITS >> 6, np.int64)
-    maybe[bits["at"].astype(np.int64)] = bits["bits"]
-    values = rated.select(F.col("w").alias("key"), F.log(F.col("r1") / F.col("r0")).alias("value"))
-    key = x = None
-    if n_words <= most_words:
-        got = columns(values)
-        key = got["key"].astype(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        key, x = key[order], got["value"].astype(float)[order]
-    return Model(Table(values, n_words), Table(table, int(kinds[2])), key, x, maybe.view(np.uint64), (1.0, 0.0))
+            key = mix(v * np.uint64(BASE) + w).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("v"), *map(pa.array, (key, (d["n0"] + d["n1"]).astype(np.int64), *pair_values(d, share), d["p"] * d["r0"], d["p"] * d["r1"]))], names=["v", "key", "n", "value", "q0", "q1", "b0", "b1"])
+
+    valued = staged(joined.mapInArrow(value, "v long, key long, n long, value double, q0 double, q1 double, b0 double, b1 double"), "toxic-pairs")
+    # What a context's bigrams have, and what its back-off gives to all other words, add up to z.
+    context = valued.groupBy("v").agg(*[F.sum(c).alias(c) for c in ("q0", "q1", "b0", "b1")])
+    z = [F.col(f"q{c}") + (1 - F.try_divide("o", F.col("t0") + F.col("t1"))) * (1 - F.col(f"b{c}")) for c in (0, 1)]
+    unknown = math.log(norm[0] / norm[1])
+    ends = rated.join(context.withColumnRenamed("v", "w"), "w", "left")
+    ends = ends.select(F.col("w").alias("key"), "n", (F.when(F.col("p") > 0, F.log(F.col("r1") / F.col("r0")) - F.lit(unknown)).otherwise(0.0) - F.coalesce(F.log(z[1] / z[0]), F.lit(0.0))).alias("value"))
+    table = staged(ends.unionByName(valued.select("key", "n", "value")), "toxic-table")
+    rank = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(((r["rank"], r["count"]) for r in table.groupBy(rank.alias("rank")).count().collect()), reverse=True)
+    total, least, held = sum(n for _, n in sizes), 1 << 30, 0
+    for r, n in sizes:
+        if held + n > most_local:
+            break
+        held, least = held + n, r
+    got = columns(table.where(rank >= least).select("key", "value"))
+    key = got["key"].astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    rest = maybe = None
+    if total > held:
+        rest = table.where(rank < least).select("key", "value")
+        place = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
+        bits = columns(rest.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")))
+        maybe = np.zeros(1 << (BITS - 6), np.int64)
+        maybe[bits["at"].astype(np.int64)] = bits["bits"]
+        maybe = maybe.view(np.uint64)
+    return Model(key[order], got["value"].astype(float)[order], rest, maybe, max(3, math.ceil(math.log2(max(1, (total - held) / SLICE)))), unknown, (int(own[5]), total - int(own[5])), (1.0, 0.0))
+
+
+def packed(token: list[np.ndarray], doc: list[np.ndarray], text: np.ndarray, slices: int) -> pa.RecordBatch:
+    """(radix, size, blob) of keys and the texts they are in, for each slice that some fall into."""
+    key, of = np.concatenate(token), np.concatenate(doc)
+    one, often = distinct(key, of)
+    key, of = key[one], of[one]
+    radix = (key >> np.uint64(64 - slices)).astype(np.int64)
+    cut = np.searchsorted(radix, np.arange((1 << slices) + 1))
+    some = np.flatnonzero(np.diff(cut))
+    size, blobs = [], []
+    for r in some.tolist():
+        part = slice(cut[r], cut[r + 1])
+        first = np.flatnonzero(np.append(True, key[part][1:] != key[part][:-1]))
+        names, at = np.unique(of[part], return_inverse=True)
+        n = np.diff(np.append(first, cut[r + 1] - cut[r]))
+        raw = b"".join((np.array([len(first), len(names), len(at)], np.int64).tobytes(), key[part][first].tobytes(), text[names].tobytes(), n.astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), often[part].astype(np.uint32).tobytes()))
+        size.append(len(raw)), blobs.append(pa.compress(raw, codec="zstd", asbytes=True))
+    nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.float64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(size, pa.int64()), pa.array(blobs, pa.binary()), *nothing], names=["radix", "size", "blob", "h", "x", "n"])
+
+
+def unpacked(blob: pa.Scalar, size: int, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a blob, and what the values of its keys add up to in each."""
+    raw = pa.decompress(blob.as_buffer(), size, codec="zstd")
+    n_keys, n_texts, n = np.frombuffer(raw, np.int64, 3).tolist()
+    out, begin = [], 24
+    for kind, m in ((np.uint64, n_keys), (np.int64, n_texts), (np.uint32, n_keys), (np.uint32, n), (np.uint32, n)):
+        out.append(np.frombuffer(raw, kind, m, begin))
+        begin += m * np.dtype(kind).itemsize
+    asked, text, each, at, often = out
+    spot, ok = find(key, asked)
+    x = np.where(ok, value[spot], 0.0) if len(key) else np.zeros(len(asked))
+    return text, np.bincount(at, np.repeat(x, each) * often, n_texts)
 
 
 def figures(texts: DataFrame, m: Model) -> DataFrame:
-    """(h, x) of each distinct hash of a text: summed log-likelihood ratios over the square root of the
-    number of words. texts: h, text."""
-    if not m.word.size:
-        return texts.select("h").distinct().withColumn("x", F.lit(0.0))
-    key, value, maybe = m.key, m.value, m.maybe
+    """(h, x) of each distinct hash of a text: difference of the log-likelihoods over the number of
+    predictions, null without words. texts: h, text."""
+    table = texts.sparkSession.sparkContext.broadcast((m.key, m.value, m.maybe))
+    slices, unknown = m.slices, m.unknown
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, value, maybe = table.value
+        names, token, doc = [], [], []
         for b in batches:
-            text_hash = b.column("h").to_numpy()
+            h = b.column("h").to_numpy()
             for part in words(b.column("text"), ALNUM):
+                t, of = sequences(part)
+                pair, at = bigrams(t, of)
+                asked, of = np.concatenate([t, pair]), np.concatenate([of, of[at]])
+                spot, ok = find(key, asked)
                 n = np.diff(part.first)
-                doc = np.repeat(np.arange(len(n)), n)
-                total = np.zeros(len(n))
-                ask = []
-                if key is not None:
-                    at, ok = find(key, part.hash)
-                    total = np.bincount(doc[ok], value[at[ok]], len(n))
-                else:
-                    ask.append((part.hash, doc))
-                g = pair_hash(before(part.hash, part.first), part.hash)
-                place = g & np.uint64(BITS - 1)
-                some = (maybe[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                ask.append((g[some], doc[some]))
-                here = text_hash[part.low : part.high]
-                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(here), pa.array(np.ones(len(n), np.int32)), pa.array(total), pa.array(n)], names=["h", "key", "n", "x", "words"])
-                for k, d in ask:
-                    one, often = distinct(k, d)
-                    yield pa.RecordBatch.from_arrays([pa.array(here[d[one]]), pa.array(k[one].view(np.int64)), pa.array(often.astype(np.int32)), pa.nulls(len(one), pa.float64()), pa.nulls(len(one), pa.int64())], names=["h", "key", "n", "x", "words"])
-
-    table = m.pair.rows if key is not None else m.pair.rows.unionByName(m.word.rows)
-    asked = texts.mapInArrow(emit, "h long, key long, n int, x double, words long").join(table, "key", "left")
-    # A text's own row has its hash as key and takes nothing from the table; equal texts are summed, then shared out.
-    part = F.when(F.col("words").isNotNull(), F.col("x")).otherwise(F.col("n") * F.coalesce("value", F.lit(0.0)))
-    summed = asked.groupBy("h").agg(F.sum(part).alias("x"), F.sum("words").alias("words"), F.count("words").alias("copies"))
-    return summed.select("h", (F.col("x") / F.col("copies") / F.sqrt(F.greatest(F.col("words") / F.col("copies"), F.lit(1.0)))).alias("x"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, most_words: int = MOST_WORDS) -> Model:
+                n = n + (n > 0)
+                x = unknown * n
+                if len(key):
+                    x += np.bincount(of[ok], value[spot[ok]], len(n))
+                here = h[part.low : part.high]
+                nothing = [pa.nulls(len(n), k) for k in (pa.int32(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*nothing, pa.array(here), pa.array(x), pa.array(n)], names=["radix", "size", "blob", "h", "x", "n"])
+                if maybe is not None:
+                    place = asked & np.uint64((1 << BITS) - 1)
+                    some = ~ok & ((maybe[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1)
+                    token.append(asked[some]), doc.append(of[some] + sum(map(len, names)))
+                    names.append(here)
+            if sum(map(len, token)) > TOKENS:
+                yield packed(token, doc, np.concatenate(names), slices)
+                names, token, doc = [], [], []
+        if names:
+            yield packed(token, doc, np.concatenate(names), slices)
+
+    sent = texts.mapInArrow(emit, "radix int, size long, blob binary, h long, x double, n long")
+    if m.rest is not None:
+        sent = staged(sent, "toxic-asked")
+        asked = sent.where("radix is not null").select("radix", "size", "blob")
+        groups = asked.groupBy("radix").agg(F.ceil(F.sum("size") / GROUP_BYTES).cast("int").alias("parts"))
+        asked = asked.join(F.broadcast(groups), "radix").withColumn("part", F.pmod(F.xxhash64("blob"), F.col("parts").cast("long")).cast("int")).drop("parts")
+        rest = m.rest.withColumn("radix", F.shiftrightunsigned("key", 64 - slices).cast("int")).join(F.broadcast(groups), "radix")
+        rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        def answer(_: tuple, asked: pa.Table, rest: pa.Table) -> pa.Table:
+            key = rest.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            key, value = key[order], rest.column("value").to_numpy()[order]
+            got = [unpacked(b, n, key, value) for b, n in zip(asked.column("blob"), asked.column("size").to_pylist(), strict=True)]
+            return pa.table({"h": pa.array(np.concatenate([*[g[0] for g in got], np.zeros(0, np.int64)])), "x": pa.array(np.concatenate([*[g[1] for g in got], np.zeros(0)]))})
+
+        answers = asked.groupBy("radix", "part").cogroup(rest.groupBy("radix", "part")).applyInArrow(answer, "h long, x double")
+        sent = sent.where("radix is null").select("h", "x", "n").unionByName(answers.withColumn("n", F.lit(0).cast("long")))
+    # Equal texts are summed up together: the quotient is that of one.
+    return sent.groupBy("h").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).select("h", F.try_divide("x", "n").alias("x"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, most_local: int = MOST_LOCAL) -> Model:
     """The model from all labelled texts. Of each class a fifth, by hash, and max_docs at most, is kept for the curve alone."""
     spark = docs.sparkSession
     tune(spark)
-    known = labels.where(f"{id_col} is not null and {label_col} in (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("cls"))
+    known = labels.where(f"`{id_col}` is not null and `{label_col}` in (0, 1)").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("cls"))
     totals = {r["cls"]: r["count"] for r in known.groupBy("cls").count().collect()}
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     prints = rows.join(few(known, sum(totals.values())), "id").select("id", "cls", F.xxhash64("text").alias("h"))
@@ -273,16 +397,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = one.where(F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(5)) == 0)
     order = [F.xxhash64(F.lit("sample"), "id"), F.col("id")]
     held = [(r["id"],) for c in sorted(totals) for r in drawn.where(F.col("cls") == c).orderBy(*order).limit(max_docs).collect()]
-    curve = spark.createDataFrame(held, "id long")
+    curve = spark.createDataFrame(held, one.select("id").schema)
     counts = one.join(F.broadcast(curve), "id", "left_anti")
     size = {r["cls"]: r["count"] for r in counts.groupBy("cls").count().collect()}
     found = staged(counted(rows.join(few(counts, sum(size.values())), "id").select("cls", "text")), "toxic-counts")
     n0, n1 = size.get(0, 0), size.get(1, 0)
-    model = estimate(found, (n1 + 0.5) / (n0 + n1 + 1), most_words)
-    wanted = one.join(F.broadcast(curve), "id")
-    texts = rows.join(F.broadcast(wanted), "id").select(F.xxhash64("text").alias("h"), "cls", "text")
+    model = estimate(found, (n1 + 0.5) / (n0 + n1 + 1), most_local)
+    texts = rows.join(F.broadcast(one.join(F.broadcast(curve), "id")), "id").select(F.xxhash64("text").alias("h"), "cls", "text")
     seen = texts.select("h", "cls").distinct().join(figures(texts.select("h", "text"), model), "h")
-    held = columns(seen.select("cls", "x"))
+    held = columns(seen.select("cls", F.coalesce("x", F.lit(0.0)).alias("x")))
     y, x = held["cls"].astype(float), held["x"].astype(float)
     weight = np.where(y > 0, totals.get(1, 0) / max(1, y.sum()), totals.get(0, 0) / max(1, (1 - y).sum()))
     return model._replace(curve=logistic(x, y, weight / max(1e-9, weight.mean()) if len(weight) else weight))
@@ -291,13 +414,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """df's columns and the score (double, 0 to 1); a column of that name is replaced."""
     tune(df.sparkSession)
-    df = df.select(*[F.col(c) for c in df.columns if c != name])
+    kept = [c for c in df.columns if c != name]
+    own = [f"_c{i}" for i in range(len(kept))]
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     found = staged(figures(df.select(h.alias("h"), F.col(text_col).alias("text")), model), "toxic-figures")
     slope, intercept = model.curve
-    s = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("_x") + intercept))))
+    x = F.coalesce("_x", F.lit(0.0))
+    s = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * x + intercept))))
     found = few(found.select(F.col("h").alias("_h"), F.col("x").alias("_x")), found.count())
-    return df.withColumn("_h", h).join(found, "_h").select(*df.columns, s.alias(name))
+    rows = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(kept, own, strict=True)], h.alias("_h"))
+    return rows.join(found, "_h").select(*[F.col(o).alias(c) for c, o in zip(kept, own, strict=True)], s.alias(name))
 
 
 def held_out(id_col: str = "doc_id"):

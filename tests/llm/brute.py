@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -117,3 +118,75 @@ def templates(docs, min_docs, lead=3, similar=0.6):
         gone = [bool(t) and len(docs_of[name[tuple(t)]]) >= min_docs for t in lines[d]]
         out.append((i, sum(map(bool, lines[d])), sum(gone), "\n".join(x for x, g in zip(text.split("\n"), gone) if not g)))
     return sorted(out, key=repr)
+
+
+class KneserNey:
+    """Class-conditional bigram models by the formulas, from (cls, text); q(c, v) lists all probabilities after v."""
+
+    D = 0.75
+
+    def __init__(self, texts, telling):
+        seqs = [(c, ["<s>", *words(t, ALNUM), "</s>"]) for c, t in texts if words(t, ALNUM)]
+        self.share = (sum(c for c, _ in texts) + 0.5) / (len(texts) + 1)
+        self.telling = telling
+        self.n, self.pairs = Counter(), Counter()
+        for c, s in seqs:
+            self.n.update((w, c) for w in set(s))
+            self.pairs.update((p, c) for p in set(zip(s, s[1:])))
+        self.vocabulary = {w for w, _ in self.n if self.n[w, 0] + self.n[w, 1] > 1}
+        self.kinds = {p for p, _ in self.pairs}
+        self.f, self.fc, self.t = Counter(), Counter(), Counter()
+        for v, w in self.kinds:
+            self.f[self.known(w)] += 1
+            for c in (0, 1):
+                if n := self.pairs[(v, w), c]:
+                    self.fc[self.known(w), c] += 1
+                    self.t[v, c] += n
+        self.f[None] = max(self.f[None], 0.5)
+        self.words = [w for w in self.vocabulary | {None} if self.f[w]]
+        total = [sum(self.fc[w, c] for w in self.words) for c in (0, 1)]
+        types = [sum(self.fc[w, c] > 0 for w in self.words) for c in (0, 1)]
+        self.p = {w: self.f[w] / sum(self.f.values()) for w in self.words}
+        self.own = [{}, {}]
+        for c in (0, 1):
+            for w in self.words:
+                s = 0 if w is None else self.tells(self.n[w, 0], self.n[w, 1], self.share)
+                mine = (max(self.fc[w, c] - self.D, 0) + self.D * types[c] * self.p[w]) / total[c] if total[c] else self.p[w]
+                self.own[c][w] = (1 - s) * self.p[w] + s * mine
+            z = sum(self.own[c].values())
+            self.own[c] = {w: x / z for w, x in self.own[c].items()}
+
+    def known(self, w):
+        return w if w in self.vocabulary else None
+
+    def tells(self, n0, n1, share):
+        apart = math.lgamma(n0 + 1) + math.lgamma(n1 + 1) - math.lgamma(n0 + n1 + 2)
+        even = n1 * math.log(share) + n0 * math.log(1 - share)
+        return 1 / (1 + math.exp(even - apart) * (1 - self.telling) / self.telling)
+
+    def q(self, c, v):
+        if v not in self.vocabulary:
+            return self.own[c]
+        after = {w: (self.pairs[(v, w), 0], self.pairs[(v, w), 1]) for w in self.words if w and self.pairs[(v, w), 0] + self.pairs[(v, w), 1] > 1}
+        keep = lambda n: max(n - self.D, 0)
+        t, tc = self.t[v, 0] + self.t[v, 1], self.t[v, c]
+        o, oc = sum(keep(sum(n)) for n in after.values()), sum(keep(n[c]) for n in after.values())
+        out = {}
+        for w in self.words:
+            n, low = after.get(w), self.own[c][w]
+            if n is None:
+                out[w] = (1 - o / t) * low
+                continue
+            odds = self.share / (1 - self.share) * self.own[1][w] / self.own[0][w]
+            s = self.tells(*n, odds / (1 + odds))
+            back = (keep(sum(n)) + (t - o) * self.p[w]) / t * low / self.p[w]
+            out[w] = (1 - s) * back + s * ((keep(n[c]) + (tc - oc) * low) / tc if tc else low)
+        z = sum(out.values())
+        return {w: x / z for w, x in out.items()}
+
+    def figure(self, text):
+        s = words(text, ALNUM)
+        if not s:
+            return None
+        s = ["<s>", *s, "</s>"]
+        return sum(math.log(self.q(1, v)[self.known(w)] / self.q(0, v)[self.known(w)]) for v, w in zip(s, s[1:])) / (len(s) - 1)

@@ -280,4 +280,4 @@ def test_toxicity(spark):
     alone = toxicity.fit(df, lab.where("toxic = 0"))
     assert max(r["score"] for r in toxicity.score(df, alone).collect()) < 0.01
     assert toxicity.score(df.limit(0), model).count() == 0
-    assert toxicity.fit(df.limit(0), lab.limit(0)).word.size == 0
+    assert toxicity.fit(df.limit(0), lab.limit(0)).size == (0, 0)

@@ -3,9 +3,12 @@
 import random
 import re
 
+import brute
 import pytest
+from pyspark.sql import functions as F
 
 from shoal.llm import toxicity
+from shoal.llm.shared import staged
 
 PLAIN = [f"word{i}" for i in range(80)]
 
@@ -36,12 +39,33 @@ def test_words_of_few_toxic_texts_speak(spark):
     assert trash > 1.5 * max(mild, new)
 
 
-def test_joined_words_score_as_sent_ones(spark):
-    df, labels, docs, _ = corpus(spark, 120, lambda i, rng: ["trash", "scum"] if i % 6 == 0 else [])
-    texts = [t for _, t in docs[:30]] + ["", "trash", "trash", "scum trash never seen scum trash"]
-    sent, joined = (scores(spark, toxicity.fit(df, labels, most_words=n), texts) for n in (toxicity.MOST_WORDS, 0))
-    assert sent == pytest.approx(joined, abs=1e-9)
-    assert sent[31] == sent[32]
+ODD = ["", "...", "trash", "trash", "scum trash never seen scum trash", "new " * 3000 + "trash", "word1", "never seen"]
+
+
+def found_figures(spark, model, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("h", F.xxhash64("text"))
+    by = {r["h"]: r["x"] for r in toxicity.figures(df.select("h", "text"), model).collect()}
+    return [by[r["h"]] for r in df.orderBy("i").collect()]
+
+
+@pytest.mark.parametrize("most_local", [toxicity.MOST_LOCAL, 40, 0])
+def test_figures_are_those_of_the_formulas(spark, monkeypatch, most_local):
+    monkeypatch.setattr(toxicity, "TELLING", 0.05)
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(toxicity, "TOKENS", 500)
+    df, labels, docs, known = corpus(spark, 120, lambda i, rng: ["trash", "scum"] if i % 6 == 0 else [])
+    texts = [(c, t) for (_, t), (_, c) in zip(docs, known, strict=True)]
+    plain = brute.KneserNey(texts, 0.05)
+    for c in (0, 1):
+        assert sum(plain.q(c, "word1").values()) == pytest.approx(1)
+    found = staged(toxicity.counted(spark.createDataFrame(texts, "cls int, text string")), "counts")
+    model = toxicity.estimate(found, plain.share, most_local)
+    assert len(model.key) <= most_local and (model.rest is None) == (most_local > 40)
+    asked = [t for _, t in docs] + ODD
+    want, got = [plain.figure(t) for t in asked], found_figures(spark, model, asked)
+    assert [g is None for g in got] == [w is None for w in want]
+    assert [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None], abs=1e-7)
+    assert len({round(g, 9) for g in got if g is not None}) > 100  # no few scores for many texts
 
 
 def test_counts_do_not_stop_at_max_docs(spark):
@@ -55,7 +79,6 @@ def test_counts_do_not_stop_at_max_docs(spark):
 def test_kinds_of_bigrams_are_counted(spark):
     df, labels, docs, known = corpus(spark, 60, lambda i, rng: ["trash"] if i % 20 == 0 else [])
     found = toxicity.counted(df.join(labels, "doc_id").selectExpr("toxic as cls", "text"))
-    kinds = {(c, v, w) for (_, t), (_, c) in zip(docs, known, strict=True) for v, w in zip([None, *t.split()], re.findall(r"\w+", t), strict=False)}
-    got = found.where("v is not null").selectExpr("count_if(n0 > 0)", "count_if(n1 > 0)").first()
+    kinds = {(c, p) for (_, t), (_, c) in zip(docs, known, strict=True) for w in [["", *re.findall(r"\w+", t), "."]] for p in zip(w, w[1:])}
+    got = found.selectExpr("sum(if(v is null, f0, int(n0 > 0)))", "sum(if(v is null, f1, int(n1 > 0)))").first()
     assert tuple(got) == tuple(sum(k[0] == c for k in kinds) for c in (0, 1))
-    assert toxicity.fit(df, labels, max_docs=0).pair.size == len({k[1:] for k in kinds})
