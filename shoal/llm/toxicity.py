@@ -22,10 +22,11 @@ Counts come from all labelled texts (of equal texts of a class one) but those ke
 each class a fifth by a hash of the id, `max_docs` at most. A first pass finds which words and bigrams
 are in two texts, four bytes each; of the others only the sums that words and contexts need are
 shuffled. Scoring looks up the words and bigrams of the most texts, at most `most_local`, in a table that
-every task has; the rest are dealt out by their hash to slices of the table that stays distributed,
-packed with the texts they are in, and groups of more than GROUP_BYTES are split.
+every task has, so that frequent ones are shuffled neither there nor by the texts; the rest are dealt
+out by their hash to slices of the table that stays distributed, packed with the texts they are in.
+There are at least as many slices as tasks that read texts.
 
-Words, bigrams and texts are told apart by 64-bit hashes. Texts without words (null, empty, only
+Words, bigrams and texts are told apart by 64-bit hashes, within a slice by the KEY_BITS after its own. Texts without words (null, empty, only
 punctuation) get the score of figure 0. Labels other than 0 and 1 and rows with a null id are not
 learnt from; an id labelled twice counts as toxic if one label says so; rows with equal ids are texts
 of their own. Where the labels hold one class only, or none, all texts get that class's or a low score.
@@ -40,6 +41,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ MAX_DOCS, DISCOUNT, TELLING = 10_000, 0.75, 1e-4
 #: Hashes that stand for the ends of a text and for the unknown word.
 START, END, UNKNOWN = (np.uint64(x) for x in (0x9A3F5C17E2B84D61, 0x5D17B0C94E6FA283, 0xC6E8213B7F90D4A5))
 #: Entries that every task has (16 bytes each), rows that may be sent to all tasks (16 bytes each).
-MOST_LOCAL, MOST_ROWS = 200_000, 1_000_000
-#: Tokens that are packed at once, entries of one slice of the table, bytes that one group of packed tokens may have.
-TOKENS, SLICE, GROUP_BYTES = 1_000_000, 200_000, 32 << 20
+MOST_LOCAL, MOST_ROWS = 1_000_000, 1_000_000
+#: Tokens that are packed at once, entries of one slice of the table, bits of a hash within its slice.
+TOKENS, SLICE, KEY_BITS = 1_000_000, 200_000, 48
 #: Bits of the table that tells which words and bigrams are not in the distributed one.
 BITS = 25
 
@@ -62,7 +64,7 @@ class Model(NamedTuple):
     value: np.ndarray  # what each adds to a text's log-likelihood ratio
     rest: DataFrame | None  # (key, value) of all others, None if there are none
     maybe: np.ndarray | None  # bitmap over their low bits
-    slices: int  # the binary logarithm of how many slices they are dealt out to
+    n_rest: int
     unknown: float  # what any prediction adds, known or not
     size: tuple[int, int]  # words and bigrams
     curve: tuple[float, float]  # slope and intercept
@@ -184,13 +186,19 @@ def few(df: DataFrame, n: int, most: int = MOST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= most else df
 
 
-COUNTS = ("n0", "n1", "f0", "f1", "t0", "t1")
+#: Two counts of the two classes in one long, the toxic one's above; they add up as such.
+BOTH = 1 << 32
+
+
+def of_class(column: str, c: int) -> str:
+    return f"cast({column} div {BOTH} as double)" if c else f"cast({column} % {BOTH} as double)"
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """(v, w, n0, n1, f0, f1, t0, t1) from (cls, text). Rows with v: texts of each class that hold the bigram,
-    of bigrams that may be in two. Rows without: texts that hold the word, and over all other bigrams the
-    kinds that end in it and the texts that have it as context; UNKNOWN sums up the words of one text."""
+    """(v, w, n, f, t) from (cls, text), each with the counts of both classes (BOTH). Rows with v: n texts that
+    hold the bigram, of bigrams that may be in two. Rows without: n texts that hold the word, and over all
+    other bigrams f kinds that end in it and t texts that have it as context; UNKNOWN sums up the words
+    of one text."""
 
     def hashes(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in words(b.column("text"), ALNUM):
@@ -200,8 +208,20 @@ def counted(texts: DataFrame) -> DataFrame:
                 yield key[distinct(key, of)[0]]
 
     twice = texts.sparkSession.sparkContext.broadcast(repeated_bits(texts.select("text"), hashes))
+    bits = max(5, math.ceil(math.log2(max(1, texts.rdd.getNumPartitions()))) + 2)
+
+    def send(kind: int, have: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        rows = summed(2 - kind, [np.concatenate(x) for x in zip(*have, strict=True)])
+        radix = (mix(rows[0] * np.uint64(BASE) + rows[1]) if kind == 0 else rows[0]) >> np.uint64(64 - bits)
+        order = np.argsort(radix, kind="stable")
+        rows, cut = [x[order] for x in rows], np.searchsorted(radix[order], np.arange((1 << bits) + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cut))
+        raw = [b"".join(np.append(x[cut[r]], np.diff(x[cut[r] : cut[r + 1]].view(np.int64)).view(np.uint64)).tobytes() if i < 2 - kind else x[cut[r] : cut[r + 1]].tobytes() for i, x in enumerate(rows)) for r in some]
+        blobs = [pa.compress(x, codec="zstd", asbytes=True) for x in raw]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array(np.diff(cut)[some]), pa.array([len(x) for x in raw], pa.int64()), pa.array(blobs, pa.binary())], names=["radix", "kind", "rows", "size", "blob"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: tuple[list, list] = ([], [])  # bigrams (v, w, n), words (w, n, f, t)
         for b in batches:
             toxic = b.column("cls").to_numpy() == 1
             for part in words(b.column("text"), ALNUM):
@@ -209,37 +229,73 @@ def counted(texts: DataFrame) -> DataFrame:
                 if not len(token):
                     continue
                 pair, at = bigrams(token, doc)
-                cls = toxic[doc + part.low].astype(np.int64)
+                cls = np.where(toxic[doc + part.low], BOTH, 1)
                 one, _ = distinct(pair, doc[at])
                 known = marked(twice.value, pair[one])
                 again, single = at[one[known]], at[one[~known]]
-                first = np.flatnonzero(np.append(True, np.diff(pair[one[known]].view(np.int64)) != 0)) if len(again) else np.zeros(0, np.int64)
-                n1 = np.add.reduceat(cls[again], first) if len(first) else first
-                n = np.diff(np.append(first, len(again)))
-                zero = pa.array(np.zeros(len(first), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(token[again[first]].view(np.int64)), pa.array(token[again[first] + 1].view(np.int64)), pa.array((n - n1).astype(np.int32)), pa.array(n1.astype(np.int32)), *[zero] * 4], names=["v", "w", *COUNTS])
+                have[0].append((token[again], token[again + 1], cls[again]))
                 name = np.where(marked(twice.value, token) | (token == START) | (token == END), token, UNKNOWN)
                 once, _ = distinct(token, doc)
-                word, index = np.unique(np.concatenate([name[once], name[single + 1], name[single]]), return_inverse=True)
-                cut = np.cumsum([len(once), len(single)])
-                sums = [np.bincount(i, of == c, len(word)).astype(np.int32) for i, of in zip(np.split(index, cut), (cls[once], cls[single], cls[single]), strict=True) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(word), pa.int64()), pa.array(word.view(np.int64)), *map(pa.array, sums)], names=["v", "w", *COUNTS])
-
-    found = texts.mapInArrow(count, "v long, w long, " + ", ".join(f"{c} int" for c in COUNTS))
-    return found.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in COUNTS])
+                nothing = [np.zeros(len(x), np.int64) for x in (once, single, single)]
+                have[1].append((name[once], cls[once], nothing[0], nothing[0]))
+                have[1].append((name[single + 1], nothing[1], cls[single], nothing[1]))
+                have[1].append((name[single], nothing[1], nothing[1], cls[single]))
+            for kind, x in enumerate(have):
+                if sum(len(y[0]) for y in x) > TOKENS:
+                    yield send(kind, x)
+                    x.clear()
+        for kind, x in enumerate(have):
+            if x:
+                yield send(kind, x)
+
+    def settle(_: tuple, t: pa.Table) -> pa.Table:
+        out = []
+        for kind in (0, 1):
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for k, rows, size, blob in zip(*(t.column(c).to_pylist() for c in ("kind", "rows", "size")), t.column("blob"), strict=True):
+                if k == kind:
+                    x = np.frombuffer(pa.decompress(blob.as_buffer(), size, codec="zstd"), np.uint64).reshape(-1, rows)
+                    for i in range(len(x)):
+                        cols[i].append(np.cumsum(x[i], dtype=np.uint64) if i < 2 - kind else x[i].view(np.int64))
+            if not cols[0]:
+                continue
+            x = summed(2 - kind, [np.concatenate(c) for c in cols if c])
+            x = [pa.array(y.view(np.int64)) for y in x]
+            none = pa.nulls(len(x[0]), pa.int64())
+            zero = pa.array(np.zeros(len(x[0]), np.int64))
+            out.append(pa.table(dict(zip(("v", "w", "n", "f", "t"), (*x, zero, zero) if kind == 0 else (none, *x), strict=True))))
+        return pa.concat_tables(out)
+
+    found = texts.mapInArrow(count, "radix int, kind int, rows long, size long, blob binary")
+    return found.groupBy("radix").applyInArrow(settle, "v long, w long, n long, f long, t long")
+
+
+def summed(keys: int, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows with equal first columns, `keys` of them, summed up in the others; in the order of these."""
+    order = np.lexsort(columns[:keys][::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns[:keys]] + [np.add.reduceat(c, first) if len(first) else c for c in columns[keys:]]
 
 
 def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Model:
     """found: counted(), staged; share: of the counted texts the toxic ones."""
-    pairs = found.where("v is not null")
-    keeps = {f"o{c}": f"greatest(n{c} - {DISCOUNT}, 0)" for c in (0, 1)} | {"o": f"n0 + n1 - {DISCOUNT}"}
+    pairs = found.where("v is not null").select("v", "w", "n")
+    one = [f"cast({of_class('n', c)} > 0 as long)" for c in (0, 1)]
+    again = f"n % {BOTH} + n div {BOTH} > 1"
+    # Of the bigrams that a word is the context of: texts t; of those in two texts or more texts a, kinds in each class ak and in both together.
     parts = [
-        found.where("v is null").selectExpr("w", *COUNTS, "f0 + f1 as f", "0D as o0", "0D as o1", "0D as o"),
-        pairs.selectExpr("w", "0L", "0L", "cast(n0 > 0 as long)", "cast(n1 > 0 as long)", "0L", "0L", "1L", "0D", "0D", "0D"),
-        pairs.selectExpr("v", "0L", "0L", "0L", "0L", "n0", "n1", "0L", *[f"if(n0 + n1 > 1, cast({x} as double), 0D)" for x in keeps.values()]),
+        found.where("v is null").selectExpr("w", "n", "f", f"f % {BOTH} + f div {BOTH} as g", "t", "0L as a", "0L as ak", "0L as kinds"),
+        pairs.selectExpr("w", "0L", f"{one[0]} + {one[1]} * {BOTH}", "1L", "0L", "0L", "0L", "0L"),
+        pairs.selectExpr("v", "0L", "0L", "0L", "n", f"if({again}, n, 0L)", f"if({again}, {one[0]} + {one[1]} * {BOTH}, 0L)", f"cast({again} as long)"),
     ]
     every = parts[0].union(parts[1]).union(parts[2])
-    per_word = staged(every.groupBy("w").agg(*[F.sum(c).alias(c) for c in every.columns[1:]]), "toxic-words")
+    per_word = every.groupBy("w").agg(*[F.sum(c).alias(c) for c in every.columns[1:]])
+    split = [f"{of_class(x, c)} as {x}{c}" for x in ("n", "f", "t") for c in (0, 1)] + ["cast(g as double) as f"]
+    kept = [f"{of_class('a', c)} - {DISCOUNT} * {of_class('ak', c)} as o{c}" for c in (0, 1)] + [f"{of_class('a', 0)} + {of_class('a', 1)} - {DISCOUNT} * kinds as o"]
+    per_word = staged(per_word.selectExpr("w", *split, *kept), "toxic-words")
     known = per_word.where(f"w <> {int(UNKNOWN.view(np.int64))} and n0 + n1 > 1")
     kinds = [float(x or 0) for x in per_word.agg(F.sum("f0"), F.sum("f1"), F.sum("f")).first()]
     own = known.agg(F.sum("f0"), F.sum("f1"), F.sum("f"), F.count_if(F.col("f0") > 0), F.count_if(F.col("f1") > 0), F.count("*")).first()
@@ -251,28 +307,31 @@ def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Mo
             p, r0, r1 = word_ratios(arrays(b.select(["n0", "n1", "f0", "f1", "f"])), totals)
             yield pa.RecordBatch.from_arrays([*b.select(["w", "n", "t0", "t1", "o0", "o1", "o"]).columns, *map(pa.array, (p, r0, r1))], names=["w", "n", "t0", "t1", "o0", "o1", "o", "p", "r0", "r1"])
 
-    rated = known.select("*", (F.col("n0") + F.col("n1")).alias("n")).mapInArrow(rate, "w long, n long, t0 long, t1 long, o0 double, o1 double, o double, p double, r0 double, r1 double")
+    rated = known.select("*", (F.col("n0") + F.col("n1")).cast("long").alias("n")).mapInArrow(rate, "w long, n long, t0 double, t1 double, o0 double, o1 double, o double, p double, r0 double, r1 double")
     rated = staged(rated, "toxic-ratios")
     sums = rated.agg(F.sum(F.expr("p * r0")), F.sum(F.expr("p * r1"))).first()
     norm = [float(x or 0) + apart / totals.kinds[2] for x in sums]
     rated = rated.withColumn("r0", F.col("r0") / norm[0]).withColumn("r1", F.col("r1") / norm[1])
-    joined = pairs.where("n0 + n1 > 1").select("v", "w", "n0", "n1").join(rated.select("w", "p", "r0", "r1"), "w").join(rated.select(F.col("w").alias("v"), "t0", "t1", "o0", "o1", "o"), "v")
+    joined = pairs.where(again).join(rated.select("w", "p", "r0", "r1"), "w").join(rated.select(F.col("w").alias("v"), "t0", "t1", "o0", "o1", "o"), "v")
+    joined = joined.selectExpr("*", *[f"{of_class('n', c)} as n{c}" for c in (0, 1)])
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = arrays(b.drop_columns(["v", "w"]))
+            d = arrays(b.drop_columns(["v", "w", "n"]))
             v, w = (b.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
             key = mix(v * np.uint64(BASE) + w).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("v"), *map(pa.array, (key, (d["n0"] + d["n1"]).astype(np.int64), *pair_values(d, share), d["p"] * d["r0"], d["p"] * d["r1"]))], names=["v", "key", "n", "value", "q0", "q1", "b0", "b1"])
+            x, *q = pair_values(d, share)
+            parts = (x.astype(np.float32) for x in (*q, d["p"] * d["r0"], d["p"] * d["r1"]))
+            yield pa.RecordBatch.from_arrays([b.column("v"), *map(pa.array, (key, (d["n0"] + d["n1"]).astype(np.int64), x, *parts))], names=["v", "key", "n", "value", "q0", "q1", "b0", "b1"])
 
-    valued = staged(joined.mapInArrow(value, "v long, key long, n long, value double, q0 double, q1 double, b0 double, b1 double"), "toxic-pairs")
+    valued = staged(joined.mapInArrow(value, "v long, key long, n long, value double, q0 float, q1 float, b0 float, b1 float"), "toxic-pairs")
     # What a context's bigrams have, and what its back-off gives to all other words, add up to z.
     context = valued.groupBy("v").agg(*[F.sum(c).alias(c) for c in ("q0", "q1", "b0", "b1")])
     z = [F.col(f"q{c}") + (1 - F.try_divide("o", F.col("t0") + F.col("t1"))) * (1 - F.col(f"b{c}")) for c in (0, 1)]
     unknown = math.log(norm[0] / norm[1])
     ends = rated.join(context.withColumnRenamed("v", "w"), "w", "left")
     ends = ends.select(F.col("w").alias("key"), "n", (F.when(F.col("p") > 0, F.log(F.col("r1") / F.col("r0")) - F.lit(unknown)).otherwise(0.0) - F.coalesce(F.log(z[1] / z[0]), F.lit(0.0))).alias("value"))
-    table = staged(ends.unionByName(valued.select("key", "n", "value")), "toxic-table")
+    table = staged(ends, "toxic-ends").unionByName(valued.select("key", "n", "value"))
     rank = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(((r["rank"], r["count"]) for r in table.groupBy(rank.alias("rank")).count().collect()), reverse=True)
     total, least, held = sum(n for _, n in sizes), 1 << 30, 0
@@ -291,11 +350,12 @@ def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Mo
         maybe = np.zeros(1 << (BITS - 6), np.int64)
         maybe[bits["at"].astype(np.int64)] = bits["bits"]
         maybe = maybe.view(np.uint64)
-    return Model(key[order], got["value"].astype(float)[order], rest, maybe, max(3, math.ceil(math.log2(max(1, (total - held) / SLICE)))), unknown, (int(own[5]), total - int(own[5])), (1.0, 0.0))
+    return Model(key[order], got["value"].astype(float)[order], rest, maybe, total - held, unknown, (int(own[5]), total - int(own[5])), (1.0, 0.0))
 
 
 def packed(token: list[np.ndarray], doc: list[np.ndarray], text: np.ndarray, slices: int) -> pa.RecordBatch:
-    """(radix, size, blob) of keys and the texts they are in, for each slice that some fall into."""
+    """(radix, size, blob) of keys and the texts they are in, for each slice that some fall into; keys are
+    cut to the KEY_BITS that follow the slice's."""
     key, of = np.concatenate(token), np.concatenate(doc)
     one, often = distinct(key, of)
     key, of = key[one], of[one]
@@ -308,23 +368,27 @@ def packed(token: list[np.ndarray], doc: list[np.ndarray], text: np.ndarray, sli
         first = np.flatnonzero(np.append(True, key[part][1:] != key[part][:-1]))
         names, at = np.unique(of[part], return_inverse=True)
         n = np.diff(np.append(first, cut[r + 1] - cut[r]))
-        raw = b"".join((np.array([len(first), len(names), len(at)], np.int64).tobytes(), key[part][first].tobytes(), text[names].tobytes(), n.astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), often[part].astype(np.uint32).tobytes()))
+        low = np.ascontiguousarray((key[part][first] << np.uint64(slices)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8])
+        raw = b"".join((np.array([len(first), len(names), len(at)], np.int64).tobytes(), low.tobytes(), text[names].tobytes(), *(x.astype(np.uint32).tobytes() for x in (n, at, often[part]))))
         size.append(len(raw)), blobs.append(pa.compress(raw, codec="zstd", asbytes=True))
     nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.float64(), pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(size, pa.int64()), pa.array(blobs, pa.binary()), *nothing], names=["radix", "size", "blob", "h", "x", "n"])
 
 
 def unpacked(blob: pa.Scalar, size: int, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts of a blob, and what the values of its keys add up to in each."""
+    """The texts of a blob, and what the values of its keys add up to in each. key: sorted, cut likewise."""
     raw = pa.decompress(blob.as_buffer(), size, codec="zstd")
     n_keys, n_texts, n = np.frombuffer(raw, np.int64, 3).tolist()
-    out, begin = [], 24
-    for kind, m in ((np.uint64, n_keys), (np.int64, n_texts), (np.uint32, n_keys), (np.uint32, n), (np.uint32, n)):
+    width = KEY_BITS // 8
+    low = np.zeros((n_keys, 8), np.uint8)
+    low[:, :width] = np.frombuffer(raw, np.uint8, n_keys * width, 24).reshape(-1, width)
+    begin, out = 24 + n_keys * width, []
+    for kind, m in ((np.int64, n_texts), (np.uint32, n_keys), (np.uint32, n), (np.uint32, n)):
         out.append(np.frombuffer(raw, kind, m, begin))
         begin += m * np.dtype(kind).itemsize
-    asked, text, each, at, often = out
-    spot, ok = find(key, asked)
-    x = np.where(ok, value[spot], 0.0) if len(key) else np.zeros(len(asked))
+    text, each, at, often = out
+    spot, ok = find(key, low.view(">u8").ravel().astype(np.uint64))
+    x = np.where(ok, value[spot], 0.0) if len(key) else np.zeros(n_keys)
     return text, np.bincount(at, np.repeat(x, each) * often, n_texts)
 
 
@@ -332,7 +396,8 @@ def figures(texts: DataFrame, m: Model) -> DataFrame:
     """(h, x) of each distinct hash of a text: difference of the log-likelihoods over the number of
     predictions, null without words. texts: h, text."""
     table = texts.sparkSession.sparkContext.broadcast((m.key, m.value, m.maybe))
-    slices, unknown = m.slices, m.unknown
+    unknown = m.unknown
+    slices = max(3, math.ceil(math.log2(max(1, m.n_rest / SLICE, texts.rdd.getNumPartitions()))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, value, maybe = table.value
@@ -350,8 +415,8 @@ def figures(texts: DataFrame, m: Model) -> DataFrame:
                 if len(key):
                     x += np.bincount(of[ok], value[spot[ok]], len(n))
                 here = h[part.low : part.high]
-                nothing = [pa.nulls(len(n), k) for k in (pa.int32(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*nothing, pa.array(here), pa.array(x), pa.array(n)], names=["radix", "size", "blob", "h", "x", "n"])
+                nothing = [pa.nulls(len(n), k) for k in (pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array((here & ((1 << slices) - 1)).astype(np.int32)), *nothing, pa.array(here), pa.array(x), pa.array(n)], names=["radix", "size", "blob", "h", "x", "n"])
                 if maybe is not None:
                     place = asked & np.uint64((1 << BITS) - 1)
                     some = ~ok & ((maybe[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1)
@@ -365,22 +430,21 @@ def figures(texts: DataFrame, m: Model) -> DataFrame:
 
     sent = texts.mapInArrow(emit, "radix int, size long, blob binary, h long, x double, n long")
     if m.rest is not None:
-        sent = staged(sent, "toxic-asked")
-        asked = sent.where("radix is not null").select("radix", "size", "blob")
-        groups = asked.groupBy("radix").agg(F.ceil(F.sum("size") / GROUP_BYTES).cast("int").alias("parts"))
-        asked = asked.join(F.broadcast(groups), "radix").withColumn("part", F.pmod(F.xxhash64("blob"), F.col("parts").cast("long")).cast("int")).drop("parts")
-        rest = m.rest.withColumn("radix", F.shiftrightunsigned("key", 64 - slices).cast("int")).join(F.broadcast(groups), "radix")
-        rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        rest = m.rest.withColumn("radix", F.shiftrightunsigned("key", 64 - slices).cast("int"))
 
         def answer(_: tuple, asked: pa.Table, rest: pa.Table) -> pa.Table:
-            key = rest.column("key").to_numpy().view(np.uint64)
+            key = rest.column("key").to_numpy().view(np.uint64) << np.uint64(slices) >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS)
             order = np.argsort(key)
             key, value = key[order], rest.column("value").to_numpy()[order]
-            got = [unpacked(b, n, key, value) for b, n in zip(asked.column("blob"), asked.column("size").to_pylist(), strict=True)]
-            return pa.table({"h": pa.array(np.concatenate([*[g[0] for g in got], np.zeros(0, np.int64)])), "x": pa.array(np.concatenate([*[g[1] for g in got], np.zeros(0)]))})
-
-        answers = asked.groupBy("radix", "part").cogroup(rest.groupBy("radix", "part")).applyInArrow(answer, "h long, x double")
-        sent = sent.where("radix is null").select("h", "x", "n").unionByName(answers.withColumn("n", F.lit(0).cast("long")))
+            own = asked.filter(pc.is_null(asked.column("blob"))).select(["h", "x", "n"])
+            asked = asked.filter(pc.is_valid(asked.column("blob")))
+            got = [own]
+            for blob, size in zip(asked.column("blob"), asked.column("size").to_pylist(), strict=True):
+                h, x = unpacked(blob, size, key, value)
+                got.append(pa.table({"h": h, "x": x, "n": np.zeros(len(h), np.int64)}))
+            return pa.concat_tables(g.cast(own.schema) for g in got)
+
+        sent = sent.groupBy("radix").cogroup(rest.groupBy("radix")).applyInArrow(answer, "h long, x double, n long")
     # Equal texts are summed up together: the quotient is that of one.
     return sent.groupBy("h").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).select("h", F.try_divide("x", "n").alias("x"))
 
