@@ -24,14 +24,26 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a local one only where the setting is missing."""
+    """The shared folder in spark.checkpoint.dir. Without that setting a local one, where one machine does
+    all the work, as in tests; on a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shoal-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def free_name(columns: list[str], stem: str) -> str:
+    """A name that begins with stem and that no column has, whatever the case."""
+    taken, name = {c.lower() for c in columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,6 +72,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def planes(x: np.ndarray, in_order: bool = False) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, which compress well where they are alike;
+    in_order: of numbers in ascending order, the steps between them."""
+    if in_order and len(x):
+        x = np.append(x[:1], x[1:] - x[:-1])
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def of_planes(raw, kind: type, n: int, at: int = 0, in_order: bool = False) -> np.ndarray:
+    """n numbers from planes()."""
+    size = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if in_order else x
+
+
 #: Bits of the table of hashes that occur again (16 MB), hashes that one task deals out at once.
 AGAIN_BITS, DEALT = 27, 1_000_000
 
@@ -68,11 +95,11 @@ def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
     """A bitmap of fixed size over the top bits of the 64-bit hashes that occur twice or more. It misses
     none and may hold strangers, the more the fuller it is.
 
-    Hashes are dealt out by their top bits, four bytes each, and of those that a task has seen several
-    times at once two are sent; the driver gets the parts of the bitmap. There are as many groups as
-    the reading takes tasks, sixteen times over, so that a group's size doesn't grow with the input.
+    Hashes are dealt out by their top bits, 32 bits each, packed in order; of those that a task has seen
+    several times at once two are sent; the driver gets the parts of the bitmap. There are as many groups
+    as the reading takes tasks, four times over, so that a group's size doesn't grow with the input.
     """
-    radix_bits = min(bits - 3, max(6, math.ceil(math.log2(max(1, df.rdd.getNumPartitions()))) + 4))
+    radix_bits = min(bits - 3, max(6, math.ceil(math.log2(max(1, df.rdd.getNumPartitions()))) + 2))
     piece_bits = bits - radix_bits
 
     def send(have: list[np.ndarray]) -> pa.RecordBatch:
@@ -82,7 +109,8 @@ def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
         cut = np.searchsorted(h >> np.uint64(64 - radix_bits), np.arange((1 << radix_bits) + 1, dtype=np.uint64))
         low = ((h << np.uint64(radix_bits)) >> np.uint64(32)).astype(np.uint32)
         some = np.flatnonzero(np.diff(cut))
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["radix", "low"])
+        blobs = [pa.compress(planes(low[cut[i] : cut[i + 1]], in_order=True), codec="zstd", asbytes=True) for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(cut)[some]), pa.array(blobs, pa.binary())], names=["radix", "n", "low"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, size = [], 0
@@ -97,14 +125,14 @@ def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
             yield send(have)
 
     def settle(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("low")])
+        low = np.concatenate([of_planes(pa.decompress(x.as_buffer(), 4 * n, codec="zstd"), np.uint32, n, in_order=True) for x, n in zip(t.column("low"), t.column("n").to_pylist(), strict=True)])
         low.sort()
         found = np.zeros(1 << piece_bits, bool)
         found[low[1:][low[1:] == low[:-1]] >> np.uint32(32 - piece_bits)] = True
         return pa.table({"radix": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros((1 << radix_bits, (1 << piece_bits) // 8), np.uint8)
-    for r in df.mapInArrow(deal, "radix int, low binary").groupBy("radix").applyInArrow(settle, "radix int, bits binary").toLocalIterator():
+    for r in df.mapInArrow(deal, "radix int, n long, low binary").groupBy("radix").applyInArrow(settle, "radix int, bits binary").toLocalIterator():
         out[r["radix"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 

@@ -26,7 +26,8 @@ every task has, so that frequent ones are shuffled neither there nor by the text
 out by their hash to slices of the table that stays distributed, packed with the texts they are in.
 There are at least as many slices as tasks that read texts.
 
-Words, bigrams and texts are told apart by 64-bit hashes, within a slice by the KEY_BITS after its own. Texts without words (null, empty, only
+Bigrams and texts are told apart by 64-bit hashes, words by 48 bits, and what is looked up within a slice
+by the KEY_BITS after its own. Texts without words (null, empty, only
 punctuation) get the score of figure 0. Labels other than 0 and 1 and rows with a null id are not
 learnt from; an id labelled twice counts as toxic if one label says so; rows with equal ids are texts
 of their own. Where the labels hold one class only, or none, all texts get that class's or a low score.
@@ -46,13 +47,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.bytetext import ALNUM, BASE, Words, mix, words
-from shoal.llm.shared import marked, repeated_bits, staged, tune
+from shoal.llm.shared import marked, of_planes, planes, repeated_bits, staged, tune
 
 MAX_DOCS, DISCOUNT, TELLING = 10_000, 0.75, 1e-4
 #: Hashes that stand for the ends of a text and for the unknown word.
-START, END, UNKNOWN = (np.uint64(x) for x in (0x9A3F5C17E2B84D61, 0x5D17B0C94E6FA283, 0xC6E8213B7F90D4A5))
+WORD = np.uint64(0xFFFFFFFFFFFF0000)
+START, END, UNKNOWN = (np.uint64(x) for x in (0x9A3F5C17E2B80000, 0x5D17B0C94E6F0000, 0xC6E8213B7F900000))
 #: Entries that every task has (16 bytes each), rows that may be sent to all tasks (16 bytes each).
-MOST_LOCAL, MOST_ROWS = 1_000_000, 1_000_000
+MOST_LOCAL, MOST_ROWS = 100_000, 1_000_000
 #: Tokens that are packed at once, entries of one slice of the table, bits of a hash within its slice.
 TOKENS, SLICE, KEY_BITS = 1_000_000, 200_000, 48
 #: Bits of the table that tells which words and bigrams are not in the distributed one.
@@ -79,13 +81,14 @@ def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sequences(part: Words) -> tuple[np.ndarray, np.ndarray]:
-    """START, words, END of each text that has words, one after another; and the text of each."""
+    """START, words, END of each text that has words, one after another; and the text of each. Of a word's
+    hash the first 48 bits count."""
     n = np.diff(part.first)
     size = np.where(n > 0, n + 2, 0)
     end = np.cumsum(size)
     begin = end - size
     out = np.empty(int(size.sum()), np.uint64)
-    out[np.repeat(begin + 1 - part.first[:-1], n) + np.arange(len(part.hash))] = part.hash
+    out[np.repeat(begin + 1 - part.first[:-1], n) + np.arange(len(part.hash))] = part.hash & WORD
     out[begin[n > 0]], out[end[n > 0] - 1] = START, END
     return out, np.repeat(np.arange(len(n)), size)
 
@@ -204,7 +207,7 @@ def counted(texts: DataFrame) -> DataFrame:
         for part in words(b.column("text"), ALNUM):
             token, doc = sequences(part)
             pair, at = bigrams(token, doc)
-            for key, of in ((token, doc), (pair, doc[at])):
+            for key, of in ((mix(token), doc), (pair, doc[at])):
                 yield key[distinct(key, of)[0]]
 
     twice = texts.sparkSession.sparkContext.broadcast(repeated_bits(texts.select("text"), hashes))
@@ -216,7 +219,7 @@ def counted(texts: DataFrame) -> DataFrame:
         order = np.argsort(radix, kind="stable")
         rows, cut = [x[order] for x in rows], np.searchsorted(radix[order], np.arange((1 << bits) + 1, dtype=np.uint64))
         some = np.flatnonzero(np.diff(cut))
-        raw = [b"".join(np.append(x[cut[r]], np.diff(x[cut[r] : cut[r + 1]].view(np.int64)).view(np.uint64)).tobytes() if i < 2 - kind else x[cut[r] : cut[r + 1]].tobytes() for i, x in enumerate(rows)) for r in some]
+        raw = [b"".join(planes(x[cut[r] : cut[r + 1]], in_order=not i) for i, x in enumerate(rows)) for r in some]
         blobs = [pa.compress(x, codec="zstd", asbytes=True) for x in raw]
         return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), pa.array(np.diff(cut)[some]), pa.array([len(x) for x in raw], pa.int64()), pa.array(blobs, pa.binary())], names=["radix", "kind", "rows", "size", "blob"])
 
@@ -234,7 +237,7 @@ def counted(texts: DataFrame) -> DataFrame:
                 known = marked(twice.value, pair[one])
                 again, single = at[one[known]], at[one[~known]]
                 have[0].append((token[again], token[again + 1], cls[again]))
-                name = np.where(marked(twice.value, token) | (token == START) | (token == END), token, UNKNOWN)
+                name = np.where(marked(twice.value, mix(token)) | (token == START) | (token == END), token, UNKNOWN)
                 once, _ = distinct(token, doc)
                 nothing = [np.zeros(len(x), np.int64) for x in (once, single, single)]
                 have[1].append((name[once], cls[once], nothing[0], nothing[0]))
@@ -254,9 +257,9 @@ def counted(texts: DataFrame) -> DataFrame:
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for k, rows, size, blob in zip(*(t.column(c).to_pylist() for c in ("kind", "rows", "size")), t.column("blob"), strict=True):
                 if k == kind:
-                    x = np.frombuffer(pa.decompress(blob.as_buffer(), size, codec="zstd"), np.uint64).reshape(-1, rows)
-                    for i in range(len(x)):
-                        cols[i].append(np.cumsum(x[i], dtype=np.uint64) if i < 2 - kind else x[i].view(np.int64))
+                    raw = pa.decompress(blob.as_buffer(), size, codec="zstd")
+                    for i in range(size // (8 * rows)):
+                        cols[i].append(of_planes(raw, np.uint64 if i < 2 - kind else np.int64, rows, 8 * rows * i, in_order=not i))
             if not cols[0]:
                 continue
             x = summed(2 - kind, [np.concatenate(c) for c in cols if c])
@@ -305,9 +308,10 @@ def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Mo
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, r0, r1 = word_ratios(arrays(b.select(["n0", "n1", "f0", "f1", "f"])), totals)
-            yield pa.RecordBatch.from_arrays([*b.select(["w", "n", "t0", "t1", "o0", "o1", "o"]).columns, *map(pa.array, (p, r0, r1))], names=["w", "n", "t0", "t1", "o0", "o1", "o", "p", "r0", "r1"])
+            key = pa.array(mix(b.column("w").to_numpy().view(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.select(["w", "n", "t0", "t1", "o0", "o1", "o"]).columns, key, *map(pa.array, (p, r0, r1))], names=["w", "n", "t0", "t1", "o0", "o1", "o", "key", "p", "r0", "r1"])
 
-    rated = known.select("*", (F.col("n0") + F.col("n1")).cast("long").alias("n")).mapInArrow(rate, "w long, n long, t0 double, t1 double, o0 double, o1 double, o double, p double, r0 double, r1 double")
+    rated = known.select("*", (F.col("n0") + F.col("n1")).cast("long").alias("n")).mapInArrow(rate, "w long, n long, t0 double, t1 double, o0 double, o1 double, o double, key long, p double, r0 double, r1 double")
     rated = staged(rated, "toxic-ratios")
     sums = rated.agg(F.sum(F.expr("p * r0")), F.sum(F.expr("p * r1"))).first()
     norm = [float(x or 0) + apart / totals.kinds[2] for x in sums]
@@ -330,7 +334,7 @@ def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Mo
     z = [F.col(f"q{c}") + (1 - F.try_divide("o", F.col("t0") + F.col("t1"))) * (1 - F.col(f"b{c}")) for c in (0, 1)]
     unknown = math.log(norm[0] / norm[1])
     ends = rated.join(context.withColumnRenamed("v", "w"), "w", "left")
-    ends = ends.select(F.col("w").alias("key"), "n", (F.when(F.col("p") > 0, F.log(F.col("r1") / F.col("r0")) - F.lit(unknown)).otherwise(0.0) - F.coalesce(F.log(z[1] / z[0]), F.lit(0.0))).alias("value"))
+    ends = ends.select("key", "n", (F.when(F.col("p") > 0, F.log(F.col("r1") / F.col("r0")) - F.lit(unknown)).otherwise(0.0) - F.coalesce(F.log(z[1] / z[0]), F.lit(0.0))).alias("value"))
     table = staged(ends, "toxic-ends").unionByName(valued.select("key", "n", "value"))
     rank = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(((r["rank"], r["count"]) for r in table.groupBy(rank.alias("rank")).count().collect()), reverse=True)
@@ -353,6 +357,11 @@ def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Mo
     return Model(key[order], got["value"].astype(float)[order], rest, maybe, total - held, unknown, (int(own[5]), total - int(own[5])), (1.0, 0.0))
 
 
+def cut_key(key: np.ndarray, slices: int) -> np.ndarray:
+    """The KEY_BITS bits behind those that say the slice."""
+    return key << np.uint64(slices) >> np.uint64(64 - KEY_BITS)
+
+
 def packed(token: list[np.ndarray], doc: list[np.ndarray], text: np.ndarray, slices: int) -> pa.RecordBatch:
     """(radix, size, blob) of keys and the texts they are in, for each slice that some fall into; keys are
     cut to the KEY_BITS that follow the slice's."""
@@ -368,8 +377,7 @@ def packed(token: list[np.ndarray], doc: list[np.ndarray], text: np.ndarray, sli
         first = np.flatnonzero(np.append(True, key[part][1:] != key[part][:-1]))
         names, at = np.unique(of[part], return_inverse=True)
         n = np.diff(np.append(first, cut[r + 1] - cut[r]))
-        low = np.ascontiguousarray((key[part][first] << np.uint64(slices)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8])
-        raw = b"".join((np.array([len(first), len(names), len(at)], np.int64).tobytes(), low.tobytes(), text[names].tobytes(), *(x.astype(np.uint32).tobytes() for x in (n, at, often[part]))))
+        raw = b"".join((np.array([len(first), len(names), len(at)], np.int64).tobytes(), planes(cut_key(key[part][first], slices), in_order=True), text[names].tobytes(), *(planes(x.astype(np.uint32)) for x in (n, at, often[part]))))
         size.append(len(raw)), blobs.append(pa.compress(raw, codec="zstd", asbytes=True))
     nothing = [pa.nulls(len(some), k) for k in (pa.int64(), pa.float64(), pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(size, pa.int64()), pa.array(blobs, pa.binary()), *nothing], names=["radix", "size", "blob", "h", "x", "n"])
@@ -379,15 +387,14 @@ def unpacked(blob: pa.Scalar, size: int, key: np.ndarray, value: np.ndarray) ->
     """The texts of a blob, and what the values of its keys add up to in each. key: sorted, cut likewise."""
     raw = pa.decompress(blob.as_buffer(), size, codec="zstd")
     n_keys, n_texts, n = np.frombuffer(raw, np.int64, 3).tolist()
-    width = KEY_BITS // 8
-    low = np.zeros((n_keys, 8), np.uint8)
-    low[:, :width] = np.frombuffer(raw, np.uint8, n_keys * width, 24).reshape(-1, width)
-    begin, out = 24 + n_keys * width, []
-    for kind, m in ((np.int64, n_texts), (np.uint32, n_keys), (np.uint32, n), (np.uint32, n)):
-        out.append(np.frombuffer(raw, kind, m, begin))
-        begin += m * np.dtype(kind).itemsize
-    text, each, at, often = out
-    spot, ok = find(key, low.view(">u8").ravel().astype(np.uint64))
+    asked = of_planes(raw, np.uint64, n_keys, 24, in_order=True)
+    text = np.frombuffer(raw, np.int64, n_texts, 24 + 8 * n_keys)
+    begin, out = 24 + 8 * (n_keys + n_texts), []
+    for m in (n_keys, n, n):
+        out.append(of_planes(raw, np.uint32, m, begin))
+        begin += 4 * m
+    each, at, often = out
+    spot, ok = find(key, asked)
     x = np.where(ok, value[spot], 0.0) if len(key) else np.zeros(n_keys)
     return text, np.bincount(at, np.repeat(x, each) * often, n_texts)
 
@@ -407,7 +414,7 @@ def figures(texts: DataFrame, m: Model) -> DataFrame:
             for part in words(b.column("text"), ALNUM):
                 t, of = sequences(part)
                 pair, at = bigrams(t, of)
-                asked, of = np.concatenate([t, pair]), np.concatenate([of, of[at]])
+                asked, of = np.concatenate([mix(t), pair]), np.concatenate([of, of[at]])
                 spot, ok = find(key, asked)
                 n = np.diff(part.first)
                 n = n + (n > 0)
@@ -433,7 +440,7 @@ def figures(texts: DataFrame, m: Model) -> DataFrame:
         rest = m.rest.withColumn("radix", F.shiftrightunsigned("key", 64 - slices).cast("int"))
 
         def answer(_: tuple, asked: pa.Table, rest: pa.Table) -> pa.Table:
-            key = rest.column("key").to_numpy().view(np.uint64) << np.uint64(slices) >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS)
+            key = cut_key(rest.column("key").to_numpy().view(np.uint64), slices)
             order = np.argsort(key)
             key, value = key[order], rest.column("value").to_numpy()[order]
             own = asked.filter(pc.is_null(asked.column("blob"))).select(["h", "x", "n"])
