@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -64,6 +65,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver's collector find the plans that staged tables have replaced: Spark deletes the shuffle
+    files of plans that nothing refers to, which else stay until the driver happens to need memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later plans start from those files."""
     spark = df.sparkSession

@@ -47,16 +47,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.bytetext import ALNUM, BASE, Words, mix, words
-from shoal.llm.shared import marked, of_planes, planes, repeated_bits, staged, tune
+from shoal.llm.shared import free_shuffles, marked, of_planes, planes, repeated_bits, staged, tune
 
 MAX_DOCS, DISCOUNT, TELLING = 10_000, 0.75, 1e-4
 #: Hashes that stand for the ends of a text and for the unknown word.
 WORD = np.uint64(0xFFFFFFFFFFFF0000)
 START, END, UNKNOWN = (np.uint64(x) for x in (0x9A3F5C17E2B80000, 0x5D17B0C94E6F0000, 0xC6E8213B7F900000))
 #: Entries that every task has (16 bytes each), rows that may be sent to all tasks (16 bytes each).
-MOST_LOCAL, MOST_ROWS = 100_000, 1_000_000
+MOST_LOCAL, MOST_ROWS = 20_000, 1_000_000
 #: Tokens that are packed at once, entries of one slice of the table, bits of a hash within its slice.
-TOKENS, SLICE, KEY_BITS = 1_000_000, 200_000, 48
+TOKENS, SLICE, KEY_BITS = 500_000, 200_000, 48
 #: Bits of the table that tells which words and bigrams are not in the distributed one.
 BITS = 25
 
@@ -335,7 +335,9 @@ def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Mo
     unknown = math.log(norm[0] / norm[1])
     ends = rated.join(context.withColumnRenamed("v", "w"), "w", "left")
     ends = ends.select("key", "n", (F.when(F.col("p") > 0, F.log(F.col("r1") / F.col("r0")) - F.lit(unknown)).otherwise(0.0) - F.coalesce(F.log(z[1] / z[0]), F.lit(0.0))).alias("value"))
-    table = staged(ends, "toxic-ends").unionByName(valued.select("key", "n", "value"))
+    ends = staged(ends, "toxic-ends")
+    free_shuffles(found.sparkSession)
+    table = ends.unionByName(valued.select("key", "n", "value"))
     rank = F.floor(F.log2("n") * 8).cast("int")
     sizes = sorted(((r["rank"], r["count"]) for r in table.groupBy(rank.alias("rank")).count().collect()), reverse=True)
     total, least, held = sum(n for _, n in sizes), 1 << 30, 0
@@ -472,12 +474,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = one.join(F.broadcast(curve), "id", "left_anti")
     size = {r["cls"]: r["count"] for r in counts.groupBy("cls").count().collect()}
     found = staged(counted(rows.join(few(counts, sum(size.values())), "id").select("cls", "text")), "toxic-counts")
+    free_shuffles(spark)
     n0, n1 = size.get(0, 0), size.get(1, 0)
     model = estimate(found, (n1 + 0.5) / (n0 + n1 + 1), most_local)
     texts = rows.join(F.broadcast(one.join(F.broadcast(curve), "id")), "id").select(F.xxhash64("text").alias("h"), "cls", "text")
     seen = texts.select("h", "cls").distinct().join(figures(texts.select("h", "text"), model), "h")
     held = columns(seen.select("cls", F.coalesce("x", F.lit(0.0)).alias("x")))
     y, x = held["cls"].astype(float), held["x"].astype(float)
+    free_shuffles(spark)
     weight = np.where(y > 0, totals.get(1, 0) / max(1, y.sum()), totals.get(0, 0) / max(1, (1 - y).sum()))
     return model._replace(curve=logistic(x, y, weight / max(1e-9, weight.mean()) if len(weight) else weight))
 
