@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def trim(c: Column) -> Column:
     """Without white space of any kind at both ends (the built-in trim takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def split_lines(content: Column) -> Column:
@@ -19,4 +19,4 @@ def split_lines(content: Column) -> Column:
 
 def is_comment(line: Column) -> Column:
     """A shell line that only holds a comment."""
-    return line.rlike(r"^\s*#")
+    return line.rlike(r"(?U)^\s*#")

@@ -87,9 +87,10 @@ def audit(files: DataFrame, config: Config = Config(), audited: DataFrame | None
     """Findings and allowed matches of the run blocks and, given the snapshots, of the actions used.
 
     Without sources (no token) only run blocks are scanned. A file that isn't valid YAML fails the
-    whole audit of its repository: the report's status is 2 and it has no findings.
+    whole audit of its repository: the report's status is 2 and it has no findings. Files are parsed
+    once and kept until the session's cache is cleared; give parsed to keep them otherwise.
     """
-    parsed = parse_workflows(files) if parsed is None else parsed
+    parsed = parse_workflows(files).persist() if parsed is None else parsed
     broken = parsed.groupBy("repo").agg(F.max(~F.col("valid")).alias("broken"))
     options = options_of(config, True, strict_hosts)
     good = parsed.join(broken.where("not broken").select("repo"), "repo", "left_semi")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 # What counts as a fetch, an interpreter, a floating version, a package name.
 FETCH = "(?:curl|wget)"
-WEB_REQUEST = "(?:Invoke-WebRequest|iwr|Invoke-RestMethod|irm)"
+WEB_VERBS = "Invoke-WebRequest|iwr|Invoke-RestMethod|irm"
+WEB_REQUEST = f"(?:{WEB_VERBS})"
 INTERPRETER = "(?:bash|sh|zsh|dash|ash|ksh|fish|python3?)"
 LATEST = r"""[/=]latest[/\s"]"""
 LATEST_QUOTED = r"""[/=]latest[/\s"']"""
@@ -42,11 +43,12 @@ def _shell(rule_id: str, kind: str, severity: str, pattern: str, description: st
     return Rule(rule_id, "shell", kind, severity, "shell_fetch", pattern, description, guard)
 
 
+# Which lines a rule matches and which of them its guard lets go, with kind and severity.
 RULES: tuple[Rule, ...] = (
     _shell("sh.pipe", "pipe", "high", rf"(?i)\b{FETCH}\b[^|]*\|\s*(?:sudo\s+)?{INTERPRETER}\b", "download piped into an interpreter"),
     _shell("sh.procsub", "pipe", "high", rf"(?i)\b{INTERPRETER}\s+<\(\s*{FETCH}\b", "interpreter reads a download by process substitution"),
     _shell("sh.cmdsub", "pipe", "high", rf"""(?i)\b(?:bash|sh|zsh|eval)\b[^"']*["']?\$\(\s*{FETCH}\b""", "interpreter runs a download by command substitution"),
-    _shell("ps.iex", "pipe", "high", rf"(?i)\b(?:iex|Invoke-Expression)\b.*\b(?:{WEB_REQUEST[3:-1]}|DownloadString)\b", "PowerShell evaluates a download"),
+    _shell("ps.iex", "pipe", "high", rf"(?i)\b(?:iex|Invoke-Expression)\b.*\b(?:{WEB_VERBS}|DownloadString)\b", "PowerShell evaluates a download"),
     _shell("sh.curl.latest", "plain", "high", rf"curl\b.*{LATEST}", "curl fetches a latest release"),
     _shell("sh.wget.latest", "plain", "high", rf"wget\b.*{LATEST}", "wget fetches a latest release"),
     _shell("sh.go.latest", "plain", "medium", r"go\s+install\s+\S+@latest", "go install of a latest version"),

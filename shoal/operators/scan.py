@@ -48,7 +48,7 @@ def logical_lines(lines: Column) -> Column:
     A line continues if it ends in a backslash, white space aside. Pieces after the first are trimmed
     and joined with a space.
     """
-    continues = r"\\\s*\z"
+    continues = r"(?U)\\\s*\z"
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("n"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -108,7 +108,7 @@ def scan_shell(units: DataFrame, options: ScanOptions = ScanOptions()) -> DataFr
     """Pipes over joined commands first; then, on lines that aren't comments and don't start such a
     command, plain rules, URL rules where no plain rule matched, and package rules. Findings but pipes
     go down one step if a checksum command stands in the next three lines."""
-    lines = lines_of(units, logical=True).where(F.col("text").rlike(PREFILTER) | F.col("logical").rlike(PREFILTER))
+    lines = lines_of(units, logical=True).where(F.col("text").rlike(java(PREFILTER)) | F.col("logical").rlike(java(PREFILTER)))
     pipe = F.when(is_comment(F.col("logical")) | F.col("logical").isNull(), _none()).otherwise(hits("shell", ("pipe",), F.col("logical")))
     lines = lines.withColumn("pipe", pipe)
     skip = is_comment(F.col("text")) | (F.size("pipe") > 0)
@@ -125,7 +125,7 @@ def _scan_lines(units: DataFrame, lang: str, options: ScanOptions) -> DataFrame:
     if lang == "javascript":  # minified lines are looked at statement by statement
         pieces = F.filter(F.transform(F.split("text", ";"), trim), lambda x: x != "")
         lines = lines.withColumn("text", F.explode(F.when(F.octet_length("text") > MINIFIED, pieces).otherwise(F.array("text"))))
-    lines = lines.where(F.col("text").rlike(PREFILTER))
+    lines = lines.where(F.col("text").rlike(java(PREFILTER)))
     parts = _Parts(hits(lang, ("plain",), F.col("text")), hits(lang, ("url",), F.col("text")), _none())
     return _emit(lines, parts, options, F.col("i") + 1)
 
@@ -140,7 +140,7 @@ def scan_python(units: DataFrame, options: ScanOptions = ScanOptions()) -> DataF
 
 def scan_dockerfile(units: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Pipes on every line; the other rules on lines without a pipe and without an image digest."""
-    lines = lines_of(units).where(F.col("text").rlike(PREFILTER)).withColumn("pipe", hits("shell", ("pipe",), F.col("text")))
+    lines = lines_of(units).where(F.col("text").rlike(java(PREFILTER))).withColumn("pipe", hits("shell", ("pipe",), F.col("text")))
     skip = F.col("text").rlike(java(DIGEST_FROM)) | (F.size("pipe") > 0)
     one = lambda kind: F.when(skip, _none()).otherwise(hits("dockerfile", (kind,), F.col("text")))
     parts = _Parts(one("plain"), one("url"), one("package"), F.col("pipe"))

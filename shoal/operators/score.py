@@ -95,8 +95,12 @@ def runtime_findings(parsed: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def score(files: DataFrame, config: Config = Config(), parsed: DataFrame | None = None) -> Score:
-    """Findings and one report row per repository. Settings for severity and for ignoring play no part."""
-    parsed = parse_workflows(files) if parsed is None else parsed
+    """Findings and one report row per repository. Settings for severity and for ignoring play no part.
+
+    Files are parsed once and kept, in memory or on executors' disks, until the session's cache is
+    cleared; give parsed to keep them otherwise.
+    """
+    parsed = parse_workflows(files).persist() if parsed is None else parsed
     refs = action_refs(parsed)
     findings = with_metadata(ref_findings(refs, config).unionByName(workflow_findings(parsed)).unionByName(runtime_findings(parsed, config)))
     repos = parsed.groupBy("repo").agg(F.count("*").alias("workflows_scanned"))

@@ -16,9 +16,10 @@ from shoal.functions.text import is_comment, split_lines
 from shoal.functions.urls import disposition, first_url, has_version, is_data_format, is_trusted_host, url_extension, url_host
 from shoal.functions.versions import is_newer, is_release_tag, version_key
 from shoal.operators import rules
-from shoal.operators.resolve import latest_releases
-from shoal.operators.scan import scan_dockerfile, scan_javascript, scan_python, scan_shell
+from shoal.operators.resolve import latest_releases, pin, pin_report, rewrite, update, update_report
+from shoal.operators.scan import LINE_END, lines_of, scan, scan_dockerfile, scan_javascript, scan_python, scan_shell
 from shoal.operators.score import SCORE_RULES, grade_of, score_of, with_metadata
+from shoal.sources.snapshots import TAG_OBJECTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -208,21 +209,154 @@ def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.count_if(is_comment(F.col("line"))).alias("comments"))
 
 
-@query("lookahead_window", "select event_id, coalesce(bool_or(event_type = 'error') over (partition by user_id order by event_id rows between 1 following and 3 following), false) as ahead from events")
-def lookahead_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(1, 3)
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.max(F.col("event_type") == "error").over(w), F.lit(False)).alias("ahead"))
+def event_scripts(spark: SparkSession, sf_dir: str, backslash: str = "") -> DataFrame:
+    """A text for each user, a line for each event in order; backslash is put behind views."""
+    line = F.concat("event_type", F.when(F.col("event_type") == "view", backslash).otherwise(""))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("o"))
+    return rows.select("user_id", F.array_join(F.transform("o", lambda x: x["line"]), "\n").alias("content"))
 
 
-@query("continuation_islands", """with e as (select user_id, event_id, event_type, coalesce(lag(event_type = 'view') over (partition by user_id order by event_id), false) as c from events),
+@query("lookahead_lines", "select user_id, cast(row_number() over w - 1 as integer) as i, event_type as line, coalesce(bool_or(event_type = 'error') over (partition by user_id order by event_id rows between 1 following and 3 following), false) as ahead from events window w as (partition by user_id order by event_id)")
+def lookahead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines_of(event_scripts(spark, sf_dir))
+    return rows.select("user_id", "i", F.col("text").alias("line"), F.array_contains(F.split("ahead", LINE_END), "error").alias("ahead"))
+
+
+@query("logical_commands", """with e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) - 1 as i, coalesce(lag(event_type = 'view') over (partition by user_id order by event_id), false) as c from events),
 i as (select *, sum(case when c then 0 else 1 end) over (partition by user_id order by event_id) as island from e)
-select user_id, cast(island as bigint) as island, min(event_id) as first_event, string_agg(event_type, ' ' order by event_id) as joined from i group by user_id, island""")
-def continuation_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").withColumn("c", F.coalesce(F.lag(F.col("event_type") == "view").over(w), F.lit(False)))
-    i = e.withColumn("island", F.sum(F.when(F.col("c"), 0).otherwise(1)).over(w))
-    out = i.groupBy("user_id", "island").agg(F.min("event_id").alias("first_event"), F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("o"))
-    return out.select("user_id", "island", "first_event", F.array_join(F.transform("o", lambda x: x["event_type"]), " ").alias("joined"))
+select user_id, cast(min(i) as integer) as first_line, string_agg(event_type, ' ' order by event_id) as joined from i group by user_id, island""")
+def logical_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines_of(event_scripts(spark, sf_dir, "\\"), logical=True)
+    return rows.where("logical is not null").select("user_id", F.col("i").alias("first_line"), F.col("logical").alias("joined"))
+
+
+#: A line for each rule, around a name {p}.
+RULE_LINES = {
+    "shell": {
+        "sh.pipe": "curl -s https://h.example/{p}.sh | sudo bash", "sh.procsub": "bash <(curl -s https://h.example/{p}.sh)", "sh.cmdsub": 'sh -c "$(curl -fsSL https://h.example/{p}.sh)"', "ps.iex": "iex (iwr https://h.example/{p}.ps1)",
+        "sh.curl.latest": "curl -LO https://h.example/latest/{p}", "sh.wget.latest": "wget https://h.example/latest/{p}", "sh.go.latest": "go install example.org/{p}@latest", "ps.iwr.latest": "Invoke-WebRequest https://h.example/latest/{p}",
+        "sh.brew.head": "brew install {p} --head", "sh.curl.url": "curl -O https://h.example/{p}.tgz", "sh.wget.url": "wget https://h.example/{p}.tgz", "ps.iwr.url": "irm https://h.example/{p}.tgz", "sh.gh.release": "gh release download -p {p}",
+        "sh.git.clone": "git clone https://h.example/{p}", "sh.pip": "pip3 install {p}", "sh.npm": "npm install @scope/{p}", "sh.cargo": "cargo install {p}", "sh.gem": "gem install {p}", "sh.npx": "npx --yes {p}", "ps.module": "Install-Module {p}",
+        "sh.pip.git": "pip install git+https://h.example/{p}",
+    },
+    "javascript": {
+        "js.fetch.latest": "fetch('https://h.example/latest/{p}')", "js.axios.latest": "axios.get('https://h.example/latest/{p}')", "js.got.latest": "got('https://h.example/latest/{p}')", "js.http.latest": "https.get('https://h.example/latest/{p}')",
+        "js.exec.curl": "execSync('curl {p}')", "js.child.curl": "require('child_process').run('curl {p}')", "js.fetch.url": "fetch('https://h.example/{p}.tgz')", "js.axios.url": "axios.get('https://h.example/{p}.tgz')",
+    },
+    "python": {
+        "py.urllib.latest": "urllib.request.urlopen('https://h.example/latest/{p}')", "py.requests.latest": "requests.get('https://h.example/latest/{p}')", "py.subprocess.curl": "subprocess.run(['curl', '{p}'])",
+        "py.subprocess.wget": "subprocess.run(['wget', '{p}'])", "py.urllib.url": "urllib.request.urlopen('https://h.example/{p}.tgz')", "py.requests.url": "requests.head('https://h.example/{p}.tgz')",
+    },
+    "dockerfile": {
+        "docker.from.latest": "FROM {p}:latest", "docker.from.untagged": "FROM library/{p} AS b", "docker.run.curl": "RUN apt-get -y upgrade && curl {p}", "docker.run.wget": "RUN wget {p}", "docker.add.url": "ADD https://h.example/{p}.tgz /",
+        "docker.git.clone": "RUN git clone https://h.example/{p}",
+    },
+}
+ALL_LINES = [(lang, rule, text) for lang, lines in RULE_LINES.items() for rule, text in lines.items()]
+#: In code a URL rule speaks beside a plain one.
+BESIDE = {"js.fetch.latest": "js.fetch.url", "js.axios.latest": "js.axios.url", "py.urllib.latest": "py.urllib.url", "py.requests.latest": "py.requests.url"}
+HIT_VALUES = ", ".join("({}, '{}', '{}', {}, {})".format(k, hit, rules.BY_ID[hit].severity, *("'" + x.replace("'", "''") + "'" for x in text.split("{p}"))) for k, (_, rule, text) in enumerate(ALL_LINES) for hit in (rule, BESIDE.get(rule)) if hit)
+
+
+@query("rule_hits", f"with v(k, rule_id, severity, before, after) as (values {HIT_VALUES}) select p_partkey, v.rule_id, v.severity, concat(v.before, 'pkg', p_partkey, v.after) as pattern_matched from part join v on p_partkey % {len(ALL_LINES)} = v.k")
+def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each part, by turns one for each of the rules."""
+    k, name = F.col("p_partkey") % len(ALL_LINES), F.concat(F.lit("pkg"), F.col("p_partkey").cast("string"))
+    texts = F.array(*[F.concat(F.lit(t.split("{p}")[0]), name, F.lit(t.split("{p}")[1])) for _, _, t in ALL_LINES])
+    langs = F.array(*[F.lit(lang) for lang, _, _ in ALL_LINES])
+    units = table(spark, sf_dir, "part").select("p_partkey", F.get(langs, k.cast("int")).alias("lang"), F.lit(1).alias("base_line"), F.get(texts, k.cast("int")).alias("content"))
+    return scan(units).select("p_partkey", "rule_id", "severity", "pattern_matched")
+
+
+def part_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each part the action that uses_lines() has for it, and its key."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.when(k % 5 == 0, "actions").otherwise(F.concat(F.lit("org"), (k % 7).cast("string"))).alias("owner"), F.concat(F.lit("action"), (k % 50).cast("string")).alias("repo_name"), k.alias("k"))
+
+
+PARTS_SQL = "select case when p_partkey % 5 = 0 then 'actions' else concat('org', p_partkey % 7) end as owner, concat('action', p_partkey % 50) as repo_name, p_partkey as k from part"
+
+
+def refs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as workflows give them, a repository for each supplier."""
+    rows = uses_lines(spark, sf_dir).withColumn("u", parse_uses(F.col("raw_line"))).where("u is not null")
+    return rows.select(F.col("repo").cast("string").alias("repo"), F.col("workflow").cast("string").alias("workflow"), F.col("line").alias("line_number"), "u.*", "raw_line")
+
+
+# Tags of every action by its parts' keys: all of one major version are one commit, tags with a 7 were deleted,
+# those with an even key are annotated, and of these each third leads nowhere.
+TAGS_SQL = f"""p as ({PARTS_SQL}), tg as (select owner, repo_name, {REF_SQL.format(k="k")} as tag, min(k) as k from p where k % 4 in (1, 2) and k % 9 <> 7 group by all),
+tr as (select owner, repo_name, tag, k, case when k % 2 = 0 and k % 3 = 0 then null else sha1(concat(owner, '/', repo_name, substr(tag, 1, 2))) end as sha from tg)"""
+
+
+def tag_snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("k")
+    tags = part_actions(spark, sf_dir).where((k % 4).isin(1, 2) & (k % 9 != 7)).groupBy("owner", "repo_name", ref_string(k).alias("tag")).agg(F.min("k").alias("k"))
+    commit, tag_object = F.sha1(F.concat("owner", F.lit("/"), "repo_name", F.substring("tag", 1, 2)).cast("binary")), F.sha1(F.concat("owner", F.lit("/"), "repo_name", "tag").cast("binary"))
+    annotated = k % 2 == 0
+    refs = tags.select("owner", "repo_name", "tag", F.when(annotated, tag_object).otherwise(commit).alias("object_sha"), F.when(annotated, "tag").otherwise("commit").alias("object_type"), k.alias("ordinal"))
+    objects = tags.where(annotated & (k % 3 != 0)).select("owner", "repo_name", tag_object.alias("tag_sha"), commit.alias("commit_sha"))
+    return refs, objects
+
+
+@query("pin_plan", f"""with u as ({USES_SQL}), t as (select *, {TYPE_SQL} as ty from u), {TAGS_SQL},
+x as (select a.owner, a.repo_name, a.tag, a.sha, coalesce((select arg_min(b.tag, {{'l': -length(b.tag), 'k': b.k}}) from tr b where b.owner = a.owner and b.repo_name = a.repo_name and b.sha = a.sha and starts_with(b.tag, a.tag) and length(b.tag) > length(a.tag)), a.tag) as e from tr a where a.sha is not null),
+j as (select t.*, concat_ws('/', t.owner, t.repo_name, subpath) as name, x.sha, x.e from t left join x on t.owner = x.owner and t.repo_name = x.repo_name and t.r = x.tag and ty in ('tag', 'sliding') where ty <> 'sha')
+select 'pinned' as kind, concat('      - uses: ', name, '@', sha, ' # ', e) as text, count(*) as n from j where sha is not null group by all
+union all select 'skipped', concat(name, '@', r, ': ', case when ty = 'branch' then 'branch ref: pin to a commit by hand' when sha is null then concat('tag not found: ', r) else concat('sliding tag, resolved to ', e) end), count(*) from j where ty <> 'tag' or sha is null group by all""")
+def pin_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of pinning, from lines and a snapshot of tags to new lines and what is skipped."""
+    pins = pin(refs_of(spark, sf_dir), *tag_snapshot(spark, sf_dir))
+    done = pins.pinned.select(F.lit("pinned").alias("kind"), F.col("new_line").alias("text"))
+    left = pins.skipped.select(F.lit("skipped").alias("kind"), F.concat("action", F.lit(": "), "reason").alias("text"))
+    return done.unionByName(left).groupBy("kind", "text").agg(F.count("*").alias("n"))
+
+
+@query("pin_status", f"""with u as ({USES_SQL}), t as (select *, {TYPE_SQL} as ty from u), {TAGS_SQL}, f as (select distinct owner, repo_name, tag from tr where sha is not null),
+j as (select t.repo, t.workflow, ty, f.tag is not null as found from t left join f on t.owner = f.owner and t.repo_name = f.repo_name and t.r = f.tag and ty in ('tag', 'sliding') where ty <> 'sha')
+select cast(repo as varchar) as repo, count(*) filter (where found) as pinned, count(distinct workflow) filter (where found) as files_touched, count(*) filter (where ty <> 'tag' or not found) as skipped, cast(bool_or(found) as integer) as status from j group by repo""")
+def pin_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = refs_of(spark, sf_dir)
+    return pin_report(pin(refs, *tag_snapshot(spark, sf_dir)), refs.where("ref_type <> 'sha'"))
+
+
+# Releases of every action by its parts' keys: a version, its place in the list, drafts and pre-releases.
+LISTED_SQL = f"p as ({PARTS_SQL}), l as (select owner, repo_name, k, row_number() over (partition by owner, repo_name order by k) - 1 as place, concat('v', k % 3, '.', k % 5, '.', k % 2) as tag, [k % 3, k % 5, k % 2] as v, k % 8 = 0 as out from p)"
+
+
+def release_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    place = F.row_number().over(Window.partitionBy("owner", "repo_name").orderBy("k")) - 1
+    tag = F.concat(F.lit("v"), (k % 3).cast("string"), F.lit("."), (k % 5).cast("string"), F.lit("."), (k % 2).cast("string"))
+    return part_actions(spark, sf_dir).select("owner", "repo_name", place.alias("ordinal"), tag.alias("tag_name"), (k % 16 == 0).alias("draft"), (k % 16 == 8).alias("prerelease"), F.concat(F.lit("https://h.example/"), tag).alias("html_url"))
+
+
+@query("update_plan", f"""with u as ({USES_SQL}), t as (select *, {TYPE_SQL} as ty from u), {LISTED_SQL},
+b as (select owner, repo_name, arg_max(tag, {{'v': v, 'o': -place}}) as tag, max(v) as v from l where place < 30 and not out group by all),
+j as (select cast(t.repo as varchar) as repo, b.tag, [1, 0, 0] < b.v as newer, t.owner, t.repo_name, t.subpath from t join (select distinct owner, repo_name from l) using (owner, repo_name) left join b using (owner, repo_name) where ty = 'sha' and tag_comment is not null),
+c as (select repo, count(*) filter (where not coalesce(newer, false)) as up_to_date, count(*) filter (where newer) as outdated from j group by repo),
+n as (select repo, count(*) as updates, min(concat('      - uses: ', concat_ws('/', owner, repo_name, subpath), '@', sha1(concat(owner, repo_name, tag)), ' # ', tag)) as first_line from j where newer group by repo)
+select c.repo, coalesce(updates, 0) as updates, first_line, up_to_date, outdated, cast(coalesce(updates, 0) > 0 as integer) as status from c left join n using (repo)""")
+def update_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of updating, from lines and snapshots of releases and tags to new lines and counters."""
+    refs, releases = refs_of(spark, sf_dir), release_list(spark, sf_dir)
+    tags = releases.select("owner", "repo_name", F.col("tag_name").alias("tag"), F.sha1(F.concat("owner", "repo_name", "tag_name").cast("binary")).alias("object_sha"), F.lit("commit").alias("object_type")).distinct()
+    found = update(refs, releases, tags, spark.createDataFrame([], TAG_OBJECTS))
+    first = found.updates.groupBy("repo").agg(F.min("new_line").alias("first_line"))
+    return update_report(found, found.counters).join(first, "repo", "left").select("repo", "updates", "first_line", "up_to_date", "outdated", "status")
+
+
+@query("rewrite_files", """with f as (select p_partkey as k, unnest(range(1, 6)) as i from part), c as (select l_partkey as k, l_linenumber as i, arg_min(concat('new ', l_orderkey, '-', l_suppkey), {'o': l_orderkey, 's': l_suppkey, 'q': l_quantity}) as t from lineitem group by all)
+select concat('w', f.k) as workflow, concat(string_agg(coalesce(c.t, concat('line ', f.i)), chr(10) order by f.i), case when f.k % 2 = 0 then chr(10) else '' end) as content from f left join c on f.k = c.k and f.i = c.i group by f.k""")
+def rewrite_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of five lines, half with carriage returns, in which line items replace lines; the first of several wins."""
+    k = F.col("p_partkey")
+    end = F.when(k % 3 == 0, "\r\n").otherwise("\n")
+    content = F.concat(*[x for i in range(1, 6) for x in (F.lit(f"line {i}"), end if i < 5 else F.when(k % 2 == 0, end).otherwise(""))])
+    files = table(spark, sf_dir, "part").select(F.lit("r").alias("repo"), F.concat(F.lit("w"), k.cast("string")).alias("workflow"), content.alias("content"))
+    text = F.concat(F.lit("new "), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
+    changes = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("repo"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("file"), F.col("l_linenumber").alias("line"), text.alias("new_line"), F.struct("l_orderkey", "l_suppkey", "l_quantity").alias("ordinal"))
+    return rewrite(files, changes).select("workflow", "content")
 
 
 def release_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,3 +453,51 @@ def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.operators.audit import audit
 
     return audit(workflow_files(spark, sf_dir)).findings.select("repo", "source_file", "rule_id", "severity", "category", "line", "pattern_matched")
+
+
+# Of the references of workflow_files(): audited commits by layer, sources that are at hand, with a fetch in some.
+STATUS_SQL = f"""w as (select page_id as k, page_id % 50 as repo, {REF_SQL.format(k="page_id")} as r from pages), d as (select repo, r, min(k) as k from w group by all),
+a as (select r, min(case when k % 12 = 3 then 1 when k % 12 = 7 then 2 when k % 24 = 11 then 3 end) as layer from w where k % 4 = 3 group by r), h as (select r, bool_or(k % 5 <> 0) as there, bool_or(k % 5 = 1) as bad from w group by r),
+s as (select d.repo, d.r, case when layer is not null then ['bundled', 'local cache', 'remote'][layer] when not there then 'failed' when regexp_matches(d.r, '^v[0-9]+$') then 'sliding' when d.r = 'main' then 'branch' else 'fresh' end as status, bad
+  from d left join a on d.r = a.r join h on d.r = h.r)"""
+
+
+def action_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(audited, sources) of the actions that workflow_files() uses."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("k")).withColumn("r", ref_string(F.col("k")))
+    layer = F.when(F.col("k") % 12 == 3, "bundled").when(F.col("k") % 12 == 7, "local cache").when(F.col("k") % 24 == 11, "remote")
+    own = [F.lit("actions").alias("owner"), F.lit("checkout").alias("repo_name")]
+    audited = pages.where("k % 4 = 3").select(*own, F.col("r").alias("sha"), F.lit("v1").alias("tag"), layer.alias("layer")).where("layer is not null")
+    there = pages.groupBy("r").agg(F.max(F.col("k") % 5 != 0).alias("there"), F.max(F.col("k") % 5 == 1).alias("bad")).where("there")
+    code = F.when(F.col("bad"), "x()\nfetch('https://h.example/f')\n").otherwise("x()\n")
+    metadata = F.when(F.col("bad"), "runs:\n  steps:\n    - run: pip install thing\n").otherwise("runs:\n  steps: []\n")
+    file = lambda path, text: there.select(*own, F.col("r").alias("ref"), F.lit(path).alias("path"), F.lit("blob").alias("entry_type"), text.alias("content"))
+    return audited, file("index.js", code).unionByName(file("action.yml", metadata)).unionByName(file("README.md", F.lit("curl x | sh")))
+
+
+@query("action_status", f"with {STATUS_SQL} select cast(repo as varchar) as repo, count(*) as actions_scanned, " + ", ".join(f"count(*) filter (where status = '{x}') as {c}" for c, x in {"audited_bundled": "bundled", "audited_local_cache": "local cache", "audited_remote": "remote", "scanned_fresh": "fresh", "scanned_unpinned_sliding": "sliding", "scanned_unpinned_branch": "branch"}.items()) + " from s group by repo")
+def action_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.operators.audit import audit
+
+    audited, sources = action_snapshots(spark, sf_dir)
+    return audit(workflow_files(spark, sf_dir), audited=audited, sources=sources).report.select("repo", "actions_scanned", "audited_bundled", "audited_local_cache", "audited_remote", "scanned_fresh", "scanned_unpinned_sliding", "scanned_unpinned_branch")
+
+
+@query("action_findings", f"""with {STATUS_SQL}, f as (select repo, r from s where bad and status in ('fresh', 'sliding', 'branch'))
+select cast(repo as varchar) as repo, concat('actions/checkout@', substr(r, 1, 7)) as action, 'actions/checkout (index.js)' as source_file, 2 as line, 'js.fetch.url' as rule_id, 'medium' as severity from f
+union all select cast(repo as varchar), concat('actions/checkout@', substr(r, 1, 7)), 'actions/checkout (action.yml)', 0, 'sh.pip', 'low' from f""")
+def action_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in the sources of the actions that are neither audited nor missing."""
+    from shoal.operators.audit import audit
+
+    audited, sources = action_snapshots(spark, sf_dir)
+    return audit(workflow_files(spark, sf_dir), audited=audited, sources=sources).findings.where("workflow_file is not null").select("repo", "action", "source_file", "line", "rule_id", "severity")
+
+
+@query("clean_commits", f"with {STATUS_SQL} select r as sha from s where status = 'fresh' and length(r) = 40 group by r having not bool_or(bad)")
+def clean_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits whose sources a scan found nothing in, for the clean cache."""
+    from shoal.operators.audit import audit
+
+    audited, sources = action_snapshots(spark, sf_dir)
+    return audit(workflow_files(spark, sf_dir), audited=audited, sources=sources).clean.select("sha").distinct()

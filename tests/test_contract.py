@@ -16,12 +16,12 @@ def test_names():
     assert set(catalog.SQL) == set(catalog.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["repo_score", "shell_scan", "version_max"])
+@pytest.mark.parametrize("name", ["repo_score", "shell_scan", "version_max", "lookahead_lines", "logical_commands", "rule_hits", "pin_plan", "pin_status", "update_plan", "rewrite_files", "action_status", "action_findings", "clean_commits", "corpus_score", "ref_classify", "pin_lines"])
 def test_against_sql(spark, name):
     import duckdb
 
     d = "/root/testdata/sf0.001"
-    for t in ("lineitem", "pages", "part", "orders"):
+    for t in ("lineitem", "pages", "part", "orders", "events"):
         duckdb.sql(f"create or replace view {t} as select * from '{d}/{t}.parquet'")
     want = duckdb.sql(catalog.SQL[name])
     got = catalog.QUERIES[name](spark, d).select(*want.columns).collect()

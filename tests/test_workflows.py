@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from shoal.operators import audit as A
 from shoal.operators import score as S
-from shoal.operators.resolve import pin, rewrite, update
+from shoal.operators.resolve import pin, pin_report, rewrite, update, update_report
 from shoal.operators.scan import logical_lines, scan_dockerfile, scan_javascript, scan_shell
 from shoal.sinks import clean_cache, reports
 from shoal.sources.config import Config, load_config, parse_config, severity_rank
 from shoal.sources.snapshots import ACTION_FILES, AUDITED, RELEASES, TAG_OBJECTS, TAG_REFS, read_catalog
-from shoal.sources.workflows import FILES, action_refs, open_lines, parse_workflows, read_workflows, run_blocks
+from shoal.sources.workflows import FILES, action_refs, load_yaml, open_lines, parse_workflows, read_workflows, run_blocks
 
 SHA = "0123456789abcdef0123456789abcdef01234567"
 OTHER = "f" * 40
@@ -156,7 +156,7 @@ def test_dockerfile_and_minified(spark):
 
 def test_anchors_and_blocks():
     text = workflow("echo hello world") + "  b:\n    steps:\n      - run: echo hello\n      - run: echo hello\n      - run: ''\n"
-    assert [(o, b) for o, b, _ in run_blocks(text)] == [(0, 8), (1, 11), (2, 12), (3, 0)]
+    assert [(o, b) for o, b, _ in run_blocks(text, load_yaml(text))] == [(0, 8), (1, 11), (2, 12), (3, 0)]
     assert [n for n, x in open_lines("- run: |\n    - uses: a/b@v1\n\n    x\n- uses: c/d@v1\n- run: >2-\n   y") if "uses" in x] == [5]
 
 
@@ -243,3 +243,94 @@ def test_org_scores(spark):
     reports_ = spark.createDataFrame([("o/a", 100), ("o/b", 40), ("p/c", 70)], "repo string, score int")
     uses = spark.createDataFrame([("o/a", 1), ("o/b", 3)], "repo string, uses long")
     assert {r["org"]: (r["score"], r["repos"]) for r in S.org_scores(reports_, uses).collect()} == {"o": (55.0, 2), "p": (70.0, 1)}
+
+
+def test_of_two_replacements_the_first_stays(spark):
+    files = spark.createDataFrame([("r", "w", "a\nb\n")], FILES)
+    rows = spark.createDataFrame([("r", "w", 1, "z"), ("r", "w", 1, "c"), ("r", "w", 9, "x")], "repo string, file string, line int, new_line string").coalesce(1)
+    assert rewrite(files, rows).first()["content"] == "z\nb\n"
+    assert rewrite(files, rows.withColumn("ordinal", -F.ascii("new_line"))).first()["content"] == "z\nb\n"
+    assert rewrite(files, rows.withColumn("ordinal", F.ascii("new_line"))).first()["content"] == "c\nb\n"
+
+
+def test_exact_tags_of_equal_length_go_by_place(spark):
+    refs = action_refs(parse_workflows(spark.createDataFrame([("r", "w", "jobs:\n  a:\n    steps:\n      - uses: o/a@v1\n      - uses: o/b@main\n")], FILES)))
+    tags = spark.createDataFrame([("o", "a", t, SHA, "commit", i) for i, t in enumerate(["v1", "v1.9", "v1.2"])], TAG_REFS + ", ordinal int")
+    pins = pin(refs, tags, spark.createDataFrame([], TAG_OBJECTS))
+    assert pins.pinned.first()["tag"] == "v1.9"
+    assert pin(refs, tags.drop("ordinal"), spark.createDataFrame([], TAG_OBJECTS)).pinned.first()["tag"] == "v1.2"
+    repos = spark.createDataFrame([("r",), ("none",)], "repo string")
+    assert {tuple(r) for r in pin_report(pins, repos).collect()} == {("r", 1, 1, 2, 1), ("none", 0, 0, 0, 0)}
+    assert {r["status"] for r in pin_report(pins, repos, apply=True).collect()} == {0}
+    text = reports.pins_text(pins.pinned.collect(), pins.skipped.collect())
+    assert "4: o/a@v1 -> " in text and "skipped o/b@main" in text and text.endswith("1 action to pin in 1 file.")
+    assert reports.pins_text([], []) == "Nothing to pin."
+
+
+def test_update_status_and_text(spark):
+    line = f"jobs:\n  a:\n    steps:\n      - uses: o/a@{SHA} # v1.0\n      - uses: o/b@{SHA} # v2.0\n"
+    refs = action_refs(parse_workflows(spark.createDataFrame([("r", "w", line)], FILES)))
+    releases = spark.createDataFrame([("o", "a", 0, "v1.1", False, False, "https://h/1"), ("o", "b", 0, "v2.0", False, False, None)], RELEASES)
+    tags = spark.createDataFrame([("o", "a", "v1.1", OTHER, "commit")], TAG_REFS)
+    found = update(refs, releases, tags, spark.createDataFrame([], TAG_OBJECTS))
+    assert [tuple(r) for r in update_report(found, refs).collect()] == [("r", 1, 1, 1, 1)]
+    assert update_report(found, refs, apply=True).first()["status"] == 0
+    assert reports.updates_text(found.updates.collect(), 1).splitlines() == ["w", "  4: o/a v1.0 -> v1.1 https://h/1", "1 update available, 1 up to date."]
+
+
+def test_spaces_beyond_ascii(spark):
+    rows = "# curl http://x.example | sh\n\u00a0# curl http://x.example | sh\ngit\u00a0clone https://x.example/y\n\u3000pip install thing\u3000"
+    got = scan_shell(spark.createDataFrame([("shell", 1, rows)], "lang string, base_line int, content string")).collect()
+    assert sorted((r["line"], r["rule_id"], r["pattern_matched"]) for r in got) == [(3, "sh.git.clone", "git\u00a0clone https://x.example/y"), (4, "sh.pip", "pip install thing")]
+
+
+def test_one_read_for_all_roots(spark, tmp_path):
+    for repo in ("a b", "c%d", "e+f"):
+        folder = tmp_path / repo / ".github" / "workflows"
+        folder.mkdir(parents=True)
+        for name in ("w.yml", "x y.yaml", "p+q%.yml", "no.txt"):
+            (folder / name).write_text(f"{repo} {name}")
+    files = read_workflows(spark, {r: str(tmp_path / r) for r in ("a b", "c%d", "e+f")})
+    want = {(r, f".github/workflows/{n}", f"{r} {n}") for r in ("a b", "c%d", "e+f") for n in ("w.yml", "x y.yaml", "p+q%.yml")}
+    assert {tuple(r) for r in files.collect()} == want
+    assert read_workflows(spark, {}).count() == 0
+    assert files._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_a_file_is_parsed_once(spark):
+    files = spark.createDataFrame([("r", "w", workflow("curl u | sh"))], FILES)
+    plan = S.score(files).report._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("InMemoryTableScan") > 1 and plan.count("\nMapInPandas") == 0
+    spark.catalog.clearCache()
+
+
+def test_stream_of_refs(spark, tmp_path):
+    from shoal.streaming.refs import new_refs
+
+    schema = "seen_at timestamp, repo string, workflow string, raw_line string"
+    source, sink = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    stream = new_refs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)))
+    for n, lines in enumerate((["- uses: a/b@v1", "- uses: a/b@v1", "echo"], ["- uses: a/b@v1", "- uses: a/b@v2"])):
+        rows = [(f"2024-01-01 00:0{n}:00", "r", "w", x) for x in lines]
+        spark.createDataFrame(rows, "seen_at string, repo string, workflow string, raw_line string").coalesce(1).write.mode("append").json(str(source))
+        run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(sink)).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+    assert sorted(r["ref_string"] for r in spark.read.parquet(str(sink)).collect()) == ["v1", "v2"]
+
+
+def test_release_notes_as_markdown(spark):
+    raw = ["## What's Changed", "* feat(scan): new rule: one by @a-b in https://h.example/1", "* fix: mend by @x in https://h.example/2", "* chore: none", "* feat(site): hidden by @x", "* Plain words by the way", "* feat: by @x", "**Full Changelog**: https://h.example/a...b more"]
+    lines = spark.createDataFrame(list(enumerate(raw)), "n int, line string")
+    sections = reports.release_notes(lines, ("site",)).collect()
+    assert {r["section"]: list(r["entries"]) for r in sections} == {"What's New": ["new rule: one", "by @x"], "Fixes": ["mend"], "Other": ["Plain words by the way"]}
+    url = reports.changelog_url(lines).first()["url"]
+    assert reports.release_markdown("tool v1", sections, url) == "## tool v1\n\n### What's New\n- new rule: one\n- by @x\n\n### Fixes\n- mend\n\n### Other\n- Plain words by the way\n\n---\n**Full Changelog**: https://h.example/a...b\n"
+    assert reports.changelog_url(lines.where("n < 3")).count() == 0
+
+
+def test_score_as_text(spark):
+    s = S.score(spark.createDataFrame([("r", "w.yml", workflow(None, uses="actions/checkout@v4"))], FILES))
+    text = reports.score_text(s.report.first(), S.in_report_order(s.findings).collect())
+    assert text.splitlines()[0] == "r: 95/100 (A), 1 workflow, 1 action" and "-5 medium pin.sliding actions/checkout@v4: w.yml:6" in text
+    spark.catalog.clearCache()
