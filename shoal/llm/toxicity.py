@@ -53,8 +53,8 @@ MAX_DOCS, DISCOUNT, TELLING = 10_000, 0.75, 1e-4
 #: Hashes that stand for the ends of a text and for the unknown word.
 WORD = np.uint64(0xFFFFFFFFFFFF0000)
 START, END, UNKNOWN = (np.uint64(x) for x in (0x9A3F5C17E2B80000, 0x5D17B0C94E6F0000, 0xC6E8213B7F900000))
-#: Entries that every task has (16 bytes each), rows that may be sent to all tasks (16 bytes each).
-MOST_LOCAL, MOST_ROWS = 20_000, 1_000_000
+#: Entries that every task has (12 bytes each), rows that may be sent to all tasks (16 bytes each).
+MOST_LOCAL, MOST_ROWS = 4_000_000, 1_000_000
 #: Tokens that are packed at once, entries of one slice of the table, bits of a hash within its slice.
 TOKENS, SLICE, KEY_BITS = 500_000, 200_000, 48
 #: Bits of the table that tells which words and bigrams are not in the distributed one.
@@ -356,7 +356,7 @@ def estimate(found: DataFrame, share: float, most_local: int = MOST_LOCAL) -> Mo
         maybe = np.zeros(1 << (BITS - 6), np.int64)
         maybe[bits["at"].astype(np.int64)] = bits["bits"]
         maybe = maybe.view(np.uint64)
-    return Model(key[order], got["value"].astype(float)[order], rest, maybe, total - held, unknown, (int(own[5]), total - int(own[5])), (1.0, 0.0))
+    return Model(key[order], got["value"].astype(np.float32)[order], rest, maybe, total - held, unknown, (int(own[5]), total - int(own[5])), (1.0, 0.0))
 
 
 def cut_key(key: np.ndarray, slices: int) -> np.ndarray:
