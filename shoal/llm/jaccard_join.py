@@ -11,8 +11,9 @@ its two levels says, counting only shingles that both prefixes of that level hol
 Candidates are not taken from all pairs of a posting list at once. First each list links its members
 to one pivot; what verification confirms is merged into components, so most near copies cost one
 verification each. Lists whose members are then still in different components join these to
-clusters. Within a cluster all sets are compared, block by block as matrix products, and only the
-edges of a tree leave a task: no link between different components is lost, and no pairs are listed.
+clusters. A cluster's members meet block by block: products of prefix columns, one for each level, say
+which pairs share as many prefix shingles as they must, only those are verified, and only the edges of
+a tree leave a task: no link between different components is lost, and no pairs are listed.
 
 Verification compares whole sets. Texts without words, empty ones and nulls have an empty set and
 stay alone; a text with fewer words than a shingle has one shingle of all its words.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.bytetext import NONSPACE, mix, ngrams, words
-from shoal.llm.shared import components, staged, tune
+from shoal.llm.shared import components, free_name, staged, tune
 
 #: Bits of the tables of repeated shingles (16 MB) and of their counts (1 MB), levels that a class may
 #: pick, cost of a verification in list entries.
@@ -207,7 +208,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of shingle columns, a few thousand at a time."""
+    """Sizes of all intersections, by products of shingle columns, a few thousand at a time; each product's
+    counts are exact."""
+    if not left or not right:
+        return np.zeros((len(left), len(right)), np.int64)
     token = np.concatenate([*left, *right])
     row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
     order = np.argsort(token, kind="stable")
@@ -215,26 +219,46 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     column = np.cumsum(np.append(False, token[1:] != token[:-1]))
     shared = np.bincount(column)[column] > 1
     column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)
     cut = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 1 + 4096, 4096))
     for k, (low, high) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         m = np.zeros((len(left) + len(right), 4096), np.float32)
         m[row[low:high], column[low:high] - 4096 * k] = 1
-        out += m[: len(left)] @ m[len(left) :].T
+        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
     return out
 
 
+def multi_matches(prefixes: list[np.ndarray], at: list[np.ndarray], level: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs share as many shingles of their prefixes of the lower of their levels as that level says."""
+    lower = np.minimum(level[left][:, None], level[right][None, :])
+    out = np.zeros(lower.shape, bool)
+    for k in np.unique(lower).tolist():
+        part = [p[a <= k] for p, a in zip(prefixes, at, strict=True)]
+        out |= (lower == k) & (overlaps([part[i] for i in left], [part[j] for j in right]) >= k)
+    return out
+
+
+def lowest_level(pos: np.ndarray, alone: int, base: int) -> np.ndarray:
+    """The lowest level whose prefix holds the shingle at each place of a listed prefix."""
+    return np.maximum(1, alone + pos - base + 2)
+
+
 def compare_blocks(percent: int):
     """Function for two blocks of a cluster: (x, y) edges that join what links between them, a tree at most."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         a, z = key[1].as_py(), key[2].as_py()
-        node, label, block = (t.column(c).to_numpy() for c in ("node", "label", "block"))
+        node, label, block, level, alone, base = (t.column(c).to_numpy() for c in ("node", "label", "block", "level", "alone", "base"))
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
+        prefixes = [p.values.to_numpy() for p in t.column("prefix")]
+        at = [lowest_level(np.arange(len(p)), alone[i], base[i]) for i, p in enumerate(prefixes)]
         size = np.array([len(s) for s in sets])
         left, right = np.flatnonzero(block == a), np.flatnonzero(block == z)
+        linked = (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(size[left][:, None], size[right]) >= percent * np.maximum(size[left][:, None], size[right]))
+        linked &= multi_matches(prefixes, at, level, left, right)
+        left, right, linked = left[linked.any(1)], right[linked.any(0)], linked[linked.any(1)][:, linked.any(0)]
         same = overlaps([sets[i] for i in left], [sets[j] for j in right])
-        linked = (100 * same >= percent * (size[left][:, None] + size[right][None, :] - same)) & (label[left][:, None] != label[right][None, :])
+        linked &= 100 * same >= percent * (size[left][:, None] + size[right][None, :] - same)
         root: dict[int, int] = {}
 
         def find(i: int) -> int:
@@ -255,7 +279,7 @@ def compare_blocks(percent: int):
     return run
 
 
-def across(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across(postings: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between nodes of different labels. Lists that hold several labels join these to clusters;
     a cluster's nodes are compared block by block, each pair of blocks in a task of its own."""
     known = postings.select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -264,9 +288,10 @@ def across(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     clusters = components(left.where("label <> a").select(F.col("label").alias("x"), F.col("a").alias("y")).distinct(), "clusters")
     nodes = left.select("node", "n", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
     blocks = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = nodes.join(blocks, "cluster").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    own = classes.select(F.col("cls").alias("node"), "prefix", "alone", "base", "level")
+    placed = nodes.join(blocks, "cluster").join(own, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = placed.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("z"), "node", "label", "block", "s")
+    pairs = placed.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("z"), "node", "label", "block", "s", "prefix", "alone", "base", "level")
     return pairs.groupBy("cluster", "a", "z").applyInArrow(compare_blocks(percent), "x long, y long")
 
 
@@ -296,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l"))
     sets = staged(sets_of(docs, postings.select("node").distinct(), width), "sets")
     links = staged(verified(stars.where("k >= l").select("x", "y"), sets, percent), "links")
-    more = staged(across(postings, components(links), sets, percent), "more-links")
+    more = staged(across(postings, classes, components(links), sets, percent), "more-links")
     labels = components(links.unionByName(more)).withColumnRenamed("node", "cls")
 
     placed = rows.select("id", "n", "cls").join(labels, "cls", "left").select("id", "n", F.coalesce("label", "cls").alias("label"))
@@ -315,12 +340,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     ids = docs.groupBy(id_col).count().agg(F.max("count").alias("most"), F.max(F.col(id_col).isNull()).alias("null")).first()
     numbered = docs
     if ids["null"] or (ids["most"] or 0) > 1:
-        numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        id_col = "_row"
+        row = free_name(docs.columns, "row")
+        numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        id_col = row
     found = near_duplicates(numbered, id_col, text_col, width, percent)
     gone = staged(found.where(F.col(id_col) != F.col("component_id")).select(id_col), "gone")
     few = gone.count() <= MOST_GONE
-    return numbered.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+    return numbered.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
