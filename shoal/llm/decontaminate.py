@@ -2,9 +2,10 @@
 
 Each shard, some megabytes of whole texts, gets an array of its suffixes in order of their first
 `window` words. Every suffix of the benchmark items is binary-searched in it: the range found holds
-all places where the item's next `window` words stand verbatim. Hits that continue along the same
-item are chained, which gives the longest verbatim match and its place. Shards are independent, so
-the texts are read once and nothing is shuffled.
+all places where the item's next `window` words stand verbatim. Equal suffixes are searched once, and
+a hit is a place and a distinct window, however many items share it. Hits that continue along the same
+item are followed in the longest runs of hits alone, which gives the longest verbatim match and its
+place. Shards are independent, so the texts are read once and nothing is shuffled.
 
 Only suffixes that could match are sorted: those whose next words all occur in the benchmark. Words
 are compared by their 64-bit hashes.
@@ -57,12 +58,30 @@ class Suffixes:
         self.at, self.item, self.length = at[ok], item[ok], np.minimum(left[ok], window)
         self.shortest = int(self.length.min()) if ok.any() else 0
         self.keys = {}
+        #: Distinct windows are numbered; window i stands at self.places[self.begin[i] : self.begin[i + 1]] of the items' words.
+        places, begin = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for m in np.unique(self.length).tolist():
             of = np.flatnonzero(self.length == m)
-            key = packed(rank + 1, self.at[of], m)
-            unique, group = np.unique(key, return_inverse=True)
+            unique, group = np.unique(packed(rank + 1, self.at[of], m), return_inverse=True)
+            self.keys[m] = unique, sum(map(len, begin)) - 1
             order = np.argsort(group, kind="stable")
-            self.keys[m] = unique, of[order], np.append(np.searchsorted(group[order], np.arange(len(unique))), len(order))
+            places.append(self.at[of][order])
+            begin.append(np.cumsum(np.bincount(group, minlength=len(unique))) + begin[-1][-1])
+        self.places, self.begin = np.concatenate(places), np.concatenate(begin)
+        self.item_at = item
+        #: Windows that the same items have share a set; a single item's set has the item's number.
+        self.items = [[x] if x is not None else [] for x in ids]
+        of = np.unique(np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin)) * max(1, len(n)) + item[self.places])
+        window_of, item_of = np.divmod(of, max(1, len(n)))
+        first_of = np.searchsorted(window_of, np.arange(len(self.begin)))
+        self.set_of = item_of[first_of[:-1]]
+        sets: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.diff(first_of) > 1).tolist():
+            mine = item_of[first_of[i] : first_of[i + 1]]
+            if (key := mine.tobytes()) not in sets:
+                sets[key] = len(self.items)
+                self.items.append([ids[x] for x in mine.tolist() if ids[x] is not None])
+            self.set_of[i] = sets[key]
 
 
 def packed(rank: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -75,7 +94,7 @@ def packed(rank: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 def search(h: np.ndarray, first: np.ndarray, s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, window, length) of every hit in a shard of words h; windows are numbered as in s.at."""
+    """(place, distinct window, length) of every hit in a shard of words h, by place."""
     none = np.zeros(0, np.int64)
     spot = np.flatnonzero(s.likely[(h >> np.uint64(44)).astype(np.int64)]) if s.shortest else none
     if not len(spot):
@@ -104,7 +123,7 @@ def search(h: np.ndarray, first: np.ndarray, s: Suffixes) -> tuple[np.ndarray, n
     order = np.argsort(key, kind="stable")
     array, suffixes = keep[order], key[order]
     places, windows, lengths = [none], [none], [none]
-    for m, (unique, of, begin) in s.keys.items():
+    for m, (unique, number) in s.keys.items():
         low = np.searchsorted(suffixes, unique.astype(suffixes.dtype), "left")
         top = np.full((len(unique), width), 0xFFFFFFFF, ">u4")
         top[:, :m] = unique.view(">u4").reshape(len(unique), m) if unique.dtype.itemsize == 4 * m else 0
@@ -113,13 +132,12 @@ def search(h: np.ndarray, first: np.ndarray, s: Suffixes) -> tuple[np.ndarray, n
         hit = np.flatnonzero(n)
         if not len(hit):
             continue
-        place = array[np.repeat(low[hit], n[hit]) + ranges(n[hit])]
-        group = np.repeat(hit, n[hit])
-        each = begin[group + 1] - begin[group]  # items that share a window
-        places.append(np.repeat(place, each))
-        windows.append(of[np.repeat(begin[group], each) + ranges(each)])
-        lengths.append(np.full(int(each.sum()), m))
-    return np.concatenate(places), np.concatenate(windows), np.concatenate(lengths)
+        places.append(array[np.repeat(low[hit], n[hit]) + ranges(n[hit])])
+        windows.append(np.repeat(hit, n[hit]) + number)
+        lengths.append(np.full(int(n[hit].sum()), m))
+    place, window, length = (np.concatenate(x) for x in (places, windows, lengths))
+    order = np.lexsort((length, place))
+    return place[order], window[order], length[order]
 
 
 def ranges(n: np.ndarray) -> np.ndarray:
@@ -127,17 +145,36 @@ def ranges(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def chains(place: np.ndarray, at: np.ndarray, item: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, item, words) of the maximal matches that hits along the same item make up."""
+def longest_match(place: np.ndarray, window: np.ndarray, length: np.ndarray, s: Suffixes) -> tuple[int, int, int] | None:
+    """(words, place, item) of the longest verbatim match among the hits of one text, the first of the
+    longest; runs of hits are followed from the one that could hold the longest on."""
     if not len(place):
-        return place, item, length
-    order = np.lexsort((place, at - place, item))
-    p, a, i, m = place[order], at[order], item[order], length[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (i[1:] != i[:-1]) | ((a - p)[1:] != (a - p)[:-1]) | (p[1:] != p[:-1] + 1)
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(p)) - 1
-    return p[begin], i[begin], p[end] - p[begin] + m[end]
+        return None
+    cut = np.append(np.flatnonzero(np.append(True, place[1:] > place[:-1] + 1)), len(place))
+    reach = np.maximum.reduceat(place + length, cut[:-1]) - place[cut[:-1]]
+    best = (0, 0, 0)  # words, minus the place, minus the place in the items' words
+    for r in np.lexsort((place[cut[:-1]], -reach)).tolist():
+        if reach[r] < best[0] or (reach[r] == best[0] and -place[cut[r]] < best[1]):
+            break
+        at, since, before = np.zeros(0, np.int64), np.zeros(0, np.int64), -2
+        low = cut[r]
+        while low < cut[r + 1]:
+            high = int(np.searchsorted(place[: cut[r + 1]], place[low], "right"))
+            here = np.concatenate([s.places[s.begin[w] : s.begin[w + 1]] for w in window[low:high].tolist()])
+            words = np.repeat(length[low:high], [s.begin[w + 1] - s.begin[w] for w in window[low:high].tolist()])
+            order = np.argsort(here, kind="stable")
+            here, words = here[order], words[order]
+            start = np.full(len(here), place[low])
+            if len(at) and before == place[low] - 1:
+                spot = np.minimum(np.searchsorted(at, here - 1), len(at) - 1)
+                go_on = (at[spot] == here - 1) & (s.item_at[here] == s.item_at[here - 1])
+                start[go_on] = since[spot[go_on]]
+            size = place[low] - start + words
+            top = np.lexsort((here, start, -size))[0]
+            best = max(best, (int(size[top]), -int(start[top]), -int(here[top] - (place[low] - start[top]))))
+            at, since, before = here, start, place[low]
+            low = high
+    return best[0], -best[1], int(s.item_at[-best[2]])
 
 
 OUTPUT = "n_words long, n_hit long, items array<string>, hit_spans binary, longest_words long, longest_at long, longest_item string"
@@ -205,15 +242,15 @@ def _pass(block, window: int, text_at: int, last: bool):
                 pairs = np.stack([begin - part.first[doc], end - part.first[doc]], 1).astype(np.int64)
                 cut = np.searchsorted(doc, np.arange(docs + 1))
                 spans += [pairs[cut[d] : cut[d + 1]].tobytes() for d in range(docs)]
-                p, i, m = chains(place, s.at[win], s.item[win], length)
-                of = np.searchsorted(part.first, p, "right") - 1
+                of = np.searchsorted(part.first, place, "right") - 1
                 got: dict[int, set] = {}
-                for d, x in set(zip(of.tolist(), i.tolist(), strict=True)):
-                    if s.ids[x] is not None:
-                        got.setdefault(d, set()).add(s.ids[x])
-                order = np.lexsort((p, -m, of))
-                top = order[np.unique(of[order], return_index=True)[1]] if len(order) else order
-                longest = {int(of[t]): (int(m[t]), int(p[t] - part.first[of[t]]), ids[i[t]]) for t in top}
+                for d, x in set(zip(of.tolist(), s.set_of[win].tolist(), strict=True)):
+                    got.setdefault(d, set()).update(s.items[x])
+                cut = np.searchsorted(of, np.arange(docs + 1))
+                longest = {}
+                for d in np.unique(of).tolist():
+                    m, p, i = longest_match(place[cut[d] : cut[d + 1]], win[cut[d] : cut[d + 1]], length[cut[d] : cut[d + 1]], s)
+                    longest[d] = (m, p - int(part.first[d]), ids[i])
                 for d in range(docs):
                     was = old["items"][part.low + d].as_py() if again else []
                     items.append(sorted(got.get(d, set()) | set(was)))
