@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_templates": line_templates.query,
     "op10_toxicity": toxicity.query,
 }
-SQL = {"op9_line_templates": line_templates.SQL, "op4_embedding_links": embedding_links.SQL, "op8_jaccard_join": jaccard_join.SQL, "op3_decontaminate": decontaminate.SQL, "op5_arc_to_warc": warc.SQL}
+SQL = {"op9_line_templates": line_templates.SQL, "op4_embedding_links": embedding_links.SQL, "op8_jaccard_join": jaccard_join.SQL, "op3_decontaminate": decontaminate.SQL, "op5_arc_to_warc": warc.SQL, "op7_suffix_repeats": repeats.SQL}

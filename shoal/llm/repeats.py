@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.bytetext import BASE, CHUNK, INVERSE, buffers, mix, powers, spans
-from shoal.llm.shared import staged, tune
+from shoal.llm.shared import marked, repeated_bits, staged, tune
 
 WINDOW, GRAM = 50, 16
-#: Bits of the bitmap; copies that may be sent to all tasks (12 bytes each); bytes a group may bring.
-MAP_BITS, COPIES, GROUP_BYTES = 27, 400_000, 8 << 20
+#: Copies that may be sent to all tasks (12 bytes each); bytes a group may bring.
+COPIES, GROUP_BYTES = 400_000, 8 << 20
 #: Windows that are compared at once.
 SLICE = 200_000
 LAST = (1 << 63) - 1
@@ -107,43 +107,14 @@ def batches_of(b: pa.RecordBatch, skip: np.ndarray | None) -> Iterator[tuple[np.
         yield text, np.cumsum(offsets[stay + 1] - offsets[stay]), stay
 
 
-def repeated_anchors(docs: DataFrame, skip, radix_bits: int, window: int, gram: int) -> np.ndarray:
+def repeated_anchors(docs: DataFrame, skip, window: int, gram: int) -> np.ndarray:
     """Pass 1: the bitmap of anchors that occur twice or more."""
-    piece_bits = MAP_BITS - radix_bits
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(have: list[np.ndarray]) -> pa.RecordBatch:
-            h = np.concatenate(have)
-            h.sort()
-            cut = np.searchsorted(h >> np.uint64(64 - radix_bits), np.arange((1 << radix_bits) + 1, dtype=np.uint64))
-            low = ((h << np.uint64(radix_bits)) >> np.uint64(32)).astype(np.uint32)
-            some = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["radix", "low"])
-
-        have, size = [], 0
-        for b in batches:
-            for text, ends, _ in batches_of(b, skip.value):
-                have.append(anchors(text, ends, window, gram)[0])
-                size += len(have[-1])
-                if size > 1_000_000:
-                    yield send(have)
-                    have, size = [], 0
-        if size:
-            yield send(have)
-
-    def settle(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("low")])
-        low.sort()
-        twice = low[1:][low[1:] == low[:-1]]
-        bits = np.zeros(1 << piece_bits, bool)
-        bits[twice >> np.uint32(32 - piece_bits)] = True
-        return pa.table({"radix": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    pieces = docs.mapInArrow(deal, "radix int, low binary").groupBy("radix").applyInArrow(settle, "radix int, bits binary")
-    out = np.zeros((1 << radix_bits, (1 << piece_bits) // 8), np.uint8)
-    for r in pieces.toLocalIterator():
-        out[r["radix"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+
+    def hashes(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for text, ends, _ in batches_of(b, skip.value):
+            yield anchors(text, ends, window, gram)[0]
+
+    return repeated_bits(docs, hashes)
 
 
 SENT = "radix int, n long, blob binary, id long, key long, spans binary"
@@ -158,8 +129,7 @@ def contexts(docs: DataFrame, skip, bitmap, radix_bits: int, window: int, gram:
             parts = []
             for text, ends, rows in batches_of(b, skip.value):
                 h, first, last, place, running = anchors(text, ends, window, gram)
-                spot = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                hit = np.flatnonzero(bitmap.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                hit = np.flatnonzero(marked(bitmap.value, h))
                 if not len(hit):
                     continue
                 h, first, last, place = h[hit], first[hit], last[hit], place[hit]
@@ -189,9 +159,9 @@ def contexts(docs: DataFrame, skip, bitmap, radix_bits: int, window: int, gram:
             digit = (h[go] >> np.uint64(64 - radix_bits)).astype(np.int64)
             go = go[np.lexsort((first[go], row[go], digit))]  # by document: its id and key then compress away
             digit.sort()
-            cut = np.searchsorted(digit, np.arange((1 << radix_bits) + 1))
-            for d in np.flatnonzero(np.diff(cut)).tolist():
-                g = go[cut[d] : cut[d + 1]]
+            cut = np.append(np.flatnonzero(np.append(len(digit) > 0, digit[1:] != digit[:-1])), len(digit))
+            for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                d, g = int(digit[low]), go[low:high]
                 at = np.repeat(where[g] - (np.cumsum(size[g]) - size[g]), size[g]) + np.arange(size[g].sum())
                 raw = b"".join((ids[row[g]].tobytes(), keys[row[g]].tobytes(), first[g].tobytes(), wins[g].astype(np.uint8).tobytes(), left[g].astype(np.uint8).tobytes(), data[at].tobytes()))
                 radix.append(d), ns.append(len(g)), out_id.append(None), out_key.append(len(raw)), out_spans.append(None)
@@ -347,8 +317,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = copies.agg(F.sum("n")).first()[0] or 0
     few = copied.count() <= COPIES
     skip = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in copied.select("key").collect()], np.int64)) if few else None)
-    bits = min(18, max(6, math.ceil(math.log2(max(1, total) / GROUP_BYTES))))
-    bitmap = spark.sparkContext.broadcast(repeated_anchors(rows, skip, bits + 2, window, gram))
+    bits = max(6, math.ceil(math.log2(max(1, total) / GROUP_BYTES)))
+    bitmap = spark.sparkContext.broadcast(repeated_anchors(rows, skip, window, gram))
     sent = contexts(rows, skip, bitmap, bits, window, gram)
     whole = copied.select("id", "key", F.lit(None).cast("binary").alias("spans"))
     found = compared(sent, window, gram).unionByName(whole)
@@ -410,3 +380,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: all documents, strings of 50 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_repeats(docs, keep=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL = """
+with b as (select doc_id, coalesce(hex(encode(text)), '') as h from documents),
+g as (select doc_id, p, hash(substr(h, 2 * p + 1, 100)) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from b)),
+m as (select s, min(doc_id) as least from g group by s having count(*) > 1),
+hit as (select g.doc_id, g.p from g join m using (s) where g.doc_id > m.least),
+i as (select *, sum(case when p <= before + 50 then 0 else 1 end) over (partition by doc_id order by p) as island from (select *, lag(p) over (partition by doc_id order by p) as before from hit)),
+r as (select doc_id, island, min(p) as a, max(p) + 50 as z from i group by all),
+t as (select doc_id, cast(sum(z - a) as bigint) as n_removed, count(*) as n_spans from r group by doc_id),
+k as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as a, a as z from r union all select b.doc_id, coalesce(max(r.z), 0), len(any_value(b.h)) // 2 from b left join r using (doc_id) group by b.doc_id),
+c as (select b.doc_id, string_agg(substr(b.h, cast(2 * k.a + 1 as bigint), cast(2 * (k.z - k.a) as bigint)), '' order by k.a) as h from b join k using (doc_id) group by b.doc_id)
+select b.doc_id, cast(len(b.h) // 2 as bigint) as n_bytes, coalesce(t.n_removed, 0) as n_removed, coalesce(t.n_spans, 0) as n_spans, sha256(unhex(c.h)) as kept_sha256
+from b join c using (doc_id) left join t using (doc_id)
+"""
