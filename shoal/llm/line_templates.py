@@ -66,7 +66,9 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = general.join(recurring, "gen", "left_semi").select("tpl").unionByName(
         tpl_docs.select("tpl").join(general, "tpl", "left_anti").join(recurring.withColumnRenamed("gen", "tpl"), "tpl", "left_semi")
     ).distinct().withColumn("gone", F.lit(True))
-    marks = found.join(gone, "tpl", "left").select("key", "no", F.coalesce("gone", F.lit(False)).alias("gone"), F.col("tpl").isNotNull().alias("full")).distinct()
+    # Blank lines have no template to be joined by.
+    marks = full.join(gone, "tpl", "left").select("key", "no", F.coalesce("gone", F.lit(False)).alias("gone"), F.lit(True).alias("full"))
+    marks = marks.unionByName(found.where("tpl is null").select("key", "no", F.lit(False).alias("gone"), F.lit(False).alias("full"))).distinct()
     per_key = marks.groupBy("key").agg(F.count_if("full").alias("n_lines"), F.count_if("gone").alias("n_dropped"), F.collect_list(F.struct("no", "gone")).alias("marks"))
     marked = per_key.select("key", "n_lines", "n_dropped", F.when(F.col("n_dropped") > 0, F.transform(F.array_sort("marks"), lambda m: m["gone"])).alias("mask"))
     out = rows.join(marked, "key", "left")
