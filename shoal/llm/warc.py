@@ -6,12 +6,15 @@ length of the document that follows. Documents are taken by that length, never b
 
 WARC: each document becomes a record with a synthesised identifier (a UUID from file name and
 offset, so a repeated conversion gives the same one), a W3C timestamp from the 14-digit ARC date,
-type, and SHA-1 digests of payload and block. Of documents with equal payloads of at least
-`least_bytes` bytes, the one with the largest id stays a response; others become revisits, which
-keep the HTTP header but not the payload.
+type, and SHA-1 digests of payload and block; the ARC's address and media type are kept. A document
+without an HTTP header becomes a resource of its media type. Of documents with equal payloads of at
+least `least_bytes` bytes, the one with the largest id stays a response; others become revisits, which
+keep the HTTP header but not the payload and name the response's identifier, URL and date.
 
 Files are written and read by Spark only (text sink with the record's end mark as line separator,
 gzip; binaryFile source), so any store that Spark knows will do. Payloads are bytes throughout.
+The sink makes one gzip member of a file, not one of each record, and the source takes files of less
+than 2 GB, compressed; writers make a file of each partition.
 """
 
 from __future__ import annotations
@@ -222,34 +225,39 @@ def warc_info(origin: str) -> bytes:
     return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name_uuid('info ' + origin)}>\r\nWARC-Date: {warc_date(DATE)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info
 
 
+def is_date(arc_date: str) -> bool:
+    return arc_date.isascii() and arc_date.isdigit() and 4 <= len(arc_date) <= 14
+
+
 def warc_date(arc_date: str) -> str:
     """14 digits to a W3C timestamp; shorter dates are filled up, others give the epoch."""
-    d = arc_date if arc_date.isdigit() and 4 <= len(arc_date) <= 14 else "19700101000000"
+    d = arc_date if is_date(arc_date) else "19700101000000"
     d += "00000101000000"[len(d) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
 def revisits(keys: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """(origin, refers_to) of the records that repeat another's payload, from keys' id, payload_sha1,
-    payload_bytes and origin.
+    """(origin, refers_to, first) of the records that repeat another's payload, from keys' id, url, arc_date,
+    payload_sha1, payload_bytes and origin; first: origin, URL and date of what they refer to.
 
-    Records that share the largest id are all responses; one without an id never wins over one that
-    has an id, and where none has an id all are responses.
+    Records that share the largest id are all responses, and the one of the least origin is referred to;
+    one without an id never wins over one that has an id, and where none has an id all are responses.
     """
     large = keys.where(F.col("payload_bytes") >= least_bytes)
-    groups = large.groupBy("payload_sha1", "payload_bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    first = F.min_by(F.struct("origin", "url", "arc_date"), F.when(F.col("id").isNotNull(), F.struct(-F.col("id"), "origin")))
+    groups = large.groupBy("payload_sha1", "payload_bytes").agg(F.max("id").alias("refers_to"), first.alias("first"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     joined = large.join(groups.drop("n"), ["payload_sha1", "payload_bytes"])
-    return joined.where("id is null or id <> refers_to").select("origin", "refers_to")
+    return joined.where("id is null or id <> refers_to").select("origin", "refers_to", "first")
 
 
 def with_revisits(records: DataFrame, found: DataFrame) -> DataFrame:
     """records with refers_to. Few revisits are broadcast, so that no payload is shuffled; many are joined."""
     few = found.count() <= MOST_BROADCAST
-    return records.join(F.broadcast(found) if few else found, "origin", "left").select(*records.columns, "refers_to")
+    return records.join(F.broadcast(found) if few else found, "origin", "left").select(*records.columns, "refers_to", "first")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records (RECORDS and refers_to) as WARC files, one per partition, each with a warcinfo."""
+    """Writes records (RECORDS, refers_to and first) as WARC files, one per partition, each with a warcinfo."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started = False
@@ -259,17 +267,29 @@ def write_warc(records: DataFrame, path: str) -> None:
             for r in b.to_pylist():
                 refers = r["refers_to"]
                 block = r["http"].encode() + (r["payload"] if refers is None else b"")
-                more = {} if refers is None else {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Row": str(refers), "X-Payload-Length": str(r["payload_bytes"])}
+                more = {}
+                if refers is not None:
+                    first = r["first"]
+                    more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:uuid:{name_uuid(first['origin'])}>", "WARC-Refers-To-Target-URI": first["url"], "WARC-Refers-To-Date": warc_date(first["arc_date"]), "X-Refers-To-Row": str(refers), "X-Payload-Length": str(r["payload_bytes"])}
+                if r["ip"] not in ("-", "0.0.0.0"):
+                    more["WARC-IP-Address"] = r["ip"]
+                if "/" in r["mime"]:
+                    more["WARC-Identified-Payload-Type"] = r["mime"]
+                    if not r["http"]:
+                        more["Content-Type"] = r["mime"]
+                if not is_date(r["arc_date"]):
+                    more["X-Archive-Date"] = r["arc_date"]
                 if r["id"] is not None:
                     more[ID_HEADER.decode()] = str(r["id"])
-                out.append(warc_head("response" if refers is None else "revisit", name_uuid(r["origin"]), warc_date(r["arc_date"]), r["url"], block, r["payload_sha1"], more) + block)
+                kind = "revisit" if refers is not None else "response" if r["http"] else "resource"
+                out.append(warc_head(kind, name_uuid(r["origin"]), warc_date(r["arc_date"]), r["url"], block, r["payload_sha1"], more) + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     records.mapInArrow(lines, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").mode("append").text(path)
 
 
 def warc_records(data: memoryview, origin: str) -> Iterator[tuple]:
-    """The response and revisit records of one WARC file."""
+    """The response, resource and revisit records of one WARC file."""
     source = Source(data)
     while (head := source.line(b"\r\n\r\n")) is not None:
         if not head.strip():
@@ -281,14 +301,14 @@ def warc_records(data: memoryview, origin: str) -> Iterator[tuple]:
         block = source.take(int(f[b"content-length"]))
         source.take(4)
         kind = f.get(b"warc-type")
-        if kind not in ("response", "revisit"):
+        if kind not in ("response", "resource", "revisit"):
             continue
-        _, payload, known = http_parts(block)
+        payload = block if kind == "resource" else http_parts(block)[1]
         digest = base64.b32decode(f[b"warc-payload-digest"].removeprefix("sha1:")).hex()
-        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+        if kind != "revisit" and hashlib.sha1(payload).hexdigest() != digest:
             raise ValueError(f"{origin}: the payload of {f[b'warc-record-id']} does not fit its digest")
-        size = len(payload) if kind == "response" else whole(f.get(b"x-payload-length"))
-        yield (whole(f.get(b"x-row-id")), f.get(b"warc-target-uri"), f[b"warc-record-id"].strip("<>").removeprefix("urn:uuid:"), f.get(b"warc-date"), kind, whole(f.get(b"x-refers-to-row")), digest, size, len(block), payload if kind == "response" else None)
+        size = len(payload) if kind != "revisit" else whole(f.get(b"x-payload-length"))
+        yield (whole(f.get(b"x-row-id")), f.get(b"warc-target-uri"), f[b"warc-record-id"].strip("<>").removeprefix("urn:uuid:"), f.get(b"warc-date"), kind, whole(f.get(b"x-refers-to-row")), digest, size, len(block), payload if kind != "revisit" else None)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
