@@ -98,7 +98,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 1, cell_rows: in
     """
     spark = df.sparkSession
     tune(spark)
-    df = df.select(*[c for c in df.columns if c not in ("shard", "slot")])
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")])
     own = [f"_c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*own).withColumn("_id", F.monotonically_increasing_id())
     rows = staged(rows.select(*own, F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at")), "shards")
