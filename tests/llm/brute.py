@@ -62,6 +62,23 @@ def overlaps(docs, items, window):
     return sorted(out, key=repr)
 
 
+def longest(text, items, window):
+    """(words, first word) of the longest run that an item has too, the first of these; None below a window."""
+    w, best = words(text, ALNUM), None
+    for _, t in items:
+        b = words(t, ALNUM)
+        before = [0] * (len(b) + 1)
+        for i, x in enumerate(w):
+            now = [0] * (len(b) + 1)
+            for j, y in enumerate(b):
+                if x == y:
+                    now[j + 1] = n = before[j] + 1
+                    if n >= min(window, len(b)) and (best is None or (n, n - i) > (best[0], -best[1] + 1)):
+                        best = (n, i + 1 - n)
+            before = now
+    return best
+
+
 def repeats(docs, window):
     """(id, n_bytes, n_removed, n_spans, sha256): null ids come last and cover nothing."""
     starts = {}

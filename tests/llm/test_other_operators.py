@@ -2,7 +2,9 @@ import gzip
 import hashlib
 import random
 import re
+import struct
 from collections import Counter
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -91,34 +93,95 @@ def test_large_hypergeometric():
 # Mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1, "c": 1}, {"a": 97, "b": 2, "c": 1}])
-def test_schedule(weights):
-    share = mixing.shares(weights, 100)
-    table = mixing.schedule(share, 100)
-    assert sum(share.values()) == 100 and sorted(x for t in table.values() for x in t) == list(range(100))
-    for s, t in table.items():
-        for slot in range(101):
-            assert abs(sum(x < slot for x in t) - share[s] * slot / 100) < 1
-        assert all(k * 100 // share[s] <= x < -(-(k + 1) * 100 // share[s]) for k, x in enumerate(t))
+THIRDS = {"a": Fraction(1, 3), "b": Fraction(1, 7), "c": Fraction(11, 21)}
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1, "c": 1}, {"a": 97, "b": 2, "c": 1}, {"a": 1.0}, {"a": 1e-3, "b": 0.3, "c": 2**-9, "d": 0, "e": 7.77}, {str(i): 1.5**-i for i in range(20)}])
+@pytest.mark.parametrize("frame", [5, 64])
+def test_blocks_stay_in_their_windows(weights, frame):
+    shares = mixing.exact(weights)
+    assert sum(shares.values()) == 1 and "d" not in shares
+    w = list(shares.values())
+    frame, found = mixing.frame_length(w, frame), [[] for _ in w]
+    for m in range(max(3, 400 // frame)):
+        had, slots = mixing.frame_slots(w, m, frame)
+        assert had == [len(f) for f in found]
+        for f, x in zip(found, slots, strict=True):
+            f += x
+    assert sorted(x for f in found for x in f) == list(range(max(3, 400 // frame) * frame))
+    for f, share in zip(found, w, strict=True):
+        assert all(k // share <= x < -(-(k + 1) // share) for k, x in enumerate(f))
+
+
+def test_a_million_slots_of_thirds(spark):
+    shares = mixing.exact(THIRDS)
+    rows = mixing.schedule(spark, shares, 10**6).orderBy("slot").toPandas()
+    assert (rows["slot"] == np.arange(len(rows))).all() and len(rows) >= 10**6
+    for s, w in shares.items():
+        had, at = np.cumsum(rows["s"] == s), np.arange(1, len(rows) + 1)
+        assert (abs(had.to_numpy() * w.denominator - at * w.numerator) < w.denominator).all()
+
+
+def plain_mix(rows, shares, block_rows, seed=1):
+    """(id, source, slot, block, epoch) by position of rows (id, source), given the slots of each block."""
+    import xxhash
+
+    def key(i):
+        h = xxhash.xxh64(struct.pack("<i", seed), seed=42).intdigest()
+        h = h if i is None else xxhash.xxh64(struct.pack("<q", i), seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    of = {}
+    for i, s in sorted(rows, key=lambda r: key(r[0])):
+        of.setdefault(s or "", []).append((i, s))
+    w = list(shares.values())
+    frame, m, found = mixing.frame_length(w, mixing.FRAME), 0, [[] for _ in w]
+    while any(len(f) * block_rows < len(of[s]) for f, s in zip(found, shares, strict=True)):
+        for f, x in zip(found, mixing.frame_slots(w, m, frame)[1], strict=True):
+            f += x
+        m += 1
+    slots = 1 + max(f[-(-len(of[s]) // block_rows) - 1] for f, s in zip(found, shares, strict=True))
+    out = []
+    for s, f in zip(shares, found, strict=True):
+        for k, slot in enumerate(f):
+            for j in range(block_rows if slot < slots else 0):
+                n = k * block_rows + j
+                out.append((slot * block_rows + j, *of[s][n % len(of[s])], slot, k, n // len(of[s])))
+    return sorted(out)
 
 
 def test_mix(spark):
-    rows = [(i, "a" if i % 3 else "b", 1) for i in range(500)] + [(1000 + i, None, 2) for i in range(5)] + [(7, "a", 1), (None, "", 3)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, mix_slot int").repartition(4)
-    got = mixing.mix_sources(df, block_rows=4, period=200).collect()
-    at = sorted(r["mix_position"] for r in got)
-    assert at == list(range(len(got)))
-    first = Counter((r["doc_id"], r["source"]) for r in got if r["mix_epoch"] == 0)
-    assert first == Counter((i, s) for i, s, _ in rows)
-    counts = Counter(s or "" for _, s, _ in rows)
-    share = mixing.shares(mixing.tempered(counts, 0.7), 200)
-    by_slot = sorted({(r["mix_slot"], r["source"] or "") for r in got})
-    for s in counts:
-        for k in range(len(by_slot)):
-            assert abs(sum(x == s for _, x in by_slot[:k]) - share[s] * k / 200) < 1
+    rows = [(i, "a" if i % 3 else "b") for i in range(500)] + [(1000 + i, None) for i in range(5)] + [(None, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, mix_slot int").repartition(4)
+    got = sorted(map(tuple, mixing.mix_sources(df, block_rows=4).select("mix_position", "doc_id", "source", "mix_slot", "mix_block", "mix_epoch").collect()))
+    shares = mixing.exact(mixing.tempered(dict(sorted(Counter(s or "" for _, s in rows).items())), 0.7))
+    assert got == plain_mix(rows, shares, 4)
+    assert Counter(r[1:3] for r in got if r[5] == 0) == Counter(rows)
     assert mixing.mix_sources(df.limit(0)).count() == 0
-    with pytest.raises(KeyError):
-        mixing.mix_sources(df, {"a": 1.0})
+    kept = mixing.mix_sources(df, prefix="x_")
+    assert kept.columns == ["doc_id", "source", "mix_slot", "x_position", "x_slot", "x_block", "x_epoch"] and {r["mix_slot"] for r in kept.collect()} == {1}
+
+
+def test_mix_of_odd_weights(spark):
+    rows = [(i, "abc"[i % 3], {"k": i}, "z" * (1 << (i % 18))) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, source string, m map<string,int>, t string")
+    got = mixing.mix_sources(df, {"a": 0, "b": Fraction(1, 3), "c": 2**-9, "unused": 5}, block_rows=2).collect()
+    assert {r["source"] for r in got} == {"b", "c"} and {r["mix_epoch"] for r in got if r["source"] == "c"} == {0}
+    assert sorted(r["mix_position"] for r in got) == list(range(len(got)))
+    assert len(mixing.mix_sources(df.where("source <> 'a'"), {"b": 1, "c": 1}, block_rows=2).collect()) == 40
+    one = spark.createDataFrame([(0, "a"), *((i, "b") for i in range(1, 3001))], "doc_id long, source string")
+    got = mixing.mix_sources(one, {"a": 3, "b": 1}, block_rows=1).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("mix_epoch").alias("e")).collect()
+    assert {r["source"]: (r["n"] // 3000, r["e"] // 3000) for r in got} in ({"a": (3, 3), "b": (1, 0)}, {"a": (2, 2), "b": (1, 0)})
+    for bad in ({"a": 1.0}, {"a": 1, "b": -1, "c": 1}, {"a": float("nan"), "b": 1, "c": 1}, {"a": 0, "b": 0, "c": 0}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(df, bad)
+
+
+def test_mix_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()]
+    got = sorted(map(tuple, mixing.query(spark, sf).select("mix_position", "doc_id", "source", "mix_slot", "mix_block", "mix_epoch").collect()))
+    assert got == plain_mix(rows, mixing.exact(mixing.tempered(dict(sorted(Counter(s or "" for _, s in rows).items())), 0.7)), mixing.BLOCK_ROWS)
 
 
 # WARC
@@ -168,6 +231,36 @@ def test_arc_by_hand(tmp_path, spark):
     assert list(warc.arc_records(memoryview(b""), "x")) == []
 
 
+def test_warc_headers(spark, tmp_path):
+    doc = b"HTTP/1.0 200 OK\r\nX-Row-Id: %d\r\n\r\n" + b"x" * 2000
+    told = b"1 0 maker\nURL IP-address Archive-date Content-type Archive-length\n"
+    lines = [b"filedesc://x 0.0.0.0 20000101000000 text/plain %d\n%s" % (len(told), told)]
+    for i, date in ((1, b"19990203"), (2, b"never")):
+        lines.append(b"http://h/%d 1.2.3.4 %s text/html %d\n%s" % (i, date, len(doc % i), doc % i))
+    lines.append(b"dns:h - 19990203040506 text/dns 3\nabc\n")
+    a, w = new_path(spark, "arc"), new_path(spark, "warc")
+    (tmp_path / "a.arc").write_bytes(b"\n".join(lines))
+    warc.convert(spark, f"file://{tmp_path}/a.arc", w)
+    raw = b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(w).collect())
+    text = gzip.decompress(raw).decode()
+    records = {re.search("(?m)^WARC-Target-URI: (.*)\r$", r)[1]: dict(re.findall("(?m)^([\\w-]+): (.*)\r$", r)) for r in text.split("WARC/1.1\r\n")[2:]}
+    assert records["http://h/1"]["WARC-Type"] == "revisit" and records["http://h/1"]["WARC-Refers-To"] == records["http://h/2"]["WARC-Record-ID"]
+    assert records["http://h/1"]["WARC-Refers-To-Target-URI"] == "http://h/2" and records["http://h/1"]["WARC-Refers-To-Date"] == records["http://h/2"]["WARC-Date"]
+    assert {records[f"http://h/{i}"]["WARC-IP-Address"] for i in (1, 2)} == {"1.2.3.4"} and records["http://h/1"]["WARC-Identified-Payload-Type"] == "text/html"
+    assert records["http://h/2"]["X-Archive-Date"] == "never" and "X-Archive-Date" not in records["http://h/1"]
+    assert records["dns:h"]["WARC-Type"] == "resource" and records["dns:h"]["Content-Type"] == "text/dns" and "WARC-IP-Address" not in records["dns:h"]
+    got = {r["url"]: r for r in warc.read_warc(spark, w).collect()}
+    assert bytes(got["dns:h"]["payload"]) == b"abc" and got["http://h/1"]["refers_to"] == 2 and got["http://h/1"]["payload_bytes"] == 2000
+
+
+def test_warc_of_long_payloads(spark):
+    df = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000), (3, None, "z")], "page_id long, url string, html string")
+    a, w = new_path(spark, "arc"), new_path(spark, "warc")
+    warc.write_arc(df, a)
+    warc.convert(spark, a, w)
+    assert {(r["id"], r["payload_bytes"], r["refers_to"]) for r in warc.read_warc(spark, w, payload=False).collect()} == {(1, 6_000_000, 2), (2, 6_000_000, None), (3, 1, None)}
+
+
 def test_warc_of_nothing(spark):
     w, a = new_path(spark, "warc"), new_path(spark, "arc")
     warc.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), a)

@@ -98,6 +98,19 @@ def test_overlaps_with_items(spark, block):
         run = brute.words(r[0], brute.ALNUM)[r[2] : r[2] + r[1]]
         texts = [" ".join(brute.words(t, brute.ALNUM)) for i, t in items if t and (str(i) if i is not None else None) == r[3]]
         assert any(" ".join(run) in t for t in texts)
+    found = {r["_c1"]: (r["longest_words"], r["longest_at"]) for r in out.collect() if r["longest_words"] is not None}
+    assert found == {t: m for _, t in docs if (m := brute.longest(t, items, 10))}
+
+
+def test_items_that_share_a_window(spark):
+    preamble = "answer the next question with one of the given letters"
+    bench = spark.createDataFrame([(str(i), f"{preamble} q{i} r{i}") for i in range(2000)], "item_id string, text string")
+    docs = [(1, f"{preamble} . " * 1000), (2, f"x {preamble} q7 r7 {preamble}"), (3, "none of it")]
+    placed = decontaminate.search(*[(p.hash, p.first) for p in decontaminate.words(pa.array([t for _, t in docs]), decontaminate.ALNUM)][0], decontaminate.Suffixes([f"{preamble} q{i} r{i}" for i in range(2000)], [str(i) for i in range(2000)], 10))
+    assert len(placed[0]) == 1000 + 4  # places and distinct windows, not items
+    out = {r["_c0"]: r for r in decontaminate.find_overlaps(frame(spark, docs), bench).collect()}
+    assert [len(out[i]["items"]) for i in (1, 2, 3)] == [2000, 2000, 0]
+    assert (out[2]["longest_words"], out[2]["longest_at"], out[2]["longest_item"]) == (12, 1, "7")
 
 
 def test_remove_contaminated(spark):
