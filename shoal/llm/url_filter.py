@@ -2,7 +2,8 @@
 
 The regression reads the n-grams (3 to 5 characters) of `^host|path$`, hashed to 2**16 weights, each
 text scaled to unit length. It is fitted on the driver from a small labelled table of URLs, of which
-at most `max_train` rows are used (the smallest by hash); the weights are 256 KB at any input size.
+at most `max_train` rows are used (the smallest by hash); the weights are 512 KB at any input size.
+Give your own table where you have one; the query, for which none is there, takes default_table().
 
 Nulls, urls without `://` and empty ones have an empty host and path: no rule fits, the regression
 judges the empty text. Rows are judged one by one, so ties, repeats and empty tables need no rule.
@@ -40,10 +41,11 @@ RULES = (
     Rule("com", "/fr/", "allow"),
     Rule("com", "/de/", "block"),
 )
-#: Words of the built-in labelled table, by class.
-BAD = "spam bets free-x casino poker pills viagra cheap loans replica porn adult xxx betting jackpot lottery warez crack torrent malware phish clickbait scam fake farm pharma escort hack keygen payday bonus slots nude dating diet miracle".split()
-GOOD = "news science library school garden museum weather history travel music recipe health sport forum docs wiki blog research city books review photo health data code art project guide journal press".split()
-SYLLABLES = "th er an on re st ti nd ou in ha le mo ka ri sa ve to ch el".split()
+#: Words of the default labelled table: what unwanted sites are about, and what others are about.
+BAD = "casino poker roulette slots jackpot lottery betting wager bets viagra pills pharma steroids diet porn xxx adult nude escort dating loans payday cash debt cheap replica fake bonus free prize winner giveaway forex warez crack keygen torrent hack cheats spam scam phishing malware popunder clickbait followers".split()
+GOOD = "news journal weather library archive museum school university science physics biology garden flowers recipes kitchen music concert theatre cinema travel railway airport hotel maps history church hospital clinic council parliament bank insurance forum blog wiki docs manual software hardware bicycle football tennis chess photo paint poetry novel bookshop bakery farmers mountain river harbour market studio workshop".split()
+TLDS = ("com", "net", "org", "info", "co.uk", "eu", "io")
+PATHS = ("", "/", "/index.html", "/about", "/2019/05/14/post", "/p/{n}", "/category/{n}/page-2.html", "/en/article/{n}", "/static/{n}.pdf")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -81,7 +83,7 @@ def scores(arr: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], labels: list[int], l2: float = 1e-3, steps: int = 300, rate: float = 0.5) -> np.ndarray:
+def train(texts: list[str], labels: list[int], l2: float = 0.1, steps: int = 100, rate: float = 0.5) -> np.ndarray:
     """Full-batch Adam; the same rows give the same weights."""
     y = np.array(labels, float)
     w = np.zeros((1 << BITS) + 1)
@@ -91,7 +93,7 @@ def train(texts: list[str], labels: list[int], l2: float = 1e-3, steps: int = 30
     rows, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
     n = np.bincount(rows, minlength=len(y))
     scale = 1 / np.sqrt(np.maximum(n, 1))
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes count alike
+    weight = np.full(len(y), 1 / len(y))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-(np.bincount(rows, w[ids], minlength=len(y)) * scale + w[-1])))
@@ -102,20 +104,33 @@ def train(texts: list[str], labels: list[int], l2: float = 1e-3, steps: int = 30
     return w
 
 
-def built_in_table() -> list[tuple[str, int]]:
-    """Labelled urls by rule: each word alone and with a partner, over hosts and paths; 1 is bad."""
-    tlds, paths = ("com", "net", "org", "info", "example.com"), ("/", "/en/12", "/index.html", "/fr/480", "/de/7/", "")
+def name(n: int) -> str:
+    """The n-th of a row of made-up names of two to four syllables."""
+    x, out = n * 2654435761 + 12345, ""
+    for _ in range(2 + n % 3):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out += "bcdfghjklmnprstvwz"[(x >> 33) % 18] + "aeiouy"[(x >> 45) % 6] + ("", "n", "r", "s")[(x >> 55) % 4]
+    return out
+
+
+def default_table() -> list[tuple[str, int]]:
+    """Labelled urls by rule, 1 for unwanted; a stand-in where no labelled table is given.
+
+    Unwanted: hosts of one or two words of theirs, or a made-up host with such a word in the path.
+    Others: hosts of ordinary words, of made-up names, or of both, behind the usual prefixes.
+    """
     rows = []
+    pick = lambda of, n: of[n * 7 % len(of)]
     for label, own in ((1, BAD), (0, GOOD)):
         for i, word in enumerate(own):
-            other, tld, path = own[(i * 7 + 3) % len(own)], tlds[i % len(tlds)], paths[i % len(paths)]
-            plain = GOOD[(i * 5 + 1) % len(GOOD)]
-            rows += [(f"http://{word}-{other}.{tld}{path}", label), (f"https://www.{word}{other}.{tld}{path}", label)]
-            rows += [(f"https://{word}.{tlds[(i + 2) % len(tlds)]}{paths[(i + 3) % len(paths)]}", label), (f"http://{plain}.{tld}/{word}/{other}-{i}", label)]
-            rows += [(f"https://m.{plain}{i}.{tlds[(i + 1) % len(tlds)]}{paths[(i + 2) % len(paths)]}", 0)]
-    for i in range(300):  # names without meaning are ordinary
-        host = "".join(SYLLABLES[(i * k + k) % len(SYLLABLES)] for k in (1, 3, 7)[: 2 + i % 2])
-        rows.append((f"http{'s' * (i % 2)}://{('', 'www.', 'blog.', 'm.')[i % 4]}{host}.{tlds[i % len(tlds)]}/{('en', 'fr', 'de', 'es')[i % 4]}/{i * 7 % 1000}", 0))
+            for k in range(6):
+                n = i * 6 + k
+                other, tld, path = own[(i * 5 + k * 11 + 3) % len(own)], pick(TLDS, n), pick(PATHS, n + k).format(n=n * 37 % 1000)
+                host = (f"{word}-{other}", f"{word}{other}", f"{name(n)}{word}", f"{word}{n % 100}", f"{word}.{name(n)}", f"{name(n)}-{word}")[k]
+                rows.append((f"http{'s' * (n % 2)}://{('', 'www.', 'm.')[n % 3]}{host}.{tld}{path}", label))
+            rows.append((f"https://{name(i)}.{pick(TLDS, i)}/{word}/{own[(i + 9) % len(own)]}-{i}.html", label))
+    for i in range(900):  # names say nothing, whatever their paths
+        rows.append((f"http{'s' * (i % 2)}://{('', 'www.', 'blog.', 'm.', 'shop.')[i % 5]}{name(1000 + i)}.{pick(TLDS, i)}{pick(PATHS, i).format(n=i * 37 % 1000)}", 0))
     return rows
 
 
@@ -159,7 +174,9 @@ def filter_urls(df: DataFrame, weights: np.ndarray, rules: tuple[Rule, ...] = RU
     return seen.mapInArrow(judge, schema)
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1: every page's url by the rules above, the rest by the regression fitted on the built-in table."""
-    labelled = spark.createDataFrame(built_in_table(), "url string, label int")
+def query(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """op1: every page's url by the rules above, the rest by the regression fitted on labelled (url, label) or
+    the default table."""
+    if labelled is None:
+        labelled = spark.createDataFrame(default_table(), "url string, label int")
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), fit(labelled))
