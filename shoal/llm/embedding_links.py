@@ -11,7 +11,7 @@ and merged groups leave a task. A pair that meets in several buckets counts in t
 Large buckets are cut into blocks of at most BLOCK vectors; each pair of blocks is a task of its
 own, so a bucket of any size is compared in full without being gathered in one place.
 
-Equal vectors are one class and are entered once. Vectors that are null, zero, or hold nulls, NaN or
+Equal vectors are one class, known by a 64-bit hash of label and components, and are entered once. Vectors that are null, zero, or hold nulls, NaN or
 infinities link with nothing, as do those without a label; only vectors of equal label and length
 are compared. Rows that repeat a vec_id are rows of their own; null ids link but are never the smallest.
 """

@@ -39,7 +39,7 @@ from shoal.llm.shared import components, free_name, staged, tune
 AGAIN_BITS, COUNT_BITS, LEVELS, VERIFY_COST = 27, 20, 4, 30.0
 #: Sets and shingles of one block.
 BLOCK, BLOCK_SHINGLES = 256, 500_000
-#: Ids that may be sent to all tasks (8 bytes each).
+#: Ids or groups that may be sent to all tasks (8 or 16 bytes each).
 MOST_GONE = 500_000
 
 
@@ -325,10 +325,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links.unionByName(more)).withColumnRenamed("node", "cls")
 
     placed = rows.select("id", "n", "cls").join(labels, "cls", "left").select("id", "n", F.coalesce("label", "cls").alias("label"))
-    least = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
-    out = placed.where("label is not null").join(least, "label").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    alone = placed.where("label is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return out.unionByName(alone)
+    # Few groups are sent to all texts, so that those of a large one don't meet in one task.
+    groups = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    groups = staged(groups, "groups")
+    out = placed.join(F.broadcast(groups) if groups.count() <= MOST_GONE else groups, "label", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:

@@ -13,6 +13,7 @@ seventeen windows in a row share one, so anchors stand for their windows when su
    settled. The rest mark a bitmap of fixed size, which may hold strangers but misses none.
 2. Marked anchors send their context, the bytes of all windows they stand for. Of equal contexts a
    task sends the one with the smallest id; the others are covered already.
+   The windows of very frequent anchors are dealt out one by one, by their next digit too.
 3. For each anchor, equal contexts are grouped, and the windows of differing ones are refined by
    digits of eight bytes to the full depth. The smallest id of a group stays.
 4. The covered spans go back to their documents.
@@ -37,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.bytetext import BASE, CHUNK, INVERSE, buffers, mix, powers, spans
-from shoal.llm.shared import marked, repeated_bits, staged, tune
+from shoal.llm.shared import Repeated, marked, repeated, staged, tune
 
 WINDOW, GRAM = 50, 16
 #: Copies that may be sent to all tasks (12 bytes each); bytes a group may bring.
 COPIES, GROUP_BYTES = 400_000, 8 << 20
+#: How often an anchor is sent by tasks in pass 1, two a million anchors at most, to count as very frequent.
+OFTEN = 4096
 #: Windows that are compared at once.
 SLICE = 200_000
 LAST = (1 << 63) - 1
@@ -107,20 +110,20 @@ def batches_of(b: pa.RecordBatch, skip: np.ndarray | None) -> Iterator[tuple[np.
         yield text, np.cumsum(offsets[stay + 1] - offsets[stay]), stay
 
 
-def repeated_anchors(docs: DataFrame, skip, window: int, gram: int) -> np.ndarray:
-    """Pass 1: the bitmap of anchors that occur twice or more."""
+def repeated_anchors(docs: DataFrame, skip, window: int, gram: int) -> Repeated:
+    """Pass 1: the bitmap of anchors that occur twice or more, and the very frequent ones."""
 
     def hashes(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text, ends, _ in batches_of(b, skip.value):
             yield anchors(text, ends, window, gram)[0]
 
-    return repeated_bits(docs, hashes)
+    return repeated(docs, hashes, often=OFTEN)
 
 
 SENT = "radix int, n long, blob binary, id long, key long, spans binary"
 
 
-def contexts(docs: DataFrame, skip, bitmap, radix_bits: int, window: int, gram: int) -> DataFrame:
+def contexts(docs: DataFrame, skip, known, radix_bits: int, window: int, gram: int) -> DataFrame:
     """Pass 2: rows with n hold contexts to compare, rows without spans covered already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +132,20 @@ def contexts(docs: DataFrame, skip, bitmap, radix_bits: int, window: int, gram:
             parts = []
             for text, ends, rows in batches_of(b, skip.value):
                 h, first, last, place, running = anchors(text, ends, window, gram)
-                hit = np.flatnonzero(marked(bitmap.value, h))
+                known_anchors = Repeated(*known.value)
+                hit = np.flatnonzero(marked(known_anchors.bitmap, h))
                 if not len(hit):
                     continue
                 h, first, last, place = h[hit], first[hit], last[hit], place[hit]
+                if (many := known_anchors.many(h)).any():
+                    # Windows of one anchor can be equal only at the same distance from it and with the same next
+                    # digit, so those of very frequent anchors are dealt out by these, each as its own context.
+                    n = np.where(many, last - first + 1, 1)
+                    at = np.repeat(np.arange(len(h)), n)
+                    h, many, place, step = h[at], many[at], place[at], ranges(n)
+                    first, last = first[at] + step, np.where(many, first[at] + step, last[at])
+                    digit = mix((running[first + 8] - running[first]) * powers(INVERSE, len(text) + 1)[first] + (place - first).astype(np.uint64))
+                    h = np.where(many, mix(h + digit), h)
                 c = (running[last + window] - running[first]) * powers(INVERSE, len(text) + 1)[first]
                 c = mix(c ^ (last - first).astype(np.uint64) << np.uint64(40) ^ (place - first).astype(np.uint64) << np.uint64(52))
                 doc = np.searchsorted(ends, first, "right")
@@ -312,14 +325,15 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"))
     rows = rows.select("id", "text", F.xxhash64("id", "text").alias("key"))
     copies = staged(rows.select("id", "key", F.octet_length("text").alias("n"), F.md5("text").alias("digest")), "digests")
-    groups = copies.groupBy("digest", "n").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    copied = staged(copies.join(groups, ["digest", "n"]).where(f"id > least and n >= {window}").select("id", "key", "n").distinct(), "copies")
+    groups = copies.where(f"n >= {window}").groupBy("digest", "n").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    groups = staged(groups, "copy-groups")
+    copied = staged(copies.join(F.broadcast(groups) if groups.count() <= COPIES else groups, ["digest", "n"]).where(f"id > least and n >= {window}").select("id", "key", "n").distinct(), "copies")
     total = copies.agg(F.sum("n")).first()[0] or 0
     few = copied.count() <= COPIES
     skip = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in copied.select("key").collect()], np.int64)) if few else None)
     bits = max(6, math.ceil(math.log2(max(1, total) / GROUP_BYTES)))
-    bitmap = spark.sparkContext.broadcast(repeated_anchors(rows, skip, window, gram))
-    sent = contexts(rows, skip, bitmap, bits, window, gram)
+    known = spark.sparkContext.broadcast(tuple(repeated_anchors(rows, skip, window, gram)))
+    sent = contexts(rows, skip, known, bits, window, gram)
     whole = copied.select("id", "key", F.lit(None).cast("binary").alias("spans"))
     found = compared(sent, window, gram).unionByName(whole)
     cover = staged(found.groupBy("id", "key").agg(F.collect_list("spans").alias("lists"), F.max(F.col("spans").isNull()).alias("whole")), "cover")

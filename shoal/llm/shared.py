@@ -8,6 +8,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -99,9 +100,26 @@ def of_planes(raw, kind: type, n: int, at: int = 0, in_order: bool = False) -> n
 AGAIN_BITS, DEALT = 27, 1_000_000
 
 
+class Repeated(NamedTuple):
+    bitmap: np.ndarray  # over the top bits of the hashes that occur twice or more; misses none, may hold strangers
+    often: np.ndarray  # sorted first bits of the hashes that were sent `often` times or more
+    first_bits: int
+
+    def many(self, h: np.ndarray) -> np.ndarray:
+        """Which of the hashes are among those that occur often."""
+        if not len(self.often):
+            return np.zeros(len(h), bool)
+        x = h >> np.uint64(64 - self.first_bits)
+        return self.often[np.minimum(np.searchsorted(self.often, x), len(self.often) - 1)] == x
+
+
 def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = AGAIN_BITS) -> np.ndarray:
-    """A bitmap of fixed size over the top bits of the 64-bit hashes that occur twice or more. It misses
-    none and may hold strangers, the more the fuller it is.
+    return repeated(df, hashes, bits).bitmap
+
+
+def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = AGAIN_BITS, often: int = 1 << 62) -> Repeated:
+    """Which of the 64-bit hashes occur twice or more, as a bitmap of fixed size that holds the more strangers
+    the fuller it is, and which are sent `often` times or more: at most a list of one for each so many sent.
 
     Hashes are dealt out by their top bits, 32 bits each, packed in order; of those that a task has seen
     several times at once two are sent; the driver gets the parts of the bitmap. There are as many groups
@@ -137,12 +155,16 @@ def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
         low.sort()
         found = np.zeros(1 << piece_bits, bool)
         found[low[1:][low[1:] == low[:-1]] >> np.uint32(32 - piece_bits)] = True
-        return pa.table({"radix": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())})
+        begin = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        many = low[begin[np.diff(np.append(begin, len(low))) >= often]]
+        return pa.table({"radix": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary()), "many": pa.array([many.tobytes()], pa.binary())})
 
     out = np.zeros((1 << radix_bits, (1 << piece_bits) // 8), np.uint8)
-    for r in df.mapInArrow(deal, "radix int, n long, low binary").groupBy("radix").applyInArrow(settle, "radix int, bits binary").toLocalIterator():
+    many = [np.zeros(0, np.uint64)]
+    for r in df.mapInArrow(deal, "radix int, n long, low binary").groupBy("radix").applyInArrow(settle, "radix int, bits binary, many binary").toLocalIterator():
         out[r["radix"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+        many.append(np.frombuffer(r["many"], np.uint32).astype(np.uint64) | np.uint64(r["radix"] << 32))
+    return Repeated(out.ravel(), np.sort(np.concatenate(many)), radix_bits + 32)
 
 
 def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -177,7 +199,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MOST_IN_ONE_TASK = 1_000_000
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components: few edges are merged by one task, many by alternating large and small stars.
 
     edges has two long columns, x and y; self loops and repeated edges are fine. Returns (node,
@@ -190,7 +212,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 40
     if pairs.count() <= MOST_IN_ONE_TASK:
         return staged(pairs.coalesce(1).mapInArrow(_merge, "node long, label long"), name)
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -201,7 +223,5 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 40
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

@@ -121,8 +121,9 @@ def test_remove_contaminated(spark):
     assert sorted(map(repr, clean)) == sorted(repr(r[0]) for r in left.select("doc_id").collect()) and left.columns[1] == "text"
 
 
-@pytest.mark.parametrize(("seed", "copies"), [(0, 100), (1, -1), (2, 100)])
-def test_repeats(spark, monkeypatch, seed, copies):
+@pytest.mark.parametrize(("seed", "copies", "often"), [(0, 100, 4096), (1, -1, 2), (2, 100, 3)])
+def test_repeats(spark, monkeypatch, seed, copies, often):
+    monkeypatch.setattr(repeats, "OFTEN", often)
     monkeypatch.setattr(repeats, "COPIES", copies)
     monkeypatch.setattr(repeats, "SLICE", 50)
     docs = corpus(seed)
