@@ -398,7 +398,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with b as (select doc_id, coalesce(hex(encode(text)), '') as h from documents),
-g as (select doc_id, p, hash(substr(h, 2 * p + 1, 100)) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from b)),
+q as (select doc_id, o, substr(h, 2 * o + 1, 498) as h from (select doc_id, h, unnest(range(0, len(h) // 2 - 49, 200)) as o from b)),
+g as (select doc_id, o + p as p, hash(substr(h, 2 * p + 1, 100)) as s from (select doc_id, o, h, unnest(range(0, len(h) // 2 - 49)) as p from q)),
 m as (select s, min(doc_id) as least from g group by s having count(*) > 1),
 hit as (select g.doc_id, g.p from g join m using (s) where g.doc_id > m.least),
 i as (select *, sum(case when p <= before + 50 then 0 else 1 end) over (partition by doc_id order by p) as island from (select *, lag(p) over (partition by doc_id order by p) as before from hit)),
