@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: All characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
-    """Without white space of any kind at both ends (the built-in trim takes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends (the built-in default takes spaces only)."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def split_lines(content: Column) -> Column:
@@ -19,4 +23,4 @@ def split_lines(content: Column) -> Column:
 
 def is_comment(line: Column) -> Column:
     """A shell line that only holds a comment."""
-    return line.rlike(r"(?U)^\s*#")
+    return F.ltrim(line, F.lit(WHITE)).startswith("#")

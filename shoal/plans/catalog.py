@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoal.functions.refs import classify_ref, parse_uses, pinned_line
+from shoal.functions.refs import pinned_line, uses_rows
 from shoal.functions.text import is_comment, split_lines
 from shoal.functions.urls import disposition, first_url, has_version, is_data_format, is_trusted_host, url_extension, url_host
 from shoal.functions.versions import is_newer, is_release_tag, version_key
@@ -63,28 +63,28 @@ USES_SQL = f"""select l_suppkey as repo, l_orderkey % 40 as workflow, l_linenumb
 
 @query("ref_classify", f"with u as ({USES_SQL}) select owner, repo_name, subpath, r as ref_string, {TYPE_SQL} as ref_type, tag_comment, count(*) as n from u group by all")
 def ref_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = uses_lines(spark, sf_dir).select(parse_uses(F.col("raw_line")).alias("u")).where("u is not null").select("u.*")
+    rows = uses_rows(uses_lines(spark, sf_dir))
     return rows.groupBy("owner", "repo_name", "subpath", "ref_string", "ref_type", "tag_comment").agg(F.count("*").alias("n"))
 
 
 @query("pin_lines", f"with u as ({USES_SQL}) select concat('      - uses: ', owner, '/', repo_name, coalesce('/' || subpath, ''), '@', sha1(r), ' # ', r) as new_line, count(*) as n from u group by all")
 def pin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = uses_lines(spark, sf_dir)
-    ref = parse_uses(F.col("raw_line"))["ref_string"]
+    rows = uses_rows(uses_lines(spark, sf_dir))
+    ref = F.col("ref_string")
     return rows.select(pinned_line(F.col("raw_line"), F.sha1(ref.cast("binary")), ref).alias("new_line")).groupBy("new_line").agg(F.count("*").alias("n"))
 
 
 @query("ref_dedupe", f"""with u as ({USES_SQL}) select repo, concat_ws('/', owner, repo_name, subpath) || '@' || r as action_ref, string_agg(concat(workflow, ':', line), ',' order by workflow, line) as occurrences, count(*) as n from u group by all""")
 def ref_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = uses_lines(spark, sf_dir).withColumn("u", parse_uses(F.col("raw_line")))
-    ref = F.concat(F.concat_ws("/", "u.owner", "u.repo_name", "u.subpath"), F.lit("@"), F.col("u.ref_string")).alias("action_ref")
+    rows = uses_rows(uses_lines(spark, sf_dir))
+    ref = F.concat(F.concat_ws("/", "owner", "repo_name", "subpath"), F.lit("@"), F.col("ref_string")).alias("action_ref")
     out = rows.select("repo", ref, F.struct("workflow", "line").alias("o")).groupBy("repo", "action_ref").agg(F.array_sort(F.collect_list("o")).alias("o"))
     return out.select("repo", "action_ref", F.array_join(F.transform("o", lambda x: F.concat(x["workflow"].cast("string"), F.lit(":"), x["line"].cast("string"))), ",").alias("occurrences"), F.size("o").cast("long").alias("n"))
 
 
 def pin_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pin and source findings of derived repositories: a hundred per part, so that scores spread."""
-    rows = uses_lines(spark, sf_dir).withColumn("repo", F.col("repo") * 40 + F.col("workflow")).withColumn("u", parse_uses(F.col("raw_line"))).select("repo", "u.*")
+    rows = uses_rows(uses_lines(spark, sf_dir).select((F.col("repo") * 40 + F.col("workflow")).alias("repo"), "raw_line"))
     ids = F.array(F.when(F.col("ref_type") == "branch", "pin.branch").when(F.col("ref_type") == "sliding", "pin.sliding").when(F.col("ref_type") == "tag", "pin.full_tag"), F.when(F.col("owner") != "actions", "source.unverified"))
     ref = F.concat(F.concat_ws("/", "owner", "repo_name", "subpath"), F.lit("@"), F.col("ref_string")).alias("action_ref")
     return with_metadata(rows.select("repo", ref, F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("id")).distinct())
@@ -279,8 +279,8 @@ PARTS_SQL = "select case when p_partkey % 5 = 0 then 'actions' else concat('org'
 
 def refs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References as workflows give them, a repository for each supplier."""
-    rows = uses_lines(spark, sf_dir).withColumn("u", parse_uses(F.col("raw_line"))).where("u is not null")
-    return rows.select(F.col("repo").cast("string").alias("repo"), F.col("workflow").cast("string").alias("workflow"), F.col("line").alias("line_number"), "u.*", "raw_line")
+    rows = uses_lines(spark, sf_dir)
+    return uses_rows(rows.select(F.col("repo").cast("string").alias("repo"), F.col("workflow").cast("string").alias("workflow"), F.col("line").alias("line_number"), "raw_line"))
 
 
 # Tags of every action by its parts' keys: all of one major version are one commit, tags with a 7 were deleted,
