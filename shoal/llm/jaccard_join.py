@@ -10,10 +10,13 @@ its two levels says, counting only shingles that both prefixes of that level hol
 
 Candidates are not taken from all pairs of a posting list at once. First each list links its members
 to one pivot; what verification confirms is merged into components, so most near copies cost one
-verification each. Lists whose members are then still in different components join these to
-clusters. A cluster's members meet block by block: products of prefix columns, one for each level, say
-which pairs share as many prefix shingles as they must, only those are verified, and only the edges of
-a tree leave a task: no link between different components is lost, and no pairs are listed.
+verification each. Of the lists whose members are then still in different components, the short ones,
+of SHORT members at most, list their pairs. The members of the long ones are joined to clusters, whose
+members meet block by block where their sizes allow a link: only their shingles of long lists travel
+there, and products of their columns, one for each level, say which pairs share as many as they must. A
+pair that shares shingles of both kinds is counted by the short lists, with what the long ones may add.
+Few pairs of two blocks are verified one by one; where they are many, the blocks' sets meet whole, and only
+the edges of a tree leave the task: no link between different components is lost.
 
 Verification compares whole sets. Texts without words, empty ones and nulls have an empty set and
 stay alone; a text with fewer words than a shingle has one shingle of all its words.
@@ -32,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.bytetext import NONSPACE, mix, ngrams, words
-from shoal.llm.shared import components, free_name, staged, tune
+from shoal.llm.shared import components, free_name, free_shuffles, marked, of_planes, planes, repeated_bits, staged, tune
 
 #: Bits of the tables of repeated shingles (16 MB) and of their counts (1 MB), levels that a class may
 #: pick, cost of a verification in list entries.
 AGAIN_BITS, COUNT_BITS, LEVELS, VERIFY_COST = 27, 20, 4, 30.0
-#: Sets and shingles of one block.
-BLOCK, BLOCK_SHINGLES = 256, 500_000
+#: Members of a list whose pairs are listed; sets and shingles of one block.
+SHORT, BLOCK, BLOCK_SHINGLES = 16, 256, 500_000
 #: Ids or groups that may be sent to all tasks (8 or 16 bytes each).
 MOST_GONE = 500_000
 
@@ -71,7 +74,7 @@ class Rarity(NamedTuple):
 
 def rarity(texts: DataFrame, width: int) -> Rarity:
     """Which shingles of all texts occur again, and how often. Hashes are dealt out by their top bits,
-    four bytes each, and counted there; the driver gets tables of fixed size."""
+    the next 24 of them packed in order, and counted there; the driver gets tables of fixed size."""
     bits = min(18, max(8, math.ceil(math.log2(max(1, texts.rdd.getNumPartitions()))) + 4))
     map_bits, count_bits = AGAIN_BITS - bits, max(0, COUNT_BITS - bits)
 
@@ -80,9 +83,10 @@ def rarity(texts: DataFrame, width: int) -> Rarity:
             h = np.concatenate(have)
             h.sort()
             cut = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            low = ((h << np.uint64(bits)) >> np.uint64(40)).astype(np.uint32)
             some = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["radix", "low"])
+            blobs = [pa.compress(planes(low[cut[i] : cut[i + 1]], in_order=True), codec="zstd", asbytes=True) for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(cut)[some]), pa.array(blobs, pa.binary())], names=["radix", "n", "low"])
 
         have, size = [], 0
         for b in batches:
@@ -96,17 +100,17 @@ def rarity(texts: DataFrame, width: int) -> Rarity:
             yield send(have)
 
     def settle(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("low")])
+        low = np.concatenate([of_planes(pa.decompress(x.as_buffer(), 4 * n, codec="zstd"), np.uint32, n, in_order=True) for x, n in zip(t.column("low"), t.column("n").to_pylist(), strict=True)])
         low.sort()
         begin = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         n = np.diff(np.append(begin, len(low)))
         value, n = low[begin[n > 1]], n[n > 1]
         again = np.zeros(1 << map_bits, bool)
-        again[value >> np.uint32(32 - map_bits)] = True
-        total = np.bincount((value.astype(np.uint64) >> np.uint64(32 - count_bits)).astype(np.int64), n, 1 << count_bits)
+        again[value >> np.uint32(24 - map_bits)] = True
+        total = np.bincount((value >> np.uint32(24 - count_bits)).astype(np.int64), n, 1 << count_bits)
         return pa.table({"radix": pa.array([key[0].as_py()], pa.int32()), "again": pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary()), "weight": pa.array([np.round(np.log2(total + 1) * 4).astype(np.uint8).tobytes()], pa.binary())})
 
-    found = texts.mapInArrow(deal, "radix int, low binary").groupBy("radix").applyInArrow(settle, "radix int, again binary, weight binary")
+    found = texts.mapInArrow(deal, "radix int, n long, low binary").groupBy("radix").applyInArrow(settle, "radix int, again binary, weight binary")
     out = Rarity(np.zeros((1 << bits, (1 << map_bits) // 8), np.uint8), np.zeros((1 << bits, 1 << count_bits), np.uint8))
     for r in found.toLocalIterator():
         out.again[r["radix"]], out.weight[r["radix"]] = np.frombuffer(r["again"], np.uint8), np.frombuffer(r["weight"], np.uint8)
@@ -151,7 +155,31 @@ def class_rows(docs: DataFrame, known: Rarity, width: int, percent: int, carry:
             yield pa.RecordBatch.from_arrays([b.column(carry), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[carry, "n", "cls", "prefix", "alone", "base", "level"])
 
     kind = dict(docs.dtypes)[carry]
-    return docs.select(carry, "text").mapInArrow(run, f"`{carry}` {kind}, n long, cls long, prefix array<long>, alone int, base int, level int")
+    out = staged(docs.select(carry, "text").mapInArrow(run, f"`{carry}` {kind}, n long, cls long, prefix array<long>, alone int, base int, level int"), "classes")
+    shared.destroy()  # else the driver keeps a copy
+    return out
+
+
+def list_entries(classes: DataFrame) -> DataFrame:
+    """(token, node, n, alone, level, at) of the prefixes' shingles that stand in several of them, and of a few
+    strangers that a bitmap lets through; at: the lowest level whose prefix holds the shingle."""
+    bitmap = repeated_bits(classes.select("prefix"), lambda b: [b.column(0).flatten().to_numpy().view(np.uint64)])
+    shared = classes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token = b.column("prefix").flatten().to_numpy()
+            size = np.diff(b.column("prefix").offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            alone, base = (b.column(c).to_numpy() for c in ("alone", "base"))
+            at = lowest_level(np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), alone[row], base[row])
+            keep = np.flatnonzero(marked(shared.value, token.view(np.uint64)))
+            own = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), *(b.column(c).take(own) for c in ("cls", "n", "alone", "level")), pa.array(at[keep].astype(np.int32))], names=["token", "node", "n", "alone", "level", "at"])
+
+    out = staged(classes.mapInArrow(run, "token long, node long, n long, alone int, level int, at int"), "entries")
+    shared.destroy()
+    return out
 
 
 def needed_bits(nodes: DataFrame, bits: int = 23) -> np.ndarray:
@@ -184,7 +212,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], names=["node", "s"])
 
     found = docs.select("text").mapInArrow(run, "node long, s binary")
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
+    out = staged(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")), "sets")
+    bitmap.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,19 +273,42 @@ def lowest_level(pos: np.ndarray, alone: int, base: int) -> np.ndarray:
     return np.maximum(1, alone + pos - base + 2)
 
 
+def may_link(t: pa.Table, a: int, z: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the nodes of two blocks: rows of the first, rows of the second, and which of them may link."""
+    label, block, level, size = (t.column(c).to_numpy() for c in ("label", "block", "level", "n"))
+    prefixes, at = ([p.values.to_numpy() for p in t.column(c)] for c in ("tokens", "ats"))
+    left, right = np.flatnonzero(block == a), np.flatnonzero(block == z)
+    linked = (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(size[left][:, None], size[right]) >= percent * np.maximum(size[left][:, None], size[right]))
+    if linked.any():
+        linked &= multi_matches(prefixes, at, level, left, right)
+    return left, right, linked
+
+
+def pair_blocks(percent: int):
+    """Function for two blocks of a cluster: the pairs (x, y) that may link, or a row without them where sending
+    their sets one by one would take more than sending those of the blocks."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        cluster, a, z = (k.as_py() for k in key)
+        node = t.column("node").to_numpy()
+        left, right, linked = may_link(t, a, z, percent)
+        i, j = np.nonzero(np.triu(linked) if a == z else linked)
+        if 2 * len(i) > len(node):
+            x, y = pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())
+        else:
+            x, y = pa.array(node[left[i]]), pa.array(node[right[j]])
+        return pa.table({"x": x, "y": y, **{k: pa.array(np.full(len(x), v)) for k, v in (("cluster", cluster), ("a", a), ("z", z))}})
+
+    return run
+
+
 def compare_blocks(percent: int):
     """Function for two blocks of a cluster: (x, y) edges that join what links between them, a tree at most."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        a, z = key[1].as_py(), key[2].as_py()
-        node, label, block, level, alone, base = (t.column(c).to_numpy() for c in ("node", "label", "block", "level", "alone", "base"))
+        node, label, size = (t.column(c).to_numpy() for c in ("node", "label", "n"))
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
-        prefixes = [p.values.to_numpy() for p in t.column("prefix")]
-        at = [lowest_level(np.arange(len(p)), alone[i], base[i]) for i, p in enumerate(prefixes)]
-        size = np.array([len(s) for s in sets])
-        left, right = np.flatnonzero(block == a), np.flatnonzero(block == z)
-        linked = (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(size[left][:, None], size[right]) >= percent * np.maximum(size[left][:, None], size[right]))
-        linked &= multi_matches(prefixes, at, level, left, right)
+        left, right, linked = may_link(t, key[1].as_py(), key[2].as_py(), percent)
         left, right, linked = left[linked.any(1)], right[linked.any(0)], linked[linked.any(1)][:, linked.any(0)]
         same = overlaps([sets[i] for i in left], [sets[j] for j in right])
         linked &= 100 * same >= percent * (size[left][:, None] + size[right][None, :] - same)
@@ -279,20 +332,60 @@ def compare_blocks(percent: int):
     return run
 
 
-def across(postings: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of different labels. Lists that hold several labels join these to clusters;
-    a cluster's nodes are compared block by block, each pair of blocks in a task of its own."""
-    known = postings.select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lists = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token", "a")
-    left = staged(known.join(lists, "token").select("node", "n", "label", "a").distinct(), "open")
+def short_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different labels that share a shingle of a short list and may share as many as they must."""
+    far = open_lists.where(F.col("c") > SHORT).groupBy("node").agg(F.count("*").alias("far"))
+    near = open_lists.where(F.col("c") <= SHORT).join(far, "node", "left").select("token", "node", "n", "level", "at", "label", F.coalesce("far", F.lit(0)).alias("far"))
+    other = near.select("token", *[F.col(c).alias(f"{c}2") for c in near.columns if c != "token"])
+    both = near.join(other, "token").where("node < node2 and label <> label2").where("least(n, n2) * 100L >= greatest(n, n2) * %d" % percent).where("greatest(at, at2) <= least(level, level2)")
+    pairs = both.groupBy(F.col("node").alias("x"), F.col("node2").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l"), F.first(F.least("far", "far2")).alias("far"))
+    return pairs.where("k + far >= l").select("x", "y")
+
+
+def long_blocks(open_lists: DataFrame, percent: int) -> DataFrame:
+    """The members of long lists, once for each pair of blocks of their cluster whose sizes allow a link. A
+    block holds nodes of one band of sizes; what links stands in one band or in two that follow each other."""
+    left = open_lists.where(F.col("c") > SHORT)
     clusters = components(left.where("label <> a").select(F.col("label").alias("x"), F.col("a").alias("y")).distinct(), "clusters")
-    nodes = left.select("node", "n", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = classes.select(F.col("cls").alias("node"), "prefix", "alone", "base", "level")
-    placed = nodes.join(blocks, "cluster").join(own, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = placed.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("z"), "node", "label", "block", "s", "prefix", "alone", "base", "level")
-    return pairs.groupBy("cluster", "a", "z").applyInArrow(compare_blocks(percent), "x long, y long")
+    members = left.groupBy("node", "n", "level", "label").agg(F.collect_list(F.struct("token", "at")).alias("p"))
+    band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9))
+    nodes = members.join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label").withColumn("band", band)
+    count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    blocks = staged(nodes.groupBy("cluster", "band").agg(count.alias("blocks")), "blocks")
+    # Blocks have the band in the upper bits of their number.
+    first = lambda b: F.shiftleft(b.cast("long"), 24)
+    others = blocks.select("cluster", F.col("band").alias("other_band"), F.explode(F.sequence(first(F.col("band")), first(F.col("band")) + F.col("blocks") - 1)).alias("other"))
+    placed = nodes.join(blocks, ["cluster", "band"]).withColumn("block", first(F.col("band")) + F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.select("cluster", "node", "n", "level", "label", "block", F.col("p.token").alias("tokens"), F.col("p.at").alias("ats"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other_band"))
+    placed = placed.join(others, ["cluster", "other_band"])
+    return placed.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("z"), "node", "n", "level", "label", "block", "tokens", "ats")
+
+
+def across(docs: DataFrame, postings: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between nodes of different labels, of lists that hold several. tested: pairs (x, y), x < y, that
+    need no second look; sets: those at hand, the others are made from docs."""
+    known = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lists = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token", "a")
+    left = staged(known.join(lists, "token").select("token", "node", "n", "level", "at", "label", "c", "a"), "open")
+    pairs = short_pairs(left, percent)
+    dense = None
+    if left.where(F.col("c") > SHORT).limit(1).count():
+        blocks = long_blocks(left, percent)
+        met = staged(blocks.groupBy("cluster", "a", "z").applyInArrow(pair_blocks(percent), "x long, y long, cluster long, a long, z long"), "met")
+        pairs = pairs.unionByName(met.where("x is not null").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+        many = met.where("x is null").select("cluster", "a", "z")
+        if many.limit(1).count():
+            dense = blocks.join(many, ["cluster", "a", "z"])
+    pairs = staged(pairs.distinct().join(tested, ["x", "y"], "left_anti"), "pairs")
+    free_shuffles(docs.sparkSession)
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("node"))
+    lack = staged((ends if dense is None else ends.unionByName(dense.select("node"))).distinct().join(sets, "node", "left_anti"), "lack")
+    if lack.limit(1).count():
+        sets = sets.unionByName(sets_of(docs, lack, width))
+    links = verified(pairs, sets, percent)
+    if dense is not None:
+        links = links.unionByName(dense.join(sets, "node").groupBy("cluster", "a", "z").applyInArrow(compare_blocks(percent), "x long, y long"))
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -306,22 +399,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tune(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = rarity(docs.select("text"), width)
-    rows = staged(class_rows(docs, known, width, percent, "id"), "classes")
-    classes = rows.where("size(prefix) > 0").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "alone", "base", "level")])
-    entries = classes.select(F.col("cls").alias("node"), "n", "alone", "level", "base", F.posexplode("prefix").alias("pos", "token"))
-    # at: the lowest level whose prefix holds the shingle.
-    entries = entries.select("token", "node", "n", "alone", "level", F.greatest(F.lit(1), F.col("alone") + F.col("pos") - F.col("base") + 2).cast("int").alias("at"))
+    free_shuffles(spark)
+    rows = class_rows(docs, known, width, percent, "id")
+    del known
+    classes = staged(rows.where("size(prefix) > 0").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "alone", "base", "level")]), "listed")
+    entries = list_entries(classes)
     # The pivot is the member with the fewest shingles of its own: of near copies the one they were made from.
     lists = entries.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node")).alias("pivot")).where("c > 1")
-    postings = staged(entries.join(lists.select("token", F.col("pivot.node").alias("pivot")), "token").drop("alone"), "postings")
+    postings = staged(entries.join(lists.select("token", "c", F.col("pivot.node").alias("pivot")), "token").drop("alone"), "postings")
+    free_shuffles(spark)
 
     low = "least(n, m) * 100L >= greatest(n, m) * %d" % percent
     stars = postings.where("node = pivot").select("token", F.col("n").alias("m"), F.col("level").alias("level2"), F.col("at").alias("at2"))
     stars = postings.where("node <> pivot").join(stars, "token").where(low).where("greatest(at, at2) <= least(level, level2)")
-    stars = stars.groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l"))
-    sets = staged(sets_of(docs, postings.select("node").distinct(), width), "sets")
-    links = staged(verified(stars.where("k >= l").select("x", "y"), sets, percent), "links")
-    more = staged(across(postings, classes, components(links), sets, percent), "more-links")
+    stars = stars.groupBy(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l"))
+    stars = staged(stars.where("k >= l").select("x", "y"), "stars")
+    sets = sets_of(docs, stars.select(F.explode(F.array("x", "y")).alias("node")).distinct(), width)
+    free_shuffles(spark)
+    links = staged(verified(stars, sets, percent), "links")
+    free_shuffles(spark)
+    more = staged(across(docs, postings, components(links), stars, sets, width, percent), "more-links")
+    free_shuffles(spark)
     labels = components(links.unionByName(more)).withColumnRenamed("node", "cls")
 
     placed = rows.select("id", "n", "cls").join(labels, "cls", "left").select("id", "n", F.coalesce("label", "cls").alias("label"))

@@ -67,6 +67,37 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got(jaccard_join.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == brute.near_duplicates(docs, 3, 90)
 
 
+@pytest.mark.parametrize("short, block, width, percent", [(2, 2, 2, 70), (3, 500, 3, 90), (1000, 3, 1, 60)])
+def test_near_duplicates_of_short_and_long_lists(spark, monkeypatch, short, block, width, percent):
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    docs = [d for d in corpus(4) if d[0] is not None]
+    assert got(jaccard_join.near_duplicates(frame(spark, docs), width=width, percent=percent), "doc_id", "n_shingles", "component_id") == brute.near_duplicates(docs, width, percent)
+
+
+def test_chained_lists_send_no_blocks_of_sets(spark, monkeypatch, tmp_path):
+    """Texts that only chance shingles chain together: their sets must not meet in every pair of blocks."""
+    compare = jaccard_join.compare_blocks
+
+    def counting(percent):
+        run, path = compare(percent), str(tmp_path / "rows")
+
+        def counted(key, t):
+            with open(path, "a") as f:
+                f.write(f"{t.num_rows}\n")
+            return run(key, t)
+
+        return counted
+
+    monkeypatch.setattr(jaccard_join, "compare_blocks", counting)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    cut = lambda i, k: " ".join(f"p{i}x{k}x{j}" for j in range(10))
+    docs = [(i, " ".join(cut(j, k) for j in (i, i + 1, i + 2) for k in range(2))) for i in range(160)]
+    assert got(jaccard_join.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == brute.near_duplicates(docs, 3, 90)
+    rows = sum(map(int, (tmp_path / "rows").read_text().split())) if (tmp_path / "rows").exists() else 0
+    assert rows <= 4 * len(docs)
+
+
 def test_keep_one(spark):
     docs = [(i, t) for i, t in corpus(4)]
     kept = jaccard_join.keep_one(frame(spark, docs), width=5, percent=80)
