@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import math
 import tempfile
@@ -68,8 +69,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the driver's collector find the plans that staged tables have replaced: Spark deletes the shuffle
-    files of plans that nothing refers to, which else stay until the driver happens to need memory."""
+    files of plans that nothing refers to, which else stay until the driver happens to need memory. Memory
+    that the driver's Python and Arrow have freed goes back to the system, too."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
 
 
