@@ -18,6 +18,13 @@ pair that shares shingles of both kinds is counted by the short lists, with what
 Few pairs of two blocks are verified one by one; where they are many, the blocks' sets meet whole, and only
 the edges of a tree leave the task: no link between different components is lost.
 
+Before whole sets travel, sketches do: counts of a set's shingles by their top bits, half a byte to a quarter
+for each shingle. The smaller counts of two sets sum up to no less than they share, so that a pair that stays
+below the needed overlap there can't link; all others are verified by whole sets.
+
+Lists, pairs, blocks and sets are worked through in rounds where they would take more disk at once than a fixed
+share of the texts: rounds add readings of the texts, but leave nothing out.
+
 Verification compares whole sets. Texts without words, empty ones and nulls have an empty set and
 stay alone; a text with fewer words than a shingle has one shingle of all its words.
 """
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.bytetext import NONSPACE, mix, ngrams, words
-from shoal.llm.shared import components, free_name, free_shuffles, marked, of_planes, planes, repeated_bits, staged, tune
+from shoal.llm.shared import components, discard, free_name, free_shuffles, in_rounds, marked, of_planes, planes, repeated_bits, staged, staged_parts, tune
 
 #: Bits of the tables of repeated shingles (16 MB) and of their counts (1 MB), levels that a class may
 #: pick, cost of a verification in list entries.
@@ -44,6 +51,10 @@ AGAIN_BITS, COUNT_BITS, LEVELS, VERIFY_COST = 27, 20, 4, 30.0
 SHORT, BLOCK, BLOCK_SHINGLES = 16, 256, 500_000
 #: Ids or groups that may be sent to all tasks (8 or 16 bytes each).
 MOST_GONE = 500_000
+#: Bytes that one round may shuffle and write: for each shingle of all texts, and at least.
+ROUND_SHARE, ROUND_BYTES = 4, 256 << 20
+#: Bytes of a list's entry on its way through a join by shingles, of a pair on its way to its count.
+ENTRY_BYTES, PAIR_BYTES = 64, 32
 
 
 def text_sets(arr: pa.Array, width: int, table: np.ndarray = NONSPACE) -> Iterator[np.ndarray]:
@@ -136,8 +147,25 @@ def prefix(s: np.ndarray, known: Rarity, percent: int) -> tuple[np.ndarray, int,
     return again[order[: max(0, n - need + level - alone)]], alone, n - need + 1, level
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of the sorted set's shingles by their top bits, two to four a count; empty if one is beyond a byte."""
+    bits = max(0, len(s).bit_length() - 2)
+    n = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(s)])
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sets of these sketches may reach the threshold: they share at most the sum of the smaller counts."""
+    if not len(a) or not len(b):
+        return True
+    m = min(len(a), len(b))
+    a, b = (x.reshape(m, -1).sum(1, dtype=np.int64) for x in (a, b))
+    most = int(np.minimum(a, b).sum())
+    return 100 * most >= percent * (int(a.sum()) + int(b.sum()) - most)
+
+
 def class_rows(docs: DataFrame, known: Rarity, width: int, percent: int, carry: str) -> DataFrame:
-    """Of each text: carry, n, cls (64 bits of the set's digest; null if empty), prefix, alone, base, level."""
+    """Of each text: carry, n, cls (64 bits of the set's digest; null if empty), prefix, alone, base, level, sketch (null without a prefix)."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +176,14 @@ def class_rows(docs: DataFrame, known: Rarity, width: int, percent: int, carry:
                 if len(s):
                     cls = int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                     shingles, *rest = prefix(s, known, percent)
-                    rows.append((len(s), cls, shingles.view(np.int64), *rest))
+                    rows.append((len(s), cls, shingles.view(np.int64), *rest, sketch(s) if len(shingles) else None))
                 else:
-                    rows.append((0, None, None, 0, 0, 0))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(carry), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[carry, "n", "cls", "prefix", "alone", "base", "level"])
+                    rows.append((0, None, None, 0, 0, 0, None))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(carry), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[carry, "n", "cls", "prefix", "alone", "base", "level", "sketch"])
 
     kind = dict(docs.dtypes)[carry]
-    out = staged(docs.select(carry, "text").mapInArrow(run, f"`{carry}` {kind}, n long, cls long, prefix array<long>, alone int, base int, level int"), "classes")
+    out = staged(docs.select(carry, "text").mapInArrow(run, f"`{carry}` {kind}, n long, cls long, prefix array<long>, alone int, base int, level int, sketch binary"), "classes")
     shared.destroy()  # else the driver keeps a copy
     return out
 
@@ -237,6 +265,40 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
+def possible(pairs: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y, size) that their sketches leave possible."""
+    of = lambda node, name: listed.select(F.col("cls").alias(node), F.col("sketch").alias(name))
+    both = pairs.join(of("y", "t"), "y").join(of("x", "s"), "x").select("x", "y", "size", "s", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [may_reach(np.frombuffer(s.as_buffer(), np.uint8), np.frombuffer(t.as_buffer(), np.uint8), percent) for s, t in zip(b.column("s"), b.column("t"), strict=True)]
+            yield b.select(["x", "y", "size"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "x long, y long, size long")
+
+
+def linked(docs: DataFrame, pairs: DataFrame, listed: DataFrame, width: int, percent: int, room: int) -> DataFrame:
+    """The staged pairs (x, y) of pairs (x, y, size), size being the sum of both sets', that reach the threshold."""
+    total = lambda df: df.agg(F.sum("size")).first()[0] or 0
+    likely = staged_parts((possible(part, listed, percent) for part in in_rounds(pairs, ["x", "y"], total(pairs), room)), "likely")
+    free_shuffles(docs.sparkSession)
+    size = total(likely)
+
+    def found() -> Iterator[DataFrame]:
+        # Of a set's 8 bytes a shingle there are four copies at most: as written, by y, by x and with its pair.
+        for part in in_rounds(likely, ["x"], 16 * size, room):
+            sets = sets_of(docs, part.select(F.explode(F.array("x", "y")).alias("node")).distinct(), width)
+            free_shuffles(docs.sparkSession)
+            yield verified(part, sets, percent)
+            discard(sets)
+
+    out = staged_parts(found() if size else [likely.select("x", "y")], "links")
+    discard(likely)
+    free_shuffles(docs.sparkSession)
+    return out
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of shingle columns, a few thousand at a time; each product's
     counts are exact."""
@@ -293,11 +355,12 @@ def pair_blocks(percent: int):
         node = t.column("node").to_numpy()
         left, right, linked = may_link(t, a, z, percent)
         i, j = np.nonzero(np.triu(linked) if a == z else linked)
+        size = t.column("n").to_numpy()
         if 2 * len(i) > len(node):
-            x, y = pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())
+            x, y, both = (pa.nulls(1, pa.int64()) for _ in range(3))
         else:
-            x, y = pa.array(node[left[i]]), pa.array(node[right[j]])
-        return pa.table({"x": x, "y": y, **{k: pa.array(np.full(len(x), v)) for k, v in (("cluster", cluster), ("a", a), ("z", z))}})
+            x, y, both = pa.array(node[left[i]]), pa.array(node[right[j]]), pa.array(size[left[i]] + size[right[j]])
+        return pa.table({"x": x, "y": y, "size": both, **{k: pa.array(np.full(len(x), v)) for k, v in (("cluster", cluster), ("a", a), ("z", z))}})
 
     return run
 
@@ -332,14 +395,19 @@ def compare_blocks(percent: int):
     return run
 
 
-def short_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of different labels that share a shingle of a short list and may share as many as they must."""
+def short_pairs(open_lists: DataFrame, percent: int, room: int) -> Iterator[DataFrame]:
+    """Pairs (x, y, size) of different labels that share a shingle of a short list and may share as many as they must."""
     far = open_lists.where(F.col("c") > SHORT).groupBy("node").agg(F.count("*").alias("far"))
-    near = open_lists.where(F.col("c") <= SHORT).join(far, "node", "left").select("token", "node", "n", "level", "at", "label", F.coalesce("far", F.lit(0)).alias("far"))
+    near = open_lists.where(F.col("c") <= SHORT)
+    size = near.agg(F.count("*") * ENTRY_BYTES).first()[0]
+    near = staged_parts((part.join(far, "node", "left").select("token", "node", "n", "level", "at", "label", F.coalesce("far", F.lit(0)).alias("far")) for part in in_rounds(near, ["node"], size, room)), "near")
     other = near.select("token", *[F.col(c).alias(f"{c}2") for c in near.columns if c != "token"])
-    both = near.join(other, "token").where("node < node2 and label <> label2").where("least(n, n2) * 100L >= greatest(n, n2) * %d" % percent).where("greatest(at, at2) <= least(level, level2)")
-    pairs = both.groupBy(F.col("node").alias("x"), F.col("node2").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l"), F.first(F.least("far", "far2")).alias("far"))
-    return pairs.where("k + far >= l").select("x", "y")
+    size = near.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) / 2")) * PAIR_BYTES).first()[0] or 0
+    for part in in_rounds(near, ["node"], size, room):
+        both = part.join(other, "token").where("node < node2 and label <> label2").where("least(n, n2) * 100L >= greatest(n, n2) * %d" % percent).where("greatest(at, at2) <= least(level, level2)")
+        pairs = both.groupBy(F.col("node").alias("x"), F.col("node2").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l"), F.first(F.least("far", "far2")).alias("far"), F.first(F.col("n") + F.col("n2")).alias("size"))
+        yield pairs.where("k + far >= l").select("x", "y", "size")
+    discard(near)
 
 
 def long_blocks(open_lists: DataFrame, percent: int) -> DataFrame:
@@ -349,7 +417,7 @@ def long_blocks(open_lists: DataFrame, percent: int) -> DataFrame:
     clusters = components(left.where("label <> a").select(F.col("label").alias("x"), F.col("a").alias("y")).distinct(), "clusters")
     members = left.groupBy("node", "n", "level", "label").agg(F.collect_list(F.struct("token", "at")).alias("p"))
     band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9))
-    nodes = members.join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label").withColumn("band", band)
+    nodes = staged(members.join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label").withColumn("band", band), "members")
     count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
     blocks = staged(nodes.groupBy("cluster", "band").agg(count.alias("blocks")), "blocks")
     # Blocks have the band in the upper bits of their number.
@@ -361,31 +429,51 @@ def long_blocks(open_lists: DataFrame, percent: int) -> DataFrame:
     return placed.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("z"), "node", "n", "level", "label", "block", "tokens", "ats")
 
 
-def across(docs: DataFrame, postings: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def across(docs: DataFrame, postings: DataFrame, labels: DataFrame, tested: DataFrame, listed: DataFrame, width: int, percent: int, room: int) -> DataFrame:
     """Links between nodes of different labels, of lists that hold several. tested: pairs (x, y), x < y, that
-    need no second look; sets: those at hand, the others are made from docs."""
-    known = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lists = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token", "a")
-    left = staged(known.join(lists, "token").select("token", "node", "n", "level", "at", "label", "c", "a"), "open")
-    pairs = short_pairs(left, percent)
-    dense = None
+    need no second look. postings and tested are deleted."""
+    spark = docs.sparkSession
+
+    def open_lists(part: DataFrame) -> DataFrame:
+        known = part.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        lists = known.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token", "a")
+        return known.join(lists, "token").select("token", "node", "n", "level", "at", "label", "c", "a")
+
+    left = staged_parts(map(open_lists, in_rounds(postings, ["token"], 2 * ENTRY_BYTES * postings.count(), room)), "open")
+    discard(postings)
+    free_shuffles(spark)
+    key = ["cluster", "a", "z"]
+    pairs, dense = staged_parts(short_pairs(left, percent, room), "short-pairs"), None
+    found = pairs
     if left.where(F.col("c") > SHORT).limit(1).count():
+        free_shuffles(spark)
         blocks = long_blocks(left, percent)
-        met = staged(blocks.groupBy("cluster", "a", "z").applyInArrow(pair_blocks(percent), "x long, y long, cluster long, a long, z long"), "met")
-        pairs = pairs.unionByName(met.where("x is not null").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-        many = met.where("x is null").select("cluster", "a", "z")
+        size = blocks.agg(F.sum(F.size("tokens") * 12 + ENTRY_BYTES)).first()[0] or 0
+        kind = "x long, y long, size long, cluster long, a long, z long"
+        met = staged_parts((part.groupBy(*key).applyInArrow(pair_blocks(percent), kind) for part in in_rounds(blocks, key, size, room)), "met")
+        found = found.unionByName(met.where("x is not null").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "size"))
+        many = met.where("x is null").select(*key)
         if many.limit(1).count():
-            dense = blocks.join(many, ["cluster", "a", "z"])
-    pairs = staged(pairs.distinct().join(tested, ["x", "y"], "left_anti"), "pairs")
-    free_shuffles(docs.sparkSession)
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("node"))
-    lack = staged((ends if dense is None else ends.unionByName(dense.select("node"))).distinct().join(sets, "node", "left_anti"), "lack")
-    if lack.limit(1).count():
-        sets = sets.unionByName(sets_of(docs, lack, width))
-    links = verified(pairs, sets, percent)
-    if dense is not None:
-        links = links.unionByName(dense.join(sets, "node").groupBy("cluster", "a", "z").applyInArrow(compare_blocks(percent), "x long, y long"))
-    return links
+            dense = blocks.join(many, key)
+    size = PAIR_BYTES * 2 * (found.count() + tested.count())
+    tested_parts = in_rounds(tested, ["x", "y"], size, room)
+    every = staged_parts((part.groupBy("x", "y").agg(F.first("size").alias("size")).join(seen.select("x", "y"), ["x", "y"], "left_anti") for part, seen in zip(in_rounds(found, ["x", "y"], size, room), tested_parts, strict=True)), "pairs")
+    discard(pairs, tested, left)
+    free_shuffles(spark)
+    links = linked(docs, every, listed, width, percent, room)
+    discard(every)
+    if dense is None:
+        return links
+
+    def compared() -> Iterator[DataFrame]:
+        size = 32 * (dense.agg(F.sum("n")).first()[0] or 0)
+        for part in in_rounds(dense, key, size, room):
+            sets = sets_of(docs, part.select("node").distinct(), width)
+            free_shuffles(spark)
+            yield part.join(sets, "node").groupBy(*key).applyInArrow(compare_blocks(percent), "x long, y long")
+            discard(sets)
+
+    return links.unionByName(staged_parts(compared(), "dense-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -402,27 +490,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     free_shuffles(spark)
     rows = class_rows(docs, known, width, percent, "id")
     del known
-    classes = staged(rows.where("size(prefix) > 0").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "alone", "base", "level")]), "listed")
-    entries = list_entries(classes)
-    # The pivot is the member with the fewest shingles of its own: of near copies the one they were made from.
-    lists = entries.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node")).alias("pivot")).where("c > 1")
-    postings = staged(entries.join(lists.select("token", "c", F.col("pivot.node").alias("pivot")), "token").drop("alone"), "postings")
+    ids = staged(rows.select("id", "n", "cls"), "ids")
+    room = max(ROUND_BYTES, ROUND_SHARE * (ids.agg(F.sum("n")).first()[0] or 0))
+    listed = staged(rows.where("size(prefix) > 0").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "alone", "base", "level", "sketch")]), "listed")
+    discard(rows)
+    entries = list_entries(listed)
     free_shuffles(spark)
 
-    low = "least(n, m) * 100L >= greatest(n, m) * %d" % percent
-    stars = postings.where("node = pivot").select("token", F.col("n").alias("m"), F.col("level").alias("level2"), F.col("at").alias("at2"))
-    stars = postings.where("node <> pivot").join(stars, "token").where(low).where("greatest(at, at2) <= least(level, level2)")
-    stars = stars.groupBy(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).agg(F.count("*").alias("k"), F.first(F.least("level", "level2")).alias("l"))
-    stars = staged(stars.where("k >= l").select("x", "y"), "stars")
-    sets = sets_of(docs, stars.select(F.explode(F.array("x", "y")).alias("node")).distinct(), width)
+    def shared_lists(part: DataFrame) -> DataFrame:
+        # The pivot is the member with the fewest shingles of its own: of near copies the one they were made from.
+        lists = part.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node", F.col("n").alias("m"), F.col("level").alias("level2"), F.col("at").alias("at2"))).alias("p")).where("c > 1")
+        lists = lists.select("token", "c", F.col("p.node").alias("pivot"), "p.m", "p.level2", "p.at2")
+        return part.join(lists, "token").drop("alone")
+
+    postings = staged_parts(map(shared_lists, in_rounds(entries, ["token"], 2 * ENTRY_BYTES * entries.count(), room)), "postings")
+    discard(entries)
     free_shuffles(spark)
-    links = staged(verified(stars, sets, percent), "links")
+
+    stars = postings.where("node <> pivot").where("least(n, m) * 100L >= greatest(n, m) * %d" % percent).where("greatest(at, at2) <= least(level, level2)")
+    stars = stars.select(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y"), F.least("level", "level2").alias("l"), (F.col("n") + F.col("m")).alias("size"))
+    count = lambda part: part.groupBy("x", "y").agg(F.count("*").alias("k"), F.first("l").alias("l"), F.first("size").alias("size")).where("k >= l").select("x", "y", "size")
+    stars = staged_parts(map(count, in_rounds(stars, ["x", "y"], PAIR_BYTES * postings.count(), room)), "stars")
     free_shuffles(spark)
-    more = staged(across(docs, postings, components(links), stars, sets, width, percent), "more-links")
+    links = linked(docs, stars, listed, width, percent, room)
+    more = staged(across(docs, postings, components(links), stars, listed, width, percent, room), "more-links")
+    discard(listed)
     free_shuffles(spark)
     labels = components(links.unionByName(more)).withColumnRenamed("node", "cls")
 
-    placed = rows.select("id", "n", "cls").join(labels, "cls", "left").select("id", "n", F.coalesce("label", "cls").alias("label"))
+    placed = ids.join(labels, "cls", "left").select("id", "n", F.coalesce("label", "cls").alias("label"))
     # Few groups are sent to all texts, so that those of a large one don't meet in one task.
     groups = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
     groups = staged(groups, "groups")

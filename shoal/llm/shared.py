@@ -8,7 +8,7 @@ import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -80,10 +80,36 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later plans start from those files."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged_parts([df], name)
+
+
+def staged_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Writes one frame after the other, the shuffles of each freed before the next begins, and reads all of them back."""
+    at, path, schema, spark = [], "", None, None
+    for df in parts:
+        if at:
+            free_shuffles(spark)
+        else:
+            schema, spark = df.schema, df.sparkSession
+            path = new_path(spark, name)
+        at.append(f"{path}/{len(at)}")
+        df.write.option("compression", "zstd").parquet(at[-1])
+    out = spark.read.schema(schema).parquet(*at)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of staged frames that no plan reads again."""
+    for df in frames:
+        delete(df.sparkSession, df.staged_path)
+
+
+def in_rounds(df: DataFrame, keys: list[str], size: float, room: float) -> Iterator[DataFrame]:
+    """df's rows, dealt by the keys to as many frames as keep each one's share of size within room."""
+    n = max(1, math.ceil(size / room))
+    for i in range(n):
+        yield df.where(F.pmod(F.xxhash64(F.lit("round"), *keys), F.lit(n)) == i) if n > 1 else df
 
 
 def planes(x: np.ndarray, in_order: bool = False) -> bytes:

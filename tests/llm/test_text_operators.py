@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shoal.llm import decontaminate, jaccard_join, line_templates, repeats
+from shoal.llm import decontaminate, jaccard_join, line_templates, repeats, shared
 from shoal.llm.bytetext import ALNUM, NONSPACE, words
 
 
@@ -67,6 +67,52 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got(jaccard_join.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == brute.near_duplicates(docs, 3, 90)
 
 
+def sets_asked(monkeypatch):
+    """How many sets each call of sets_of() asks for."""
+    sets_of, asked = jaccard_join.sets_of, []
+
+    def counting(docs, nodes, width):
+        asked.append(nodes.count())
+        return sets_of(docs, nodes, width)
+
+    monkeypatch.setattr(jaccard_join, "sets_of", counting)
+    return asked
+
+
+def test_sets_travel_in_rounds_and_staged_tables_go(spark, monkeypatch, tmp_path):
+    for name, value in (("ROUND_BYTES", 40_000), ("ROUND_SHARE", 0), ("SHORT", 3), ("BLOCK", 3)):
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    asked = sets_asked(monkeypatch)
+    docs = [d for d in corpus(4) if d[0] is not None]
+    assert got(jaccard_join.near_duplicates(frame(spark, docs), width=2, percent=70), "doc_id", "n_shingles", "component_id") == brute.near_duplicates(docs, 2, 70)
+    assert len(asked) >= 3 and max(asked) <= sum(asked) / 2
+    assert not {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} & {"classes", "listed", "entries", "postings", "stars", "open", "sets"}
+
+
+def test_sets_of_unlike_texts_do_not_travel(spark, monkeypatch):
+    """Texts that share two of three passages, far from enough: sketches tell, hardly a whole set is asked for."""
+    asked = sets_asked(monkeypatch)
+    passage = lambda i: " ".join(f"p{i}x{j}" for j in range(60))
+    docs = [(i, " ".join(passage(j) for j in (i, i + 1, i + 2))) for i in range(60)]
+    assert got(jaccard_join.near_duplicates(frame(spark, docs), width=2, percent=90), "doc_id", "n_shingles", "component_id") == brute.near_duplicates(docs, 2, 90)
+    assert sum(asked) <= len(docs) / 4
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(9)
+    for n in [1, 2, 3, 4, 7, 8, 60, 500, 3000] * 20:
+        every = np.unique(rng.integers(0, 1 << 64, 2 * n, np.uint64) >> np.uint64(rng.choice([0, 3])))
+        s, t = (np.sort(rng.choice(every, min(len(every), m), replace=False)) for m in (n, n + n // 8))
+        if rng.random() < 0.7:
+            t = np.unique(np.append(s[len(s) // 10 :], t[: len(t) // 10]))
+        a, b = (np.frombuffer(jaccard_join.sketch(x), np.uint8) for x in (s, t))
+        same = len(np.intersect1d(s, t))
+        for percent in (50, 80, 90, 100):
+            assert jaccard_join.may_reach(a, b, percent) or 100 * same < percent * (len(s) + len(t) - same)
+    assert jaccard_join.sketch(np.zeros(2000, np.uint64)) == b""
+
+
 @pytest.mark.parametrize("short, block, width, percent", [(2, 2, 2, 70), (3, 500, 3, 90), (1000, 3, 1, 60)])
 def test_near_duplicates_of_short_and_long_lists(spark, monkeypatch, short, block, width, percent):
     monkeypatch.setattr(jaccard_join, "SHORT", short)
